@@ -17,7 +17,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session(cores=8, **conf):
     b = (SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-         .config("spark.driver.memory", "8g").config("spark.log.level", "ERROR"))
+         .config("spark.driver.memory", "8g").config("spark.log.level", "ERROR").config("spark.ui.showConsoleProgress", "false"))
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()

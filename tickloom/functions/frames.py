@@ -130,19 +130,28 @@ def running_sums(df: DataFrame, sums: Mapping[str, Column], reset: Sequence[str]
     """Cumulative sums along each series (restarting when a ``reset`` column changes).
 
     Each block sums by itself; block totals are accumulated in a table with one row per
-    block and added back. ``df`` must hold core rows only.
+    block and added back, less what the copied rows before the block had contributed, so
+    the copies carry the right sums too.
     """
     keys = [*BLOCK, *reset]
     run = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     before = (
         Window.partitionBy(*SERIES, *reset).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
+    zero = F.lit(0.0)
+    totals = df.groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("core"), c)).alias(f"_t_{k}") for k, c in sums.items()],
+        *[F.sum(F.when(F.col("pos") < 0, c)).alias(f"_h_{k}") for k, c in sums.items()],
+    )
     offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums]
+        *keys,
+        *[
+            (F.coalesce(F.sum(f"_t_{k}").over(before), zero) - F.coalesce(f"_h_{k}", zero)).alias(f"_o_{k}")
+            for k in sums
+        ],
     )
     out = df.withColumns({f"_r_{k}": F.sum(c).over(run) for k, c in sums.items()}).join(offsets, keys)
-    out = out.withColumns({k: F.coalesce(F.col(f"_r_{k}"), F.lit(0)) + F.col(f"_o_{k}") for k in sums})
+    out = out.withColumns({k: F.coalesce(F.col(f"_r_{k}"), zero) + F.col(f"_o_{k}") for k in sums})
     return out.drop(*[f"_r_{k}" for k in sums], *[f"_o_{k}" for k in sums])
 
 

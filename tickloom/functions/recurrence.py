@@ -13,7 +13,7 @@ start values between blocks, one summary row per block.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -40,10 +40,28 @@ class Calc:
     out: str
     value: Column
 
+    def apply(self, df: DataFrame, back: int) -> DataFrame:
+        return df.withColumn(self.out, self.value)
+
+
+@dataclass
+class Running:
+    """Cumulative sums, restarting with the ``reset`` columns."""
+
+    sums: Mapping[str, Column]
+    reset: Sequence[str] = ()
+
+    def apply(self, df: DataFrame, back: int) -> DataFrame:
+        return fr.running_sums(df, self.sums, self.reset)
+
 
 @dataclass
 class Smooth:
-    """out += alpha*(x - out), null before ``seed_idx``, started there with ``seed`` (default x)."""
+    """out += alpha*(x - out), null before ``seed_idx``, started there with ``seed`` (default x).
+
+    A result that equals x but for rounding is x: on a constant stretch the line meets its input
+    exactly, so comparisons of the two do not see noise.
+    """
 
     out: str
     x: Column
@@ -60,10 +78,12 @@ class Smooth:
         growth = (F.col("pos") + back) * F.lit(-math.log(1.0 - self.alpha))
         run = fr.rows(Window.unboundedPreceding, 0)
         total = F.sum(F.coalesce(b, F.lit(0.0)) * F.exp(growth)).over(run)
-        return df.withColumn(self.out, F.when(started, F.exp(-growth) * total))
+        y, x = F.col(self.out), self.x
+        df = df.withColumn(self.out, F.when(started, F.exp(-growth) * total))
+        return df.withColumn(self.out, F.when(F.abs(y - x) <= F.abs(x) * 1e-12, x).otherwise(y))
 
 
-def chain(bars: DataFrame, steps: Sequence[Calc | Smooth], back: int = 0) -> DataFrame:
+def chain(bars: DataFrame, steps: Sequence[Calc | Running | Smooth], back: int = 0) -> DataFrame:
     """Run dependent steps in one frame; ``back`` is what the plain steps look back in all.
 
     Smoothings too far apart for one block length (one very fast, one very slow) get a
@@ -81,7 +101,7 @@ def chain(bars: DataFrame, steps: Sequence[Calc | Smooth], back: int = 0) -> Dat
     usual = fr.block_rows_of(bars.sparkSession)
     df = fr.framed(bars, back=reach, block_rows=max(1, min(room, max(usual, 2 * reach))))
     for s in steps:
-        df = s.apply(df, reach) if isinstance(s, Smooth) else df.withColumn(s.out, s.value)
+        df = s.apply(df, reach)
     return fr.done(fr.core(df))
 
 

@@ -29,7 +29,9 @@ bars AS (
   FROM raw_bars)"""
 
 
+CALM_TICKS = TICKS.replace("value AS price", "500 + value * 0.1 AS price")
 HOURLY = bars_cte("hour")
+CALM = bars_cte("hour", CALM_TICKS)
 MINUTELY = bars_cte("minute")
 DAILY = bars_cte("day", LINE_TICKS)
 

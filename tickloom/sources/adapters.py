@@ -58,6 +58,12 @@ class Tables:
     def minutely(self) -> DataFrame:
         return ticks_to_bars(self.ticks, "1m")
 
+    @cached_property
+    def calm(self) -> DataFrame:
+        """Hourly bars of the same trades on a price with small relative moves."""
+        ticks = self.ticks.withColumn("price", 500 + F.col("price") * 0.1)
+        return ticks_to_bars(ticks, "1h")
+
     @cached_property
     def line_ticks(self) -> DataFrame:
         return ticks_from_lines(*[self.read(t) for t in ("lineitem", "supplier", "nation", "region")])
