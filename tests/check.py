@@ -58,7 +58,7 @@ def compare(df, con, sql):
         return len(rows), f"columns {sorted(df.columns)} != {sorted(names)}"
     a, b = bag(df.columns, rows), bag(names, other)
     if a != b:
-        l, r = list((a - b).items())[:3], list((b - a).items())[:3]
+        l, r = list((a - b).items())[:4], list((b - a).items())[:4]
         return len(rows), f"rows {len(rows)} vs {len(other)}; {sum((a-b).values())} differ\n   spark {l}\n   duck  {r}"
     return len(rows), None
 

@@ -36,10 +36,10 @@ def pop_std(points: Column, mu: Column) -> Column:
 
 
 def slope(points: Column) -> Column:
-    """Least-squares slope of y on x."""
+    """Least-squares slope of y on x, to nine places: rounding noise of a flat line is no slope."""
     mx = F.try_divide(
         F.aggregate(points, F.lit(0.0), lambda s, p: s + p["x"]), F.size(points).cast("double")
     )
     sxx = F.aggregate(points, F.lit(0.0), lambda s, p: s + (p["x"] - mx) * (p["x"] - mx))
     sxy = F.aggregate(points, F.lit(0.0), lambda s, p: s + (p["x"] - mx) * p["y"])
-    return F.try_divide(sxy, F.when(sxx != 0, sxx))
+    return F.round(F.try_divide(sxy, F.when(sxx != 0, sxx)), 9)

@@ -9,7 +9,7 @@ from tickloom.operators import classic as cl
 from tickloom.operators import crypto as cr
 from tickloom.operators import gaps as ga
 from tickloom.plans.catalog import query
-from tickloom.plans.sql import CALM, DAILY, HOURLY, MINUTELY, SERIES, frame, lag, last, lead
+from tickloom.plans.sql import CALM, CALM_MINUTES, DAILY, HOURLY, SURGES, SERIES, frame, lag, last, lead
 
 
 def shown(df: DataFrame, *meta: str, digits: int = 5) -> DataFrame:
@@ -186,7 +186,7 @@ x AS (SELECT *, x BETWEEN 1 AND {size - 2} AND {edge('h', '>', order)} AS pk, x
 TRIANGLE = f"""{windows(20, 2)},
 a AS (SELECT symbol, i AS idx, avg(h) FILTER (pk) AS pm, avg(l) FILTER (tr) AS tm,
   stddev_pop(h) FILTER (pk) AS psd, stddev_pop(l) FILTER (tr) AS tsd,
-  regr_slope(h, x) FILTER (pk) AS ps, regr_slope(l, x) FILTER (tr) AS tsl,
+  round(regr_slope(h, x) FILTER (pk), 9) AS ps, round(regr_slope(l, x) FILTER (tr), 9) AS tsl,
   max(h) FILTER (pk) AS hi, min(l) FILTER (tr) AS lo,
   max(x) FILTER (pk) AS px, max(x) FILTER (tr) AS tx, arg_max(h, x) FILTER (pk) AS py, arg_max(l, x) FILTER (tr) AS ty,
   arg_min(h, x) FILTER (pk) AS p0, arg_min(l, x) FILTER (tr) AS t0
@@ -215,9 +215,9 @@ UP = "close > top * (1 + 0.02::DOUBLE)"
     "'symmetrical_triangle'", f"CASE WHEN {UP} THEN 'bullish' ELSE 'bearish' END",
     f"ps < 0 AND tsl > 0 AND ({UP} OR close < floor * (1 - 0.02::DOUBLE))", "0.7", 20,
     target=f"CASE WHEN {UP} THEN close + (p0 - t0) ELSE close - (p0 - t0) END",
-    stop=f"close * CASE WHEN {UP} THEN 0.98::DOUBLE ELSE 1.02::DOUBLE END", resistance_slope="ps", support_slope="tsl", digits=4))
+    stop=f"close * CASE WHEN {UP} THEN 0.98::DOUBLE ELSE 1.02::DOUBLE END", resistance_slope="ps", support_slope="tsl", digits=6))
 def _(t):
-    return shown(bo.breakout_patterns(t.hourly, groups=["symmetrical"]), "resistance_slope", "support_slope", digits=4)
+    return shown(bo.breakout_patterns(t.hourly, groups=["symmetrical"]), "resistance_slope", "support_slope", digits=6)
 
 
 @query("pat16_rectangle", f"""
@@ -299,10 +299,10 @@ def poles(bull: str, bear: str, when: str, bull_if: str, bear_if: str, conf: str
         target="close - abs(pole)", stop="top", **meta)
 
 
-@query("pat20_flag", f"WITH {CALM}, {POLE} " + poles(
+@query("pat20_flag", f"WITH {CALM_MINUTES}, {POLE} " + poles(
     "bull_flag", "bear_flag", "q < 0.02", "sl < 0", "sl > 0", "0.75", digits=4, pole_height="abs(pole)", flag_slope="sl"))
 def _(t):
-    return shown(cl.classic_patterns(t.calm, groups=["flag"]), "pole_height", "flag_slope", digits=4)
+    return shown(cl.classic_patterns(t.calm_minutes, groups=["flag"]), "pole_height", "flag_slope", digits=4)
 
 
 @query("pat21_pennant", f"WITH {HOURLY}, {POLE} " + poles(
@@ -421,14 +421,14 @@ def _(t):
     return shown(cr.dumps(t.hourly), "price_change_percent", "volume_spike_multiple")
 
 
-@query("cry06_pump_and_dump", f"""WITH {MINUTELY}, g AS (SELECT *, {lag('close', 10)} AS st, {lag('close', 5)} AS tp,
+@query("cry06_pump_and_dump", f"""WITH {SURGES}, g AS (SELECT *, {lag('close', 10)} AS st, {lag('close', 5)} AS tp,
   avg(volume) {frame(-10, -6)} AS pv, avg(volume) {frame(-5, -1)} AS dv, CASE WHEN idx >= 30 THEN avg(volume) {frame(-30, -11)} END AS nv FROM bars),
 s AS (SELECT *, (tp - st) / st AS up, (close - tp) / tp AS down FROM g) """ + found(
     "'Pump and Dump Sequence'", "'bearish'", "up > 0.15 AND down < -0.10 AND pv > nv * 2 AND dv > nv * 1.5 AND idx < n - 10",
     "least(0.95, up / 0.15 * 0.3 + abs(down) / 0.10 * 0.3 + least(0.4, (pv + dv) / (nv * 4)))", 10, target="st", stop="close * 1.05",
     pump_change_percent="up * 100", dump_change_percent="down * 100", pump_volume_multiple="pv / nv"))
 def _(t):
-    return shown(cr.pump_dump(t.minutely), "pump_change_percent", "dump_change_percent", "pump_volume_multiple")
+    return shown(cr.pump_dump(t.surges), "pump_change_percent", "dump_change_percent", "pump_volume_multiple")
 
 
 @query("cry07_psychological_levels", f"""

@@ -32,6 +32,8 @@ bars AS (
 CALM_TICKS = TICKS.replace("value AS price", "500 + value * 0.1 AS price")
 HOURLY = bars_cte("hour")
 CALM = bars_cte("hour", CALM_TICKS)
+CALM_MINUTES = bars_cte("minute", CALM_TICKS)
+SURGES = bars_cte("minute", TICKS.replace("CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size", "value AS size"))
 MINUTELY = bars_cte("minute")
 DAILY = bars_cte("day", LINE_TICKS)
 

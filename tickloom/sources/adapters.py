@@ -58,11 +58,23 @@ class Tables:
     def minutely(self) -> DataFrame:
         return ticks_to_bars(self.ticks, "1m")
 
+    @cached_property
+    def calm_ticks(self) -> DataFrame:
+        """The same trades on a price with small relative moves."""
+        return self.ticks.withColumn("price", 500 + F.col("price") * 0.1)
+
     @cached_property
     def calm(self) -> DataFrame:
-        """Hourly bars of the same trades on a price with small relative moves."""
-        ticks = self.ticks.withColumn("price", 500 + F.col("price") * 0.1)
-        return ticks_to_bars(ticks, "1h")
+        return ticks_to_bars(self.calm_ticks, "1h")
+
+    @cached_property
+    def calm_minutes(self) -> DataFrame:
+        return ticks_to_bars(self.calm_ticks, "1m")
+
+    @cached_property
+    def surges(self) -> DataFrame:
+        """Minute bars whose volume follows the price, so moves come with volume."""
+        return ticks_to_bars(self.ticks.withColumn("size", F.col("price")), "1m")
 
     @cached_property
     def line_ticks(self) -> DataFrame:
