@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for m in [*MODULES[:3], "q_volprice"]:
+    for m in MODULES[:5]:
         import_module(f"tickloom.plans.{m}")
 
 
