@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for m in MODULES[:5]:
+    for m in MODULES[:7]:
         import_module(f"tickloom.plans.{m}")
 
 
