@@ -30,8 +30,8 @@ def block_rows_of(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_CONF, str(DEFAULT_BLOCK_ROWS)))
 
 
-def index_bars(bars: DataFrame) -> DataFrame:
-    """Add ``idx`` (0-based position by ts) and ``n`` (length of the series)."""
+def index_bars(bars: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """Add ``idx`` (0-based position by ts, then the rest of ``order``) and ``n`` (length of the series)."""
     if "idx" in bars.columns and "n" in bars.columns:
         return bars
     width = timeframe_seconds() * block_rows_of(bars.sparkSession)
@@ -48,7 +48,7 @@ def index_bars(bars: DataFrame) -> DataFrame:
             F.sum("_c").over(series).alias("n"),
         )
     )
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1
+    pos = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return (
         rows.withColumn("_pos", pos)
         .join(offsets, keys)

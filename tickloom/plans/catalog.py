@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for m in MODULES[:7]:
+    for m in MODULES[:11]:
         import_module(f"tickloom.plans.{m}")
 
 

@@ -52,9 +52,9 @@ def tickers(t):
     return vd.decode_tickers(raw.ticker_payloads(t.read("part"), t.read("lineitem")))
 
 
-@query("src04_ticker_decode", f"WITH {TICKERS} SELECT symbol, round(qv, 1) AS quote_volume, trades FROM tk")
+@query("src04_ticker_decode", f"WITH {TICKERS} SELECT symbol, round(qv, 2) AS quote_volume, trades FROM tk")
 def _(t):
-    return rounded(tickers(t), ["symbol", "trades"], 1, quote_volume="quote_volume")
+    return rounded(tickers(t), ["symbol", "trades"], 2, quote_volume="quote_volume")
 
 
 @query("src05_active_symbols", f"""
@@ -92,7 +92,7 @@ def _(t):
     return rounded(vd.market_overview(tickers(t)), ["section", "symbol"], 2, value="value")
 
 
-@query("src06_ticker_stream_decode", f"""WITH {TICKS} SELECT symbol, round(price, 4) AS price, size AS volume, epoch_ms(ts) AS at_ms FROM ticks
+@query("src06_ticker_stream_decode", f"""WITH {TICKS} SELECT symbol, round(price, 4) AS price, size AS volume, epoch_us(ts) // 1000 AS at_ms FROM ticks
 WHERE CAST(size AS BIGINT) % 7 <> 0 AND CAST(size AS BIGINT) % 11 <> 0""")
 def _(t):
     df = vd.decode_ticker_stream(raw.ticker_messages(t.ticks))

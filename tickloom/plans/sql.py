@@ -37,6 +37,30 @@ SURGES = bars_cte("minute", TICKS.replace("CAST(json_extract_string(props, '$.k'
 MINUTELY = bars_cte("minute")
 DAILY = bars_cte("day", LINE_TICKS)
 
+CALLS = """
+calls AS (
+  SELECT event_id, ts, '/' || event_type AS endpoint, CASE WHEN k % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
+    CASE WHEN k % 20 = 0 THEN 500 WHEN k % 10 = 3 THEN 404 ELSE 200 END AS status_code, value * 50 AS response_time_ms,
+    CASE WHEN k <> 9 THEN user_id END AS user_id, user_id % 40 AS ip_address, k * 10 AS request_size, k * 100 AS response_size
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+
+PATTERNS = """
+pk AS (
+  SELECT *, o_orderkey AS k, o_custkey AS c, ['candlestick', 'chart', 'volume', 'breakout', 'price'][CAST(left(o_orderpriority, 1) AS INTEGER)] AS kind,
+    CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'active' ELSE ['failed', 'expired', 'detected', 'confirmed'][o_orderkey % 4 + 1] END AS st,
+    o_orderdate + to_hours(o_orderkey % 24) AS det, o_totalprice / 1000 AS entry, CASE WHEN o_custkey % 3 = 1 THEN -1 ELSE 1 END AS sg
+  FROM orders),
+patterns AS (
+  SELECT CAST(k AS VARCHAR) AS pattern_id, 'SYM' || (c % 20) AS symbol, ['1h', '4h', '1d'][k % 3 + 1] AS timeframe, kind AS pattern_type, kind || '_' || (k % 4) AS pattern_name,
+    ['bullish', 'bearish', 'neutral'][c % 3 + 1] AS direction, k AS start_idx, k + k % 5 AS end_idx, det - to_hours(k % 5 * 2) AS start_ts, det AS end_ts,
+    0.3::DOUBLE + (k * 7 % 70) / 100 AS confidence, CASE WHEN k % 17 <> 0 THEN (k * 13 % 100) / 100 END AS strength, (k * 3 % 10) / 10 AS quality_score,
+    entry AS entry_price, entry * (1 + sg * (k % 7) / 50) AS target_price, entry * (1 - sg * (k % 5 + 1) / 100) AS stop_loss,
+    (k % 7) / 50 / ((k % 5 + 1) / 100) AS risk_reward, st AS status, det AS detected_at,
+    CASE WHEN st = 'completed' AND k % 5 <> 0 THEN 'success' WHEN st IN ('completed', 'failed') THEN 'failure' END AS actual_outcome,
+    CASE WHEN st IN ('completed', 'failed') THEN (k * 31 % 2000 - 800) / 10000 END AS actual_return, k % 5 * 7200 AS duration_seconds,
+    CASE k % 3 WHEN 0 THEN ['momentum'] WHEN 1 THEN ['reversal', 'volume'] ELSE [] END AS tags, (k % 30) / 10 AS volume_ratio
+  FROM pk)"""
+
 SERIES = "PARTITION BY symbol ORDER BY idx"
 
 

@@ -126,23 +126,35 @@ def active_symbols(info: DataFrame, quote_asset: str | None = None, limit: int |
 
 
 def decode_ticker_stream(messages: DataFrame) -> DataFrame:
-    """Updates from ``24hrTicker`` events; other events and broken messages drop out."""
+    """Updates from ``24hrTicker`` events; other events and broken messages drop out.
+
+    Event fields differ by case only (e and E), so they are read as map keys, not columns.
+    """
     require(messages, "value")
-    schema = "e string, E bigint, s string, c string, P string, h string, l string, v string, q string"
-    m = messages.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*").filter("e = '24hrTicker'")
+    m = messages.select(F.from_json(F.col("value").cast("string"), _TOP).alias("m"))
+    m = m.filter(F.try_element_at("m", F.lit("e")) == "24hrTicker")
+
+    def at(k: str) -> Column:
+        return F.try_element_at(F.col("m"), F.lit(k))
+
     num = {"c": "price", "P": "price_change_percent", "h": "high_price", "l": "low_price", "v": "volume", "q": "quote_volume"}
-    return m.select(F.col("s").alias("symbol"), F.timestamp_millis("E").alias("ts"), *[F.col(a).try_cast("double").alias(b) for a, b in num.items()])
+    return m.select(at("s").alias("symbol"), _millis(at("E")).alias("ts"), *[at(a).try_cast("double").alias(b) for a, b in num.items()])
 
 
 def decode_kline_stream(messages: DataFrame, closed_only: bool = True) -> DataFrame:
     """Bar updates from kline events, by default of closed bars only."""
     require(messages, "value")
-    schema = "E bigint, k struct<s:string,t:bigint,T:bigint,i:string,o:string,h:string,l:string,c:string,v:string,x:boolean>"
-    m = messages.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).filter("m.k is not null")
-    k = F.col("m.k")
-    out = m.select(k["s"].alias("symbol"), k["i"].alias("timeframe"), F.timestamp_millis(k["t"]).alias("ts"), F.timestamp_millis(k["T"]).alias("close_time"),
-                   *[k[a].try_cast("double").alias(b) for a, b in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))],
-                   k["x"].alias("is_closed"), F.timestamp_millis("m.E").alias("event_time"))
+    m = messages.select(F.from_json(F.col("value").cast("string"), _TOP).alias("m"))
+    m = m.select(F.try_element_at("m", F.lit("E")).alias("event"), F.from_json(F.try_element_at("m", F.lit("k")), _TOP).alias("k"))
+
+    def at(k: str) -> Column:
+        return F.try_element_at(F.col("k"), F.lit(k))
+
+    num = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume"}
+    out = m.filter("k is not null").select(
+        at("s").alias("symbol"), at("i").alias("timeframe"), _millis(at("t")).alias("ts"), _millis(at("T")).alias("close_time"),
+        *[at(a).try_cast("double").alias(b) for a, b in num.items()], at("x").try_cast("boolean").alias("is_closed"),
+        _millis(F.col("event")).alias("event_time"))
     return out.filter("is_closed") if closed_only else out
 
 
