@@ -62,8 +62,11 @@ def framed(
 ) -> DataFrame:
     """Indexed bars with ``blk``, ``pos`` (place in the block) and ``core``.
 
-    Rows near a cut appear in each block whose frames need them.
+    Rows near a cut appear in each block whose frames need them. Rows that are cut already
+    (wide enough, by the caller) come back as they are, so several operators can share one cut.
     """
+    if {"blk", "pos", "core"} <= set(bars.columns):
+        return bars
     df = index_bars(bars)
     size = block_rows or block_rows_of(bars.sparkSession)
     home = F.floor(F.col("idx") / size)

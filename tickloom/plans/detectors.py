@@ -23,36 +23,49 @@ class Detector:
     name: str
     find: Callable[[DataFrame], DataFrame]
     priority: int
+    shares_frame: bool = False
 
 
 REGISTRY: dict[str, Detector] = {}
+# Rows before and after a bar that the built-in detectors look at.
+REACH_BACK, REACH_AHEAD = 260, 12
 # Order of priorities.
 PRIORITY = {"critical": 1, "high": 2, "medium": 3, "low": 4}
 
 
-def register_detector(name: str, find: Callable[[DataFrame], DataFrame], priority: str = "medium") -> None:
-    """Add a detector. It builds a plan, so the optimizer sees through it."""
-    REGISTRY[name] = Detector(name, find, PRIORITY[priority])
+def register_detector(
+    name: str, find: Callable[[DataFrame], DataFrame], priority: str = "medium", shares_frame: bool = False
+) -> None:
+    """Add a detector. It builds a plan, so the optimizer sees through it.
+
+    One that ``shares_frame`` gets bars already cut into blocks (with copies) and must look no
+    further than the shared reach; any other gets plain indexed bars.
+    """
+    REGISTRY[name] = Detector(name, find, PRIORITY[priority], shares_frame)
 
 
 def unregister_detector(name: str) -> None:
     REGISTRY.pop(name, None)
 
 
-register_detector("candlestick", candlestick_patterns, "medium")
-register_detector("breakout", breakout_patterns, "high")
-register_detector("classic", classic_patterns, "high")
-register_detector("gap", gaps, "medium")
-register_detector("volume", unusual_volume, "medium")
-register_detector("crypto", crypto_patterns, "critical")
+register_detector("candlestick", candlestick_patterns, "medium", shares_frame=True)
+register_detector("breakout", breakout_patterns, "high", shares_frame=True)
+register_detector("classic", classic_patterns, "high", shares_frame=True)
+register_detector("gap", gaps, "medium", shares_frame=True)
+register_detector("volume", unusual_volume, "medium", shares_frame=True)
+register_detector("crypto", crypto_patterns, "critical", shares_frame=True)
 
 
 def detect(bars: DataFrame, detectors: Collection[str] | None = None) -> DataFrame:
-    """All findings of the chosen detectors, the higher priorities first in ``detector_priority``."""
+    """All findings of the chosen detectors, with their ``detector_priority``.
+
+    The bars are cut once for all built-in detectors: one shuffle, reused by every branch.
+    """
     df = fr.index_bars(bars)
+    cut = fr.framed(df, REACH_BACK, REACH_AHEAD)
     chosen = sorted((d for d in REGISTRY.values() if detectors is None or d.name in detectors), key=lambda d: d.priority)
     parts = [
-        d.find(df).withColumns({"detector": F.lit(d.name), "detector_priority": F.lit(d.priority)}) for d in chosen
+        d.find(cut if d.shares_frame else df).withColumns({"detector": F.lit(d.name), "detector_priority": F.lit(d.priority)}) for d in chosen
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -50,9 +50,9 @@ def _(t):
     return rounded(df, ["pattern_id", "correlated_id", "co_occurrence_count"], 5, correlation_strength="correlation_strength")
 
 
-@query("join06_correlated_patterns", f"""WITH {PATTERNS}, {PAIRS}, m AS (SELECT min(pattern_id) AS id FROM co) SELECT correlated_id, round(strength, 5) AS correlation_strength FROM co, m WHERE pattern_id = '1000' AND strength >= 0.85""")
+@query("join06_correlated_patterns", f"""WITH {PATTERNS}, {PAIRS} SELECT correlated_id, round(strength, 5) AS correlation_strength FROM co WHERE pattern_id = '10253' AND strength >= 0.85""")
 def _(t):
-    return rounded(jo.correlated(jo.co_occurrence(t.patterns), "1000", 0.85), ["correlated_id"], 5, correlation_strength="correlation_strength")
+    return rounded(jo.correlated(jo.co_occurrence(t.patterns), "10253", 0.85), ["correlated_id"], 5, correlation_strength="correlation_strength")
 
 
 @query("join08_prediction_outcome", f"""WITH {PATTERNS} SELECT pattern_id, CASE WHEN confidence > 0.6 AND actual_outcome <> 'success' THEN 'false_positive' WHEN confidence <= 0.6 AND actual_outcome = 'success' THEN 'false_negative' ELSE 'correct' END AS verdict

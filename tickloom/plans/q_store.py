@@ -6,7 +6,7 @@ from tickloom.operators import store as st
 from tickloom.plans import detectors as de
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.q_joins import PERF
-from tickloom.plans.q_patterns import CANDLE, INSIDE
+from tickloom.plans.q_patterns import CANDLE
 from tickloom.plans.sql import HOURLY, PATTERNS
 from tickloom.streaming import sinks
 
@@ -20,21 +20,18 @@ def _(t):
 
 
 @query("pipe01_candlestick_scan", f"""WITH {HOURLY}, {CANDLE}, f AS (
-SELECT symbol, 'bullish_engulfing' AS pattern_name, 0.75 AS c, idx - 1 AS s, idx AS e, ts, (close * 1.03 - close) / (close - low * 0.98) AS rr FROM s WHERE mv1 < 0 AND mv > 0 AND open < c1 AND close > o1
-UNION ALL SELECT symbol, 'bearish_engulfing', 0.75, idx - 1, idx, ts, abs(close * 0.97 - close) / abs(close - high * 1.02) FROM s WHERE mv1 > 0 AND mv < 0 AND open > c1 AND close < o1
-UNION ALL SELECT symbol, CASE WHEN c1 > o1 THEN 'bearish_harami' ELSE 'bullish_harami' END, 0.65, idx - 1, idx, ts, 1 FROM s WHERE {INSIDE}
-UNION ALL SELECT symbol, 'morning_star', 0.8, idx - 2, idx, ts, abs(close * 0.04) / abs(close - low3 * 0.98) FROM s WHERE mv2 < 0 AND abs(mv1) < abs(mv2) * 0.3 AND mv > 0 AND close > (o2 + c2) / 2
-UNION ALL SELECT symbol, 'evening_star', 0.8, idx - 2, idx, ts, abs(close * 0.04) / abs(close - high3 * 1.02) FROM s WHERE mv2 > 0 AND abs(mv1) < abs(mv2) * 0.3 AND mv < 0 AND close < (o2 + c2) / 2),
-d AS (SELECT f.*, b.ts AS st FROM f JOIN bars b ON b.symbol = f.symbol AND b.idx = f.s WHERE rr >= 1.5),
-u AS (SELECT *, row_number() OVER (PARTITION BY symbol, pattern_name, CAST(st AS DATE) ORDER BY c DESC, st, e) AS r FROM d),
-k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, CASE WHEN c > 0.8 THEN 0.9 ELSE 0.6 END DESC, st, e, pattern_name) AS rank FROM u WHERE r = 1)
-SELECT symbol, pattern_name, s AS start_idx, e AS end_idx, rank FROM k WHERE rank <= 50""")
+SELECT symbol, 'spinning_top' AS pattern_name, 0.6 AS c, idx AS e, ts AS st FROM s WHERE rng > 0 AND body / nullif(rng, 0) < 0.3 AND abs(up - dn) / nullif(rng, 0) < 0.2
+UNION ALL SELECT symbol, CASE WHEN rng > 0 AND up / nullif(rng, 0) > 0.7 THEN 'gravestone_doji' WHEN rng > 0 AND dn / nullif(rng, 0) > 0.7 THEN 'dragonfly_doji' WHEN rng > 0 AND abs(up - dn) / nullif(rng, 0) < 0.1 THEN 'long-legged_doji' ELSE 'standard_doji' END,
+  CASE WHEN rng > 0 AND (up / nullif(rng, 0) > 0.7 OR dn / nullif(rng, 0) > 0.7) THEN 0.8 WHEN rng > 0 AND abs(up - dn) / nullif(rng, 0) < 0.1 THEN 0.75 ELSE 0.7 END, idx, ts FROM s WHERE body / ((open + close) / 2) < 0.001),
+u AS (SELECT *, row_number() OVER (PARTITION BY symbol, pattern_name, CAST(st AS DATE) ORDER BY c DESC, st, e) AS r FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY c DESC, st, e, pattern_name) AS rank FROM u WHERE r = 1)
+SELECT symbol, pattern_name, e AS end_idx, rank FROM k WHERE rank <= 50""")
 def _(t):
     from tickloom.operators.candles import candlestick_patterns
 
-    found = candlestick_patterns(t.hourly, groups=["engulfing", "harami", "morning_star", "evening_star"])
+    found = candlestick_patterns(t.hourly, groups=["doji", "spinning_top"])
     found = found.withColumns({"strength": de.strength_of(F.col("confidence")), "quality_score": F.lit(None).cast("double")})
-    return de.filter_rank(found).select("symbol", "pattern_name", "start_idx", "end_idx", "rank")
+    return de.filter_rank(found).select("symbol", "pattern_name", "end_idx", "rank")
 
 
 @query("pipe02_filter_and_rank", f"""WITH {PATTERNS}, f AS (SELECT * FROM patterns WHERE confidence >= 0.6 AND (risk_reward IS NULL OR risk_reward = 0 OR risk_reward >= 1.5)),
@@ -181,9 +178,9 @@ def _(t):
     return back.groupBy(F.date_format("detected_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("archived"))
 
 
-@query("pipe16_annotations", f"""WITH {PATTERNS} SELECT pattern_id, 'Entry' AS label, round(entry_price, 5) AS price FROM patterns UNION ALL SELECT pattern_id, 'Target', round(target_price, 5) FROM patterns UNION ALL SELECT pattern_id, 'Stop Loss', round(stop_loss, 5) FROM patterns""")
+@query("pipe16_annotations", f"""WITH {PATTERNS} SELECT pattern_id, 'Entry' AS label, round(entry_price, 8) AS price FROM patterns UNION ALL SELECT pattern_id, 'Target', round(target_price, 8) FROM patterns UNION ALL SELECT pattern_id, 'Stop Loss', round(stop_loss, 8) FROM patterns""")
 def _(t):
-    return rounded(st.annotations(t.patterns), ["pattern_id", "label"], 5, price="price")
+    return rounded(st.annotations(t.patterns), ["pattern_id", "label"], 8, price="price")
 
 
 @query("pipe17_combined_filters", f"""WITH {PATTERNS} SELECT query, count(*) AS hits FROM (SELECT 'a' AS query FROM patterns WHERE symbol IN ('SYM1', 'SYM2') AND confidence >= 0.7 UNION ALL SELECT 'b' FROM patterns WHERE pattern_type = 'volume' AND status = 'completed'

@@ -179,7 +179,7 @@ def _(t):
 
 @query("join07_channels")
 def _(t):
-    df = tr.channels(tr.trendlines(t.calm))
+    df = tr.channels(tr.trendlines(t.hourly))
     return rounded(df, ["symbol"], 5, **{c: c for c in ("upper_slope", "lower_slope", "width", "strength")})
 
 
