@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for m in MODULES[:13]:
+    for m in MODULES:
         import_module(f"tickloom.plans.{m}")
 
 

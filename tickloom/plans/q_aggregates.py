@@ -11,8 +11,14 @@ from tickloom.plans.q_volume import OBV, divergence
 from tickloom.plans.sql import CALLS, HOURLY, PATTERNS, TICKS
 from tickloom.streaming import sinks
 
-AS_OF = F.lit("2000-06-01").cast("timestamp")
-NOW = F.lit("2024-01-20 12:00:00").cast("timestamp")
+def as_of():
+    return F.lit("2000-06-01").cast("timestamp")
+
+
+def now():
+    return F.lit("2024-01-20 12:00:00").cast("timestamp")
+
+
 NOW_SQL = "TIMESTAMP '2024-01-20 12:00:00'"
 
 
@@ -62,7 +68,7 @@ FINISHED = "patterns WHERE status IN ('completed', 'failed') AND detected_at >=
   round(count(*) FILTER (actual_outcome = 'success') / count(*), 6) AS success_rate, round(avg(actual_return), 6) AS avg_return, round(max(actual_return), 6) AS best_return, round(min(actual_return), 6) AS worst_return,
   count(*) FILTER (pattern_type = 'chart') AS charts, count(*) FILTER (direction = 'bullish') AS bullish FROM {FINISHED} GROUP BY 1""")
 def _(t):
-    df = ag.pattern_performance(t.patterns, AS_OF, 365)
+    df = ag.pattern_performance(t.patterns, as_of(), 365)
     zero = F.lit(0)
     return df.select("symbol", "total_patterns", "successful", "failed", *[F.round(c, 6).alias(c) for c in ("success_rate", "avg_return", "best_return", "worst_return")],
                      F.coalesce(F.try_element_at("patterns_by_type", F.lit("chart")), zero).alias("charts"), F.coalesce(F.try_element_at("patterns_by_direction", F.lit("bullish")), zero).alias("bullish"))
@@ -71,7 +77,7 @@ def _(t):
 @query("agg06_daily_distribution", f"""WITH {PATTERNS}, g AS (SELECT s.symbol, CAST(TIMESTAMP '2000-06-01' - to_days(30) AS DATE) + CAST(i AS INTEGER) AS day FROM (SELECT DISTINCT symbol FROM patterns) s CROSS JOIN (SELECT unnest(range(30)) AS i))
 SELECT g.symbol, strftime(g.day, '%Y-%m-%d') AS day, count(p.pattern_id) AS patterns FROM g LEFT JOIN patterns p ON p.symbol = g.symbol AND CAST(p.detected_at AS DATE) = g.day GROUP BY 1, 2""")
 def _(t):
-    return ag.daily_distribution(t.patterns, AS_OF, 30).select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), "patterns")
+    return ag.daily_distribution(t.patterns, as_of(), 30).select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), "patterns")
 
 
 @query("agg07_trending", f"""WITH {PATTERNS}, r AS (SELECT * FROM patterns WHERE detected_at >= TIMESTAMP '2000-06-01' - to_hours(168)), d AS (SELECT pattern_type, pattern_name, direction, count(*) AS c FROM r GROUP BY 1, 2, 3)
@@ -79,12 +85,12 @@ SELECT pattern_type, pattern_name, count(*) AS occurrences, count(DISTINCT symbo
   (SELECT arg_max(direction, (c, direction)) FROM d WHERE d.pattern_type = r.pattern_type AND d.pattern_name = r.pattern_name) AS dominant_direction
 FROM r GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY occurrences DESC, pattern_type, pattern_name LIMIT 20""")
 def _(t):
-    return rounded(ag.trending(t.patterns, AS_OF, 168), ["pattern_type", "pattern_name", "occurrences", "unique_symbols", "dominant_direction"], 8, avg_confidence="avg_confidence")
+    return rounded(ag.trending(t.patterns, as_of(), 168), ["pattern_type", "pattern_name", "occurrences", "unique_symbols", "dominant_direction"], 8, avg_confidence="avg_confidence")
 
 
 @query("agg08_nonzero_averages", f"""WITH {PATTERNS} SELECT symbol, round(avg(nullif(confidence, 0)), 6) AS avg_confidence, round(avg(nullif(duration_seconds, 0)) / 3600, 6) AS avg_duration_hours FROM {FINISHED} GROUP BY 1""")
 def _(t):
-    return rounded(ag.pattern_performance(t.patterns, AS_OF, 365), ["symbol"], avg_confidence="avg_confidence", avg_duration_hours="avg_duration_hours")
+    return rounded(ag.pattern_performance(t.patterns, as_of(), 365), ["symbol"], avg_confidence="avg_confidence", avg_duration_hours="avg_duration_hours")
 
 
 OUTCOMES = "oc AS (SELECT pattern_name, actual_outcome = 'success' AS success, actual_return AS ret, duration_seconds // 3600 AS duration_bars FROM patterns WHERE actual_outcome IS NOT NULL)"
@@ -153,18 +159,18 @@ RECENT = f"calls WHERE ts > {NOW_SQL} - to_hours(240)"
 @query("agg15_usage_statistics", f"""WITH {CALLS} SELECT count(*) AS total_requests, count(*) FILTER (status_code < 400) AS successful_requests, count(*) FILTER (status_code >= 400) AS error_requests, round(avg(response_time_ms), 4) AS avg_response_time,
   count(DISTINCT user_id) AS unique_users, count(DISTINCT ip_address) AS unique_ips, CAST(sum(request_size + response_size) AS BIGINT) AS data_transferred FROM {RECENT}""")
 def _(t):
-    df = lg.usage_stats(t.calls, NOW, 240)
+    df = lg.usage_stats(t.calls, now(), 240)
     return df.select("total_requests", "successful_requests", "error_requests", F.round("avg_response_time", 4).alias("avg_response_time"), "unique_users", "unique_ips", "data_transferred")
 
 
 @query("agg15_top_endpoints", f"WITH {CALLS} SELECT method || ' ' || endpoint AS endpoint, count(*) AS count FROM {RECENT} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def _(t):
-    return lg.top_endpoints(t.calls, NOW, 240)
+    return lg.top_endpoints(t.calls, now(), 240)
 
 
 @query("agg15_error_breakdown", f"WITH {CALLS} SELECT status_code, count(*) AS count FROM {RECENT} AND status_code >= 400 GROUP BY 1")
 def _(t):
-    return lg.error_breakdown(t.calls, NOW, 240)
+    return lg.error_breakdown(t.calls, now(), 240)
 
 
 @query("agg16_endpoint_analytics", f"""WITH {CALLS} SELECT method, endpoint, count(*) AS total_calls, round(avg(response_time_ms), 4) AS avg_response_time, round(count(*) FILTER (status_code >= 400) / count(*), 6) AS error_rate,
@@ -198,7 +204,7 @@ def _(t):
 
 @query("agg18_violation_totals", f"WITH {CALLS} SELECT count(*) AS total_violations, count(*) FILTER (ts > {NOW_SQL} - to_hours(1)) AS recent_violations FROM calls WHERE status_code = 404")
 def _(t):
-    return lg.violation_stats(violations(t), NOW)
+    return lg.violation_stats(violations(t), now())
 
 
 @query("agg19_suspicious_ips", f"""WITH {CALLS}, h AS (SELECT ip_address, count(*) OVER (PARTITION BY ip_address ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS c, status_code FROM calls)
@@ -230,7 +236,7 @@ def _(t):
 @query("agg23_security_score", f"""WITH {CALLS}, u AS (SELECT count(*) FILTER (status_code >= 400) / count(*) AS er, avg(response_time_ms) AS m FROM {RECENT}), v AS (SELECT count(*) FILTER (ts > {NOW_SQL} - to_hours(1)) AS r FROM calls WHERE status_code = 404)
 SELECT greatest(0, 100 - CASE WHEN er > 0.1 THEN 20 ELSE 0 END - CASE WHEN m > 1000 THEN 10 ELSE 0 END - CASE WHEN r > 10 THEN 15 ELSE 0 END) AS security_score, round(er, 4) AS error_rate, round(m, 4) AS avg_response_time, r AS recent_violations FROM u, v""")
 def _(t):
-    df = lg.security_score(lg.usage_stats(t.calls, NOW, 240), lg.violation_stats(violations(t), NOW))
+    df = lg.security_score(lg.usage_stats(t.calls, now(), 240), lg.violation_stats(violations(t), now()))
     return rounded(df, ["security_score", "recent_violations"], 4, error_rate="error_rate", avg_response_time="avg_response_time")
 
 
@@ -261,6 +267,6 @@ def _(t):
 
 @query("agg26_usage_export", f"""WITH {CALLS} SELECT count(*) FILTER (ts > {NOW_SQL} - to_hours(24)) AS total_requests, count(DISTINCT method || endpoint) AS endpoints, count(*) FILTER (status_code = 404) AS violations FROM calls""")
 def _(t):
-    doc = lg.export_usage(t.calls, violations(t), NOW)
+    doc = lg.export_usage(t.calls, violations(t), now())
     d = F.from_json("document", "usage_statistics struct<total_requests:bigint>, endpoint_stats array<struct<endpoint:string>>, rate_violations struct<total_violations:bigint>")
     return doc.select(d.alias("d")).select(F.col("d.usage_statistics.total_requests").alias("total_requests"), F.size("d.endpoint_stats").cast("long").alias("endpoints"), F.col("d.rate_violations.total_violations").alias("violations"))

@@ -7,7 +7,7 @@ from tickloom.operators import confidence as co
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.sql import PATTERNS
 
-INPUT = """ci AS (SELECT pattern_id, direction, k, (k % 100) / 100 AS hsr, k % 150 AS ss, (k * 7 % 100) / 100 AS rp, (k % 17 - 5) / 100 AS ar, (k % 30) / 10 AS wl,
+INPUT = """ci AS (SELECT pattern_id, direction, k, (k % 97) / 97 AS hsr, k % 150 AS ss, (k * 7 % 97) / 97 AS rp, (k % 17 - 5) / 100 AS ar, (k % 30) / 10 AS wl,
   CASE k % 4 WHEN 0 THEN 'breakout' WHEN 1 THEN 'reversal' ELSE pattern_type END AS kind, (k % 25) * 10 AS vol, 100 AS av, ['increasing', 'decreasing', 'diverging', 'flat'][k % 4 + 1] AS vt, k % 5 = 0 AS poc, k % 7 = 0 AS vw,
   ['bullish', 'bearish', 'neutral'][k % 3 + 1] AS ht, k % 5 AS zones, (k % 11) / 10 AS ts, (k % 40) / 100 AS vo, ['bullish', 'bearish'][k % 2 + 1] AS td, ['accumulation', 'markdown', 'none'][k % 3 + 1] AS ph, k % 9 = 0 AS brk, k % 10 = 0 AS rev
   FROM patterns JOIN pk ON pattern_id = CAST(k AS VARCHAR))"""
@@ -20,7 +20,7 @@ def inputs(t):
         return F.get(F.array(*[F.lit(n) for n in names]), i.cast("int"))
 
     return t.patterns.select(
-        "pattern_id", "symbol", "timeframe", "direction", "pattern_name", "start_idx", (k % 100 / 100).alias("historical_success_rate"), (k % 150).alias("sample_size"), (k * 7 % 100 / 100).alias("recent_performance"),
+        "pattern_id", "symbol", "timeframe", "direction", "pattern_name", "start_idx", (k % 97 / 97).alias("historical_success_rate"), (k % 150).alias("sample_size"), (k * 7 % 97 / 97).alias("recent_performance"),
         ((k % 17 - 5) / 100).alias("avg_return"), (k % 30 / 10).alias("win_loss_ratio"), F.when(k % 4 == 0, "breakout").when(k % 4 == 1, "reversal").otherwise(F.col("pattern_type")).alias("pattern_type"),
         (k % 25 * 10).alias("volume"), F.lit(100).alias("avg_volume"), pick(k % 4, "increasing", "decreasing", "diverging", "flat").alias("volume_trend"), (k % 5 == 0).alias("at_poc"), (k % 7 == 0).alias("above_vwap"),
         pick(k % 3, "bullish", "bearish", "neutral").alias("higher_timeframe_trend"), (k % 5).alias("confluence_zones"), (k % 11 / 10).alias("trend_strength"), (k % 40 / 100).alias("volatility"),

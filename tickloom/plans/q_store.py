@@ -10,7 +10,8 @@ from tickloom.plans.q_patterns import CANDLE
 from tickloom.plans.sql import HOURLY, PATTERNS
 from tickloom.streaming import sinks
 
-AS_OF = F.lit("2000-06-01").cast("timestamp")
+def as_of():
+    return F.lit("2000-06-01").cast("timestamp")
 
 
 @query("pipe01_scan")
@@ -87,8 +88,8 @@ def _(t):
 
 @query("pipe07_save", f"""WITH {PATTERNS} SELECT symbol, count(DISTINCT (symbol, timeframe, pattern_type, pattern_name, start_ts, end_ts)) AS ids, CAST(sum(epoch(end_ts) - epoch(start_ts)) AS BIGINT) AS seconds, count(*) FILTER (confidence >= 0.8) AS kept_long FROM patterns GROUP BY 1""")
 def _(t):
-    saved = st.to_store(t.patterns.drop("pattern_id"), AS_OF)
-    long = F.col("expires_at") == AS_OF + F.expr("interval 180 days")
+    saved = st.to_store(t.patterns.drop("pattern_id"), as_of())
+    long = F.col("expires_at") == as_of() + F.expr("interval 180 days")
     return saved.groupBy("symbol").agg(F.count_distinct("pattern_id").alias("ids"), F.sum("duration_seconds").alias("seconds"), F.count_if(long).alias("kept_long"))
 
 
@@ -167,14 +168,14 @@ def _(t):
 @query("pipe15_expire", f"""WITH {PATTERNS} SELECT detected_at + to_days(CASE WHEN confidence >= 0.8 THEN 180 ELSE 30 END) < TIMESTAMP '2000-06-01' AS expired, count(*) AS patterns FROM patterns GROUP BY 1""")
 def _(t):
     p = t.patterns.withColumn("expires_at", F.col("detected_at") + F.make_dt_interval(st.retention_days(F.col("confidence"))))
-    kept, gone = st.expire(p, AS_OF)
+    kept, gone = st.expire(p, as_of())
     n = F.count(F.lit(1)).alias("patterns")
     return kept.agg(n).select(F.lit(False).alias("expired"), "patterns").unionByName(gone.agg(n).select(F.lit(True).alias("expired"), "patterns"))
 
 
 @query("pipe15_archive", f"WITH {PATTERNS} SELECT strftime(detected_at, '%Y-%m') AS month, count(*) AS archived FROM patterns WHERE detected_at < TIMESTAMP '2000-06-01' - to_days(365) GROUP BY 1")
 def _(t):
-    back = sinks.written(t.spark, lambda path: st.archive(t.patterns, AS_OF, path))
+    back = sinks.written(t.spark, lambda path: st.archive(t.patterns, as_of(), path))
     return back.groupBy(F.date_format("detected_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("archived"))
 
 
