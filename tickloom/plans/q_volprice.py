@@ -175,17 +175,17 @@ def _(t):
 
 def day(cond: str) -> str:
     return f"""WITH {DAILY}, d AS (SELECT *, {lag('close')} AS was, CASE WHEN idx >= 49 THEN avg(volume) {last(50)} END AS v50 FROM bars)
-SELECT symbol, idx, round(close, 6) AS close FROM d WHERE {cond} AND volume > v50 * 1.1"""
+SELECT symbol, idx, round(close, 8) AS close FROM d WHERE {cond} AND volume > v50 * 1.1"""
 
 
 @query("vpa13_accumulation_days", day("close > was * 1.002"))
 def _(t):
-    return lines(vp.accumulation_days(t.daily), "close")
+    return lines(vp.accumulation_days(t.daily), "close", digits=8)
 
 
 @query("vpa14_distribution_days", day("close < was * 0.998"))
 def _(t):
-    return lines(vp.distribution_days(t.daily), "close")
+    return lines(vp.distribution_days(t.daily), "close", digits=8)
 
 
 def kinds(col: str = "pattern_name") -> str:
