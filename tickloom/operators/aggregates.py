@@ -130,10 +130,9 @@ def metric_key(name: str, tags: str) -> Column:
 def metrics_summary(events: DataFrame) -> DataFrame:
     """Counters summed, gauges last, timings and histograms as count, min, max, mean."""
     require(events, "kind", "name", "tags", "value", "ts")
-    v, timed = F.col("value"), F.col("kind").isin("timing", "histogram")
+    timed = F.col("kind").isin("timing", "histogram")
     g = events.withColumn("metric", metric_key("name", "tags")).groupBy("kind", "metric").agg(
         _count().alias("_n"), F.sum("value").alias("_s"), F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.avg("value").alias("_m"), F.max_by("value", "ts").alias("_last"))
-    del v
     return g.select("kind", "metric", F.when(F.col("kind") == "counter", F.col("_s")).when(F.col("kind") == "gauge", F.col("_last")).alias("value"),
                     F.when(timed, F.col("_n")).alias("count"), F.when(timed, F.col("_lo")).alias("min"), F.when(timed, F.col("_hi")).alias("max"), F.when(timed, F.col("_m")).alias("avg"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.schemas import SERIES, TIMEFRAME_SECONDS, require
+from tickloom.schemas import TIMEFRAME_SECONDS, require
 
 _TRUNC = {"1m": "minute", "1h": "hour", "1d": "day", "1w": "week", "1M": "month"}
 
@@ -83,5 +83,3 @@ def last_n(df: DataFrame, n: int = 20) -> DataFrame:
     """The newest n rows of each series of an indexed frame."""
     return df.filter(F.col("idx") >= F.col("n") - n)
 
-
-__all__ = ["SERIES", "bar_start", "ticks_to_bars", "resample", "last_per_window", "latest", "last_n"]

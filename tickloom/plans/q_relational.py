@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tickloom.functions import frames as fr
 from tickloom.operators import averages as av
 from tickloom.operators import relational as re
-from tickloom.operators import volume as vm
 from tickloom.operators.bars import latest
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.sql import DAILY, HOURLY, PATTERNS, TICKS, lag, last
@@ -133,5 +132,3 @@ def _(t):
     alerts = rules.withColumn("symbol", F.explode(F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")])))
     return re.evaluate_alerts(alerts, feats).groupBy("alert", "symbol").agg(F.count_if("triggered").alias("triggered"))
 
-
-__all__ = ["vm"]

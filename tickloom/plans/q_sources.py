@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tickloom.operators.bars import ticks_to_bars
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.sql import DAILY, HOURLY, TICKS
 from tickloom.sources import messages as ms
@@ -172,5 +171,3 @@ def _(t):
     updates = vip.unionByName(vip.withColumn("c_custkey", -1 - F.col("c_custkey")))
     return storage.upsert(base, updates, ["c_custkey"])
 
-
-__all__ = ["ticks_to_bars"]

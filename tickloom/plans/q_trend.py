@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import trend as tr
 from tickloom.plans.catalog import lines, query, rounded
-from tickloom.plans.sql import CALM, HOURLY, SERIES, frame, lag, last, lead
+from tickloom.plans.sql import CALM, HOURLY, frame, lag, last, lead
 
 
 @query("trd01_hp_filter")
@@ -235,5 +235,3 @@ def _(t):
     return rounded(df, ["symbol", "n", "adx_interpretation", "mk_trend", "alignment_type", "trend_direction", "trend_quality"], 4,
                    **{c: c for c in ("adx", "slope", "r_squared", "tau", "hp_strength", "momentum_strength", "overall_strength")})
 
-
-__all__ = ["SERIES"]

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tickloom.operators import candles as ca
 from tickloom.operators import volprice as vp
 from tickloom.plans.catalog import lines, query, rounded
-from tickloom.plans.q_patterns import shown
 from tickloom.plans.sql import CALM, DAILY, HOURLY, frame, lag, last, lead
 
 
@@ -271,5 +270,3 @@ def _(t):
     df = vp.volume_signal_strength(t.hourly)
     return rounded(df, ["symbol", "idx", "signal_quality"], 5, strength="strength", **{k: k for k in vp.STRENGTH_WEIGHTS})
 
-
-__all__ = ["shown"]
