@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language_id
+from tickloom.llm import language_id, mixing, url_filters
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_url_filters(spark: SparkSession, path: str) -> DataFrame:
+    return url_filters.contract(spark, table(spark, path, "pages"))
+
+
+@query
+def op6_mixing(spark: SparkSession, path: str) -> DataFrame:
+    return mixing.mix(table(spark, path, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query
 def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
     return language_id.held_out_prediction(table(spark, path, "documents"))
