@@ -23,9 +23,9 @@ from pyspark.sql.window import Window
 from tickloom.llm.common import SPACES, WORD, stored
 
 #: Words in a block.
-BLOCK = 128
+BLOCK = 64
 #: Output shards: at most so many, of at least so many slots.
-SHARDS, SHARD_SLOTS = 4096, 256
+SHARDS, SHARD_SLOTS = 4096, 4096
 #: The mix holds this share of all words; a source is taken at most CAP times.
 SHARE, CAP = 1.5, 2.0
 #: Fixed values of the query contract: weights of the sources in order, repeating.

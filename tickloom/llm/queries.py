@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language_id, mixing, url_filters
+from tickloom.llm import language_id, mixing, token_binary, url_filters
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op6_mixing(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix(table(spark, path, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query
+def op8_token_binary(spark: SparkSession, path: str) -> DataFrame:
+    return token_binary.round_trip(table(spark, path, "documents"))
+
+
 @query
 def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
     return language_id.held_out_prediction(table(spark, path, "documents"))
