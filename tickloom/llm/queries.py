@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import language_id, mixing, token_binary, url_filters
+from tickloom.llm import language_id, mixing, substring_dedup, token_binary, url_filters
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op8_token_binary(spark: SparkSession, path: str) -> DataFrame:
     return token_binary.round_trip(table(spark, path, "documents"))
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, path, "documents"), spans=False).drop("spans")
+
+
 @query
 def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
     return language_id.held_out_prediction(table(spark, path, "documents"))
