@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import embedding_dedup, language_id, minhash_dedup, mixing, substring_dedup, token_binary, url_filters
+from tickloom.llm import embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary, url_filters
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op6_mixing(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix(table(spark, path, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, path: str) -> DataFrame:
+    return lm_scoring.contract(table(spark, path, "documents"))
+
+
 @query
 def op8_token_binary(spark: SparkSession, path: str) -> DataFrame:
     return token_binary.round_trip(table(spark, path, "documents"))
