@@ -120,15 +120,16 @@ def profiles(docs: DataFrame, text: str = "text", label: str = "lang") -> dict[s
     return {r["label"]: [p["x"] for p in r["v"]] for r in found.collect() if any(p["x"] for p in r["v"])}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "text") -> DataFrame:
-    """All columns of docs, then lang_pred and score (cosine, 0 to 1); older columns of these names give way.
+def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "text", names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, then lang_pred and score (cosine, 0 to 1) or as named; older columns of these names give way.
 
     Null texts, texts without letters, and all texts if there are no prototypes: `und` with score 0. A tie goes to the
     first label in order. Repeated rows get the same answer; a text of any length is read whole.
     """
     names = sorted(prototypes)
     matrix = _unit(np.array([prototypes[n] for n in names], np.float64)) if names else np.zeros((0, DIM))
-    added = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    pred, cosine = names_out
+    added = StructType([StructField(pred, StringType()), StructField(cosine, DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +146,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "t
                     top = np.clip(cos[np.arange(t.n), best], 0.0, 1.0)
                 langs += [names[k] if s else UNKNOWN for k, s in zip(best, some, strict=True)]
                 scores.append(np.where(some, top, 0.0))
-            yield extended(batch, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+            yield extended(batch, {pred: pa.array(langs, pa.string()), cosine: pa.array(np.concatenate(scores) if scores else [], pa.float64())})
 
     return docs.mapInArrow(predict, schema_with(docs, added))
 

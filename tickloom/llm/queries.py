@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary, url_filters
+from tickloom.llm import decontamination, embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary, url_filters
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op4_embedding_dedup(spark: SparkSession, path: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, path, "embeddings"))
 
 
+@query
+def op5_decontamination(spark: SparkSession, path: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
 @query
 def op6_mixing(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix(table(spark, path, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
