@@ -144,11 +144,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words [^\\x20\\x09-\\x0D]+ of texts: byte ranges, 64-bit hashes, and where each text's words begin (`first`)."""
+    """Words [^\\x20\\x09-\\x0D]+ of texts: byte ranges, 64-bit hashes, and where each text's words begin (`first`).
 
-    def __init__(self, texts: Texts, fold: bool = True, hashes: bool = True):
+    Another table of the bytes that separate words may be given.
+    """
+
+    def __init__(self, texts: Texts, fold: bool = True, hashes: bool = True, spaces: np.ndarray = _IS_SPACE):
         data, off = texts.data, texts.offsets
-        word = ~_IS_SPACE[data]
+        word = ~spaces[data]
         begins, ends = word.copy(), word.copy()
         if len(data):
             begins[1:] &= ~word[:-1]

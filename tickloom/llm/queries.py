@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, embedding_dedup, language_id, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary, url_filters
+from tickloom.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary, url_filters
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_url_filters(spark: SparkSession, path: str) -> DataFrame:
     return url_filters.contract(spark, table(spark, path, "pages"))
 
 
+@query
+def op2_license_scan(spark: SparkSession, path: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, path, "documents"))
+
+
 @query
 def op3_minhash_dedup(spark: SparkSession, path: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, path, "documents"), shingle=4, percent=80)
