@@ -15,8 +15,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session(**{"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = session(**{"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared, "spark.sql.warehouse.dir": shared + "/warehouse"})
     yield s
     s.stop()
 

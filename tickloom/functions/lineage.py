@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder (spark.checkpoint.dir).
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, else one in the session's warehouse, never a machine's own temporary folder."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate").rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str = "tickloom") -> str:
+    """A new, unused path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    Only a session that names no folder, as in tests, gets a temporary one.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate that no later plan reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()

@@ -1,18 +1,17 @@
-"""Folders for written results: under the cluster's shared folder, temporary only where none is named."""
+"""Folders for written results, under the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.functions.lineage import shared_folder
+
 
 def folder(spark: SparkSession) -> str:
-    """A new, unused path in the shared folder (spark.checkpoint.dir)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-")
-    return f"{root.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+    """A new, unused path in the shared folder."""
+    return shared_folder(spark)
 
 
 def written(spark: SparkSession, write: Callable[[str], None]) -> DataFrame:
