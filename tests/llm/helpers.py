@@ -1,0 +1,2 @@
+def pairs_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tickloom.functions.lineage import remove, shared_folder
+
 #: White space of every contract: space and the controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,11 +48,8 @@ def crc_mod(key: str, n: int) -> Column:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; a session that names none, as in tests, gets one beside its warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-llm"
-    return f"{root.rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return shared_folder(spark, f"llm-{what}")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -63,9 +61,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made by stored() that no later plan reads."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(spark, path)
 
 
 # ---- columns

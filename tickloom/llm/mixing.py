@@ -171,6 +171,6 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", block: int = BLOCK) ->
     last = lambda b: F.least(F.col("begin") + F.col("size"), (b + 1) * block) - F.col("begin")
     piece = lambda u: F.flatten(F.array_repeat(F.slice(F.col("words"), (first(u["block"]) + 1).cast("int"), (last(u["block"]) - first(u["block"])).cast("int")), u["times"].cast("int")))
     text = F.array_join(F.flatten(F.transform("used", piece)), " ")
-    out = at.join(used, ["rank", "begin"]).withColumn("words", words).withColumn("_text", text)
+    out = at.where("size > 0").join(used, ["rank", "begin"]).withColumn("words", words).withColumn("_text", text)
     made = {c: F.col(f"_row.`{c}`") for c in rest} | {"text": F.col("_text"), "source": F.col("source")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in columns else {})
     return out.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and isinstance(docs.schema[c].dataType, T.NumericType) else made[c].alias(c) for c in columns])
