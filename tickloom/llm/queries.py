@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary, url_filters
 from tickloom.llm.common import table
+from tickloom.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
