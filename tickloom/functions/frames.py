@@ -57,6 +57,24 @@ def index_bars(bars: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
     )
 
 
+def index_rows(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``idx`` and ``n`` as :func:`index_bars`, for rows that follow no time grid: any number may fall in a day.
+
+    Rows are counted per second; where a second begins in its series is the sum of the days before and of the seconds before
+    in its day, and a row's place follows inside its second. The largest window partitions are a series' days, a day's
+    seconds, and a second's rows.
+    """
+    second = [*SERIES, "_second"]
+    at = rows.withColumn("_second", F.unix_seconds("ts"))
+    counts = at.groupBy(*second).agg(F.count(F.lit(1)).alias("_c")).withColumn("_day", F.floor(F.col("_second") / 86_400))
+    series, day = Window.partitionBy(*SERIES), Window.partitionBy(*SERIES, "_day")
+    before = lambda w, by: F.coalesce(F.sum("_c").over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = counts.groupBy(*SERIES, "_day").agg(F.sum("_c").alias("_c")).select(*SERIES, "_day", before(series, "_day").alias("_days"), F.sum("_c").over(series).alias("n"))
+    starts = counts.withColumn("_seconds", before(day, "_second")).join(days, [*SERIES, "_day"]).select(*second, (F.col("_days") + F.col("_seconds")).alias("_start"), "n")
+    inside = F.row_number().over(Window.partitionBy(*second).orderBy(*order)) - 1
+    return at.withColumn("_inside", inside).join(starts, second).withColumn("idx", F.col("_start") + F.col("_inside")).drop("_second", "_inside", "_start")
+
+
 def framed(
     bars: DataFrame, back: int = 0, ahead: int = 0, block_rows: int | None = None
 ) -> DataFrame:

@@ -277,9 +277,9 @@ def learn(outcomes: DataFrame, key: str = "pattern_name", order: tuple[str, ...]
 
 def learning_metrics(outcomes: DataFrame, key: str = "pattern_name", order: tuple[str, ...] = ("observed_at", "pattern_id")) -> DataFrame:
     """Accuracy, means and correlation per learner, and the change from the first 50 to the last 50 outcomes."""
-    df = outcomes.withColumns({"symbol": F.col(key), "timeframe": F.lit("1d"), "ts": F.col(order[0]),
+    df = outcomes.withColumns({"symbol": F.col(key), "timeframe": F.lit(""), "ts": F.col(order[0]),
                                "_hit": ((F.col("overall_score") > 0.6) == F.col("success")).cast("double")})
-    df = fr.index_bars(df, order)
+    df = fr.index_rows(df, order)
     c, r = F.col("overall_score"), F.col("ret")
     early, late = F.col("idx") < 50, F.col("idx") >= F.col("n") - 50
 

@@ -232,52 +232,56 @@ _LINE_SCHEMA = (
 )
 
 
+def _fits(x: np.ndarray, v: np.ndarray, min_points: int) -> tuple[np.ndarray, ...]:
+    """Least-squares fit of every run that starts at the first point: number of points, slope, intercept and r, from running sums."""
+    dx, dv = x - x[0], v - v[0]
+    n = np.arange(1, len(x) + 1)
+    sx, sv = np.cumsum(dx), np.cumsum(dv)
+    sxx, sxv, svv = np.cumsum(dx * dx) - sx * sx / n, np.cumsum(dx * dv) - sx * sv / n, np.cumsum(dv * dv) - sv * sv / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope, r = sxv / sxx, np.clip(sxv / np.sqrt(sxx * svv), -1, 1)
+    base = (sv - slope * sx) / n + v[0] - slope * x[0]
+    use = (n >= min_points) & (svv > 1e-18 * np.maximum(1.0, np.abs(v).max()) ** 2) & (np.abs(r) > 0.8)
+    return n[use], slope[use], base[use], r[use]
+
+
 def _lines(y: np.ndarray, points: np.ndarray, kind: str, min_points: int, max_dev: float) -> list[tuple]:
-    """Least-squares lines over every run of consecutive extrema, near-duplicates dropped in order."""
+    """Lines over every run of consecutive extrema that fit well, near-duplicates dropped in order."""
     kept: list[tuple] = []
-    x_all = np.arange(len(y))
+    slopes, bases = np.empty(0), np.empty(0)
+    x_all, values = np.arange(len(y)), y[points]
     for i in range(len(points) - min_points + 1):
-        for j in range(i + min_points, len(points) + 1):
-            x = points[i:j].astype(float)
-            v = y[points[i:j]]
-            dx, dv = x - x.mean(), v - v.mean()
-            sxx, sxy, syy = dx @ dx, dx @ dv, dv @ dv
-            if syy == 0:
-                continue
-            r = max(-1.0, min(1.0, sxy / math.sqrt(sxx * syy)))
-            slope = sxy / sxx
-            base = v.mean() - slope * x.mean()
-            free = len(x) - 2
-            t = math.inf if abs(r) == 1 else r * math.sqrt(free / (1 - r * r))
-            p = t_two_sided(t, free)
-            if not (abs(r) > 0.8 and p < 0.05):
+        for n, slope, base, r in zip(*_fits(points[i:].astype(float), values[i:], min_points), strict=True):
+            free = int(n) - 2
+            p = t_two_sided(math.inf if abs(r) == 1 else r * math.sqrt(free / (1 - r * r)), free)
+            if p >= 0.05:
                 continue
             expected = slope * x_all + base
             with np.errstate(divide="ignore", invalid="ignore"):
                 touches = int((np.abs(y - expected) / expected < max_dev).sum())
             if touches < min_points:
                 continue
-            line = (kind, slope, base, r * r, p, touches, int(x[0]), int(x[-1]), math.degrees(math.atan(slope)), abs(r))
-            twin = next((k for k, u in enumerate(kept)
-                         if abs(slope - u[1]) < abs(u[1]) * 0.1 and abs(base - u[2]) < abs(u[2]) * 0.1), None)
-            if twin is None:
-                kept.append(line)
-            elif line[3] > kept[twin][3]:
-                del kept[twin]
-                kept.append(line)
+            line = (kind, float(slope), float(base), float(r * r), p, touches, int(points[i]), int(points[i + n - 1]), math.degrees(math.atan(slope)), float(abs(r)))
+            twins = np.flatnonzero((np.abs(slope - slopes) < np.abs(slopes) * 0.1) & (np.abs(base - bases) < np.abs(bases) * 0.1))
+            if len(twins):
+                if line[3] <= kept[twins[0]][3]:
+                    continue
+                del kept[twins[0]]
+                slopes, bases = np.delete(slopes, twins[0]), np.delete(bases, twins[0])
+            kept.append(line)
+            slopes, bases = np.append(slopes, slope), np.append(bases, base)
     return kept
 
 
-def trendlines(bars: DataFrame, min_points: int = 3, max_dev: float = 0.05, window: int = 500) -> DataFrame:
-    """Resistance and support lines of the newest ``window`` bars of each series.
+def trendlines(bars: DataFrame, min_points: int = 3, max_dev: float = 0.05) -> DataFrame:
+    """Resistance and support lines of each whole series.
 
-    Every run of extrema is a candidate and the dropping of near-duplicates depends on their
-    order, so the analysed stretch is an argument; it also bounds each task. Positions count
-    from the start of the stretch.
+    Every run of extrema is a candidate and the dropping of near-duplicates depends on their order, so a series is
+    analysed in one task, which holds its closes and the lines kept.
     """
     require(bars, "close")
-    positive(min_points=min_points, window=window)
-    df = fr.index_bars(bars).filter(F.col("idx") >= F.col("n") - window).select(*SERIES, "idx", "close")
+    positive(min_points=min_points)
+    df = fr.index_bars(bars).select(*SERIES, "idx", "close")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("idx")["close"].to_numpy(dtype=float)

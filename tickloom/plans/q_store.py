@@ -16,7 +16,7 @@ def as_of():
 
 @query("pipe01_scan")
 def _(t):
-    df = de.scan_patterns(t.hourly, top=10)
+    df = de.scan_patterns(t.hourly)
     return rounded(df, ["symbol", "pattern_type", "pattern_name", "direction", "start_idx", "end_idx", "rank"], 4, confidence="confidence")
 
 
@@ -70,13 +70,13 @@ def _(t):
     return df.groupBy("priority", F.array_join("channels", ",").alias("channels")).agg(F.count(F.lit(1)).alias("patterns"))
 
 
-SUBS = """sb AS (SELECT c_custkey AS sub, CASE WHEN c_custkey % 50 = 0 THEN [] ELSE ['SYM' || (c_custkey % 20), 'SYM' || ((c_custkey + 1) % 20)] END AS syms, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE ['chart'] END AS types, 0.8 + c_custkey % 15 / 100 AS mc FROM customer WHERE c_custkey % 10 = 0)"""
+SUBS = """sb AS (SELECT c_custkey AS sub, CASE WHEN c_custkey % 50 = 0 THEN [] ELSE ['SYM' || (c_custkey % 20), 'SYM' || ((c_custkey + 1) % 20)] END AS syms, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE ['chart'] END AS types, 0.8 + c_custkey % 15 / 100 AS mc FROM customer)"""
 
 
 def subscriptions(t):
     k = F.col("c_custkey")
     none = F.array().cast("array<string>")
-    return t.read("customer").filter("c_custkey % 10 = 0").select(
+    return t.read("customer").select(
         k.alias("subscriber"), F.when(k % 50 == 0, none).otherwise(F.array(F.concat(F.lit("SYM"), (k % 20).cast("string")), F.concat(F.lit("SYM"), ((k + 1) % 20).cast("string")))).alias("symbols"),
         F.when(k % 3 == 0, none).otherwise(F.array(F.lit("chart"))).alias("pattern_types"), (0.8 + k % 15 / 100).alias("min_confidence"))
 
