@@ -35,6 +35,16 @@ def test_ema_equals_pandas(spark, alpha):
     assert np.allclose(got, pd.Series(x).ewm(alpha=alpha, adjust=False).mean(), rtol=1e-12)
 
 
+def test_ema_carries_on_over_nulls(spark):
+    x = np.random.default_rng(3).uniform(10, 20, 120)
+    x[[5, 6, 40, 119]] = np.nan
+    df = bars(spark, x).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    got = col(av.ema(df, 1, alpha=0.3), "ema")
+    assert np.allclose(got, pd.Series(x).ewm(alpha=0.3, adjust=False, ignore_na=True).mean(), rtol=1e-9)
+    flat = bars(spark, [100.0] * 8).withColumn("close", F.when(F.hour("ts") != 3, F.col("close")))
+    assert np.allclose(col(av.ema(flat, 3), "ema")[2:], 100.0)
+
+
 def test_very_different_speeds_still_work(spark):
     x = np.random.default_rng(2).uniform(10, 20, 400)
     df = momentum.macd(bars(spark, x), fast=2, slow=200, signal=3)
@@ -184,3 +194,13 @@ def test_learning_is_one_pass_per_key(spark):
                     w = w / w.sum()
         assert got[key].outcomes == 125
         assert np.allclose([got[key][c] for c in co.WEIGHTS], w)
+
+
+def test_row_indexing_of_a_crowded_day(spark):
+    """Many rows in a day without a grid: places are those of a sort, and no window partition holds a day's rows."""
+    from tickloom.functions import frames as fr
+
+    df = spark.range(20_000).selectExpr("'A' AS symbol", "'' AS timeframe", "timestamp_seconds(1700000000 + hash(id) % 3600) AS ts", "id AS pattern_id")
+    out = fr.index_rows(df, ["ts", "pattern_id"])
+    rows = out.select("idx", "n", "ts", "pattern_id").collect()
+    assert [r.idx for r in sorted(rows, key=lambda r: (r.ts, r.pattern_id))] == list(range(20_000)) and rows[0].n == 20_000

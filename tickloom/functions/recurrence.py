@@ -59,8 +59,9 @@ class Running:
 class Smooth:
     """out += alpha*(x - out), null before ``seed_idx``, started there with ``seed`` (default x).
 
-    A result that equals x but for rounding is x: on a constant stretch the line meets its input
-    exactly, so comparisons of the two do not see noise.
+    A null x adds nothing and lets nothing decay: the value is carried on. A series that begins with nulls starts from the mean
+    of its first values by weight. A result that equals x but for rounding is x: on a
+    constant stretch the line meets its input exactly, so comparisons of the two do not see noise.
     """
 
     out: str
@@ -74,13 +75,18 @@ class Smooth:
         if self.alpha >= 1:
             return df.withColumn(self.out, F.when(started, self.x))
         first = self.x if self.seed is None else self.seed
-        b = F.when(F.col("idx") == self.seed_idx, first).when(started, self.x * self.alpha)
-        growth = (F.col("pos") + back) * F.lit(-math.log(1.0 - self.alpha))
+        seeds = F.col("idx") == self.seed_idx
+        value = F.when(seeds, first).otherwise(self.x)
+        weight = F.when(started & value.isNotNull(), F.when(seeds, 1.0).otherwise(self.alpha)).otherwise(0.0)
         run = fr.rows(Window.unboundedPreceding, 0)
-        total = F.sum(F.coalesce(b, F.lit(0.0)) * F.exp(growth)).over(run)
+        df = df.withColumn("_gaps", F.count_if(started & value.isNull()).over(run))
+        growth = (F.col("pos") + back - F.col("_gaps")) * F.lit(-math.log(1.0 - self.alpha))
+        total = F.exp(-growth) * F.sum(F.coalesce(weight * value, F.lit(0.0)) * F.exp(growth)).over(run)
+        weights = F.exp(-growth) * F.sum(weight * F.exp(growth)).over(run)
         y, x = F.col(self.out), self.x
-        df = df.withColumn(self.out, F.when(started, F.exp(-growth) * total))
-        return df.withColumn(self.out, F.when(F.abs(y - x) <= F.abs(x) * 1e-12, x).otherwise(y))
+        # without nulls the weights sum to one
+        df = df.withColumn(self.out, F.when(started, F.when(F.abs(weights - 1) < 1e-9, total).otherwise(F.try_divide(total, weights))))
+        return df.withColumn(self.out, F.when(F.abs(y - x) <= F.abs(x) * 1e-12, x).otherwise(y)).drop("_gaps")
 
 
 def chain(bars: DataFrame, steps: Sequence[Calc | Running | Smooth], back: int = 0) -> DataFrame:

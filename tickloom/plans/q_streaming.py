@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.candles import candlestick_patterns
 from tickloom.plans.catalog import query, rounded
+from tickloom.plans.q_indicators import MOVES, RANGE
 from tickloom.plans.q_patterns import CANDLE
 from tickloom.plans.q_quality import LANDED, landed
 from tickloom.plans.q_store import SUBS, subscriptions
@@ -72,10 +73,15 @@ def _(t):
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-@query("str06_live_ema", f"""WITH {HOURLY}, {smooth("e", "bars", "close", "(2.0::DOUBLE / 21)")} SELECT symbol, ts, CASE WHEN b.idx >= 19 THEN round(y, 6) END AS ema FROM e JOIN bars b USING (symbol, idx)""".replace("SELECT symbol, ts,", "SELECT e.symbol, b.ts,"))
+@query("str06_live_ema", f"""WITH {HOURLY}, {smooth("e", "bars", "close", "(2.0::DOUBLE / 21)")}, {RANGE}, {smooth("a", "tr", "tr", "(1.0::DOUBLE / 14)")},
+{MOVES}, mv AS (SELECT symbol, idx, greatest(d, 0) AS up, greatest(-d, 0) AS down FROM moves), {smooth("u", "mv", "up", "(1.0::DOUBLE / 14)")}, {smooth("l", "mv", "down", "(1.0::DOUBLE / 14)")},
+{smooth("f", "bars", "close", "(2.0::DOUBLE / 13)")}, {smooth("s", "bars", "close", "(2.0::DOUBLE / 27)")}, m AS (SELECT symbol, idx, f.y - s.y AS y FROM f JOIN s USING (symbol, idx)), {smooth("g", "m", "y", "(2.0::DOUBLE / 10)", 25)}
+SELECT e.symbol, b.ts, CASE WHEN b.idx >= 19 THEN round(e.y, 6) END AS ema, CASE WHEN b.idx >= 14 THEN round(a.y, 6) END AS atr, CASE WHEN b.idx >= 14 AND u.y + l.y > 0 THEN round(100 * u.y / (u.y + l.y), 6) END AS rsi,
+  CASE WHEN b.idx >= 25 THEN round(m.y, 6) END AS macd, CASE WHEN b.idx >= 25 THEN round(g.y, 6) END AS signal
+FROM e JOIN bars b USING (symbol, idx) JOIN a USING (symbol, idx) JOIN u USING (symbol, idx) JOIN l USING (symbol, idx) JOIN m USING (symbol, idx) LEFT JOIN g USING (symbol, idx)""")
 def _(t):
     out = sinks.drained(live.ema_stream(bar_stream(t)))
-    return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("ema", 6).alias("ema"))
+    return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.round(c, 6).alias(c) for c in ("ema", "atr", "rsi", "macd", "signal")])
 
 
 @query("str07_consumer_lag", f"WITH {TICKS} SELECT symbol AS topic, count(*) AS messages, round(max(epoch_ms(TIMESTAMP '2024-02-01') - epoch_us(ts) // 1000) / 1000, 3) AS max_lag_seconds FROM ticks GROUP BY 1")

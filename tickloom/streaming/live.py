@@ -52,23 +52,27 @@ def bars_stream(ticks: DataFrame, width: str = "1 minute", lateness: str = "10 m
     return g.select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-_STATE = "rows long, ema double, gain double, loss double, fast double, slow double, signal double, last double"
-_LIVE = "symbol string, timeframe string, ts timestamp, close double, ema double, rsi double, macd double, signal double"
+_STATE = "rows long, ema double, gain double, loss double, fast double, slow double, signal double, last double, range double"
+_LIVE = "symbol string, timeframe string, ts timestamp, close double, ema double, rsi double, macd double, signal double, atr double"
 
 
-def ema_stream(bars: DataFrame, ema: int = 20, rsi: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """EMA, RSI and MACD of each new closed bar from eight numbers of state per series.
+def ema_stream(bars: DataFrame, ema: int = 20, rsi: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, atr: int = 14) -> DataFrame:
+    """EMA, RSI, MACD and ATR of each new closed bar from nine numbers of state per series.
 
     A series' bars must arrive in order over the batches; within a batch they are sorted here.
     """
+    require(bars, "high", "low", "close")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("ts")
-        n, e, g, lo, f, s, sig, last = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        n, e, g, lo, f, s, sig, last, tr = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
         out = []
-        for ts, close in zip(rows["ts"], rows["close"]):
+        for ts, high, low, close in zip(rows["ts"], rows["high"], rows["low"], rows["close"]):
+            reach = high - low
             if n == 0:
-                e, f, s, last = close, close, close, close
+                e, f, s, last, tr = close, close, close, close, reach
+            else:
+                tr += (max(reach, abs(high - last), abs(low - last)) - tr) / atr
             d = close - last
             e += (close - e) * 2 / (ema + 1)
             f += (close - f) * 2 / (fast + 1)
@@ -79,12 +83,12 @@ def ema_stream(bars: DataFrame, ema: int = 20, rsi: int = 14, fast: int = 12, sl
             if m is not None:
                 sig = m if n == slow - 1 else sig + (m - sig) * 2 / (signal + 1)
             strength = 100 * g / (g + lo) if n >= rsi and g + lo > 0 else None
-            out.append((*key, ts, close, e if n >= ema - 1 else None, strength, m, None if m is None else sig))
+            out.append((*key, ts, close, e if n >= ema - 1 else None, strength, m, None if m is None else sig, tr if n >= atr else None))
             n, last = n + 1, close
-        state.update((n, e, g, lo, f, s, sig, last))
-        yield pd.DataFrame(out, columns=["symbol", "timeframe", "ts", "close", "ema", "rsi", "macd", "signal"])
+        state.update((n, e, g, lo, f, s, sig, last, tr))
+        yield pd.DataFrame(out, columns=["symbol", "timeframe", "ts", "close", "ema", "rsi", "macd", "signal", "atr"])
 
-    return bars.select(*SERIES, "ts", "close").groupBy(*SERIES).applyInPandasWithState(
+    return bars.select(*SERIES, "ts", "high", "low", "close").groupBy(*SERIES).applyInPandasWithState(
         step, _LIVE, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -99,20 +103,29 @@ def scan_batch(batch: DataFrame, stored: DataFrame, scan: Callable[[DataFrame],
     return scan(both).join(touched, SERIES).filter(F.col("end_ts") >= F.col("_from")).drop("_from")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scan_stream(bars: DataFrame, store: str, found: str, checkpoint: str, scan: Callable[[DataFrame], DataFrame], every: str | None = "60 seconds"):
-    """Scan each micro-batch of bars and append new findings; ids derive from keys, so a repeated
-    batch writes rows that the reader can drop by id."""
+    """Scan each micro-batch of bars and write its bars and findings, one part for each batch.
+
+    A batch that is run again overwrites its own part and sees only the parts of earlier batches, so a restart neither
+    counts bars twice nor loses history. Readers of both tables see the column batch_id.
+    """
 
     def work(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        try:
-            stored = spark.read.parquet(store)
-        except Exception:  # the first batch finds no store yet
+        if _exists(spark, store):
+            earlier = spark.read.option("basePath", store).parquet(store).filter(F.col("batch_id") < n)
+            stored = earlier.select(*batch.columns)
+        else:
             stored = batch.limit(0)
         hits = st.to_store(scan_batch(batch, stored, scan), F.current_timestamp())
-        hits.write.mode("append").parquet(found)
-        batch.write.mode("append").parquet(store)
+        hits.write.mode("overwrite").parquet(f"{found}/batch_id={n}")
+        batch.write.mode("overwrite").parquet(f"{store}/batch_id={n}")
         batch.unpersist()
 
     w = bars.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
