@@ -208,10 +208,10 @@ def _(t):
 
 
 @query("agg19_suspicious_ips", f"""WITH {CALLS}, h AS (SELECT ip_address, count(*) OVER (PARTITION BY ip_address ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS c, status_code FROM calls)
-SELECT ip_address, count(*) AS requests, max(c) AS max_requests_per_hour, round(count(*) FILTER (status_code >= 400) / count(*), 6) AS error_rate FROM h GROUP BY 1 HAVING max(c) > 4""")
+SELECT ip_address, count(*) AS requests, max(c) AS max_requests_per_hour, round(count(*) FILTER (status_code >= 400) / count(*), 6) AS error_rate, max(c) > 4 AS suspicious_activity,
+  count(*) FILTER (status_code >= 400) / count(*) > 0.5 AND count(*) > 10 AS high_error_rate FROM h GROUP BY 1 HAVING suspicious_activity OR high_error_rate""")
 def _(t):
-    df = lg.suspicious_ips(t.calls, limit=4).filter("suspicious_activity")
-    return rounded(df, ["ip_address", "requests", "max_requests_per_hour"], error_rate="error_rate")
+    return rounded(lg.suspicious_ips(t.calls, limit=4), ["ip_address", "requests", "max_requests_per_hour", "suspicious_activity", "high_error_rate"], error_rate="error_rate")
 
 
 @query("agg20_slow_calls", f"""WITH {CALLS} SELECT event_id, round(response_time_ms, 4) AS response_time_ms, response_time_ms > 5000 AS alert, CASE WHEN response_time_ms > 10000 THEN 'high' WHEN response_time_ms > 5000 THEN 'medium' END AS severity

@@ -218,7 +218,9 @@ WITH {MINUTELY}, m AS (SELECT symbol, idx, n, avg(close) {last(20)} AS a, stddev
 SELECT symbol, idx, round(a, 6) AS sma, round(a + 2 * s, 6) AS bb_upper, round(a - 2 * s, 6) AS bb_lower
 FROM m WHERE idx >= n - 20 AND idx >= 19""")
 def _(t):
-    df = last_n(vo.bollinger(av.sma(t.minutely, 20), 20), 20).filter("idx >= 19")
+    # the frames of the last 20 rows reach 19 rows further back: the rest of a series is cut off before any frame is built
+    recent = last_n(fr.index_bars(t.minutely), 39)
+    df = last_n(vo.bollinger(av.sma(recent, 20), 20), 20).filter("idx >= 19")
     return lines(df, "sma", "bb_upper", "bb_lower")
 
 

@@ -128,7 +128,7 @@ def _(t):
     df = df.withColumns({"prev_fast_ma": fr.lag("fast_ma"), "prev_slow_ma": fr.lag("slow_ma")})
     doji = F.abs(F.col("close") - F.col("open")) / ((F.col("close") + F.col("open")) / 2) < 0.001
     feats = fr.core(df).filter("idx >= 20").withColumns({"pattern_types": F.when(doji, F.array(F.lit("doji"))).otherwise(F.array().cast("array<string>")), "pattern_confidence": F.lit(0.7)})
-    rules = t.spark.createDataFrame([(i + 1, k, c) for i, (k, c) in enumerate(ALERTS)], "alert int, alert_type string, condition_data string")
-    alerts = rules.withColumn("symbol", F.explode(F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")])))
+    rules = F.array(*[F.struct(F.lit(i + 1).alias("alert"), F.lit(k).alias("alert_type"), F.lit(c).alias("condition_data")) for i, (k, c) in enumerate(ALERTS)])
+    alerts = t.hourly.select("symbol").distinct().select("symbol", F.inline(rules))
     return re.evaluate_alerts(alerts, feats).groupBy("alert", "symbol").agg(F.count_if("triggered").alias("triggered"))
 
