@@ -27,8 +27,12 @@ END_ID = 1
 LIMIT = 20
 #: Tokens in a block (a longer document is a block of its own), and between two checkpoints.
 BLOCK_TOKENS, CHECKPOINT = 1 << 18, 256
+#: Bytes of text whose distinct words are looked up at once.
+ENCODED = 4 << 20
+#: Words that the encoder gets in one text.
+JOINED = 256
 #: A worker forgets its table of encoded words beyond so many.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 3 << 20
 
 BLOCK_SCHEMA = "part int, block int, n_docs int, n_tokens long, docs binary, absent binary, counts binary, checkpoints binary, bits binary"
 
@@ -55,35 +59,40 @@ class WordEncoder:
     def forget(self) -> None:
         self.hash, self.at, self.length, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = np.searchsorted(self.hash, h)
-        k[k == len(self.hash)] = 0
-        return k, (self.hash[k] == h) if len(self.hash) else np.zeros(len(h), bool)
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another and the number of each word's; JOINED words at a time, told apart by where tokens start."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        ids, counts = [], []
+        for group, e in zip(groups, self.encoder.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            begins = np.cumsum([0] + [len(x) + 1 for x in group[:-1]])
+            starts = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.bincount(np.searchsorted(begins, starts, "right") - 1, minlength=len(group)))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
         w = Words(texts, fold=False)
-        place, known = self._places(w.hash)
+        # distinct words in order of their hash: they are looked up, and new ones merged, in one sweep of the table
+        distinct, which, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        if len(self.hash) + len(distinct) > CACHED_WORDS:
+            self.forget()
+        place = np.searchsorted(self.hash, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = place < len(self.hash)
+        known[inside] = self.hash[place[inside]] == distinct[inside]
         if not known.all():
-            unknown = np.flatnonzero(~known)
-            new, which = np.unique(w.hash[unknown], return_index=True)
-            if len(self.hash) + len(new) > CACHED_WORDS:
-                self.forget()
-                new, which = np.unique(w.hash, return_index=True)
-                unknown = np.arange(len(w.hash))
-            data, at = texts.data, unknown[which]
+            new = np.flatnonzero(~known)
+            at, data = which[new], texts.data
             words = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(w.starts[at], w.ends[at], strict=True)]
-            got = [e.ids for e in self.encoder.encode_batch(words, add_special_tokens=False)]
-            length = np.array([len(g) for g in got], np.int64)
-            flat = np.array([i for g in got for i in g], np.uint32)
+            flat, length = self._encoded(words)
             begin = len(self.ids) + np.cumsum(length) - length
-            order = np.argsort(h := np.concatenate([self.hash, new]), kind="stable")
-            self.hash, self.at, self.length = h[order], np.concatenate([self.at, begin])[order], np.concatenate([self.length, length])[order]
+            self.hash, self.at, self.length = (np.insert(x, place[new], y) for x, y in ((self.hash, distinct[new]), (self.at, begin), (self.length, length)))
             self.ids = np.concatenate([self.ids, flat])
-            place, known = self._places(w.hash)
-        length = self.length[place]
+            place = np.searchsorted(self.hash, distinct)
+        length = self.length[place][inverse]
         ends = np.cumsum(length)
-        ids = self.ids[np.repeat(self.at[place] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.ids[np.repeat(self.at[place][inverse] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)]
         total = np.concatenate([[0], ends])
         return ids, np.diff(total[w.first])
 
@@ -97,17 +106,23 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def id_kind(path: str, end_id: int = END_ID) -> str:
+    """The unsigned little-endian integers that hold the ids of a vocabulary: of 16 bits where they suffice."""
+    return "<u2" if max(encoder(path).encoder.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (unsigned 32-bit little-endian, the end id last) of every whole text; a null text is empty."""
+    """doc_id and ids (as id_kind says, the end id last) of every whole text; a null text is empty."""
     path = path or vocabulary_path()
+    kind = id_kind(path, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for batch in batches:
-            for a, b, t in pieces(batch, "text"):
+            for a, b, t in pieces(batch, "text", ENCODED):
                 ids, counts = words.encode(t)
                 ends = np.cumsum(counts)
-                out = [np.append(ids[e - n : e], end_id).astype("<u4").tobytes() for e, n in zip(ends, counts, strict=True)]
+                out = [np.append(ids[e - n : e], end_id).astype(kind).tobytes() for e, n in zip(ends, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
@@ -202,7 +217,7 @@ def unpack(bits: bytes, checkpoints: np.ndarray, n: int, ids: np.ndarray, length
 # ---- writing and reading
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     """id, n over all rows; a task sums its own before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +225,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
         for batch in batches:
             t = Texts(batch.column(0).cast(pa.large_binary()).view(pa.large_string()))
             if len(t.data):
-                n = np.bincount(np.frombuffer(t.data.tobytes(), "<u4"), minlength=len(total))
+                n = np.bincount(np.frombuffer(t.data.tobytes(), kind), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         some = np.flatnonzero(total)
@@ -219,13 +234,13 @@ def id_counts(ids: DataFrame) -> DataFrame:
     return ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write(ids: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write doc_id and ids (as made by tokenized, and stored: they are read twice) in the file format, ascending by doc_id.
+def write(ids: DataFrame, path: str, kind: str, limit: int = LIMIT) -> None:
+    """Write doc_id and ids (of this kind of integer, and stored: they are read twice) in the file format, ascending by doc_id.
 
     Null ids come first; rows with the same doc_id are in the order of their ids. The driver gets one count per
     distinct id, at most the size of the vocabulary, and sends out one code each.
     """
-    counts = id_counts(ids).collect()
+    counts = id_counts(ids, kind).collect()
     some = np.array([r["id"] for r in counts], np.int64)
     lengths = code_lengths(np.array([r["n"] for r in counts], np.int64), limit)
     spark = ids.sparkSession
@@ -252,7 +267,7 @@ def write(ids: DataFrame, path: str, limit: int = LIMIT) -> None:
 
         for batch in batches:
             for d, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(raw.as_buffer(), "<u4")
+                own = np.frombuffer(raw.as_buffer(), kind)
                 if docs and size + len(own) > BLOCK_TOKENS:
                     yield flush()
                     block, size, docs, parts = block + 1, 0, [], []
@@ -308,5 +323,5 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
-    write(stored(tokenized(docs), "ids"), path)
+    write(stored(tokenized(docs), "ids"), path, id_kind(vocabulary_path()))
     return read(spark, path)
