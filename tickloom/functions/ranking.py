@@ -41,13 +41,13 @@ def with_rank(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     return keyed.join(ranked.drop("_ties"), [*SERIES, "_v"]).drop("_v"), ranked
 
 
-def pair_balance(df: DataFrame, col: str, max_bits: int = 40) -> DataFrame:
+def pair_balance(df: DataFrame, col: str) -> DataFrame:
     """Per series: rising minus falling pairs (``s``), the length, and the tie term of the variance."""
     framed = fr.framed(df)
     rows, ranked = with_rank(framed, col)
     # Bits beyond the rank of the largest value are never set: the row's own series length bounds them.
     bits = F.ceil(F.log2(F.col("n") + 1)).cast("int")
-    level = F.explode(F.sequence(F.lit(0), F.least(bits, F.lit(max_bits - 1))))
+    level = F.explode(F.sequence(F.lit(0), bits))
     rows = rows.select(*SERIES, "idx", "blk", "pos", "core", "n", "_rank", level.alias("_bit"))
     rows = rows.withColumns({
         "_high": F.floor(F.col("_rank") / F.pow(F.lit(2.0), F.col("_bit") + 1)),
