@@ -3,12 +3,15 @@
 1. A document's word shingles become 64-bit hashes; each of HASHES universal hash functions keeps its minimum over them.
 2. Documents with one and the same shingle set are one class (a hash of the sorted set); only its smallest id goes on.
 3. Banding: ROWS minima make a bucket's key, BANDS times. A pair with similarity s meets with 1 - (1 - s^ROWS)^BANDS: all but
-   3 in a million at 0.8.
-4. Links of a bucket to its smallest id are tried first: the signatures must agree well enough, then the full sets are
-   compared. Components of these links follow. In a bucket whose members then lie in several components, pairs of
-   members of different components are tried, and only those, as others cannot change a component. So a bucket of copies of
-   one text costs a row a member, and no link between components is left out.
-5. Components of all links by alternating large-star and small-star.
+   3 in a million at 0.8. Texts of documents that share a bucket are read again for their full sets.
+4. Links of a bucket's members to two of them are tried first, to the smallest id and to the member that meets most others
+   in all its buckets (the text of which the others are edited copies, if there is one): the signatures must agree well enough, then the full sets are
+   compared. Components of these links follow.
+5. Where members of a bucket then lie in several components, pairs across components could still be links. Documents that such
+   buckets connect form groups, cut into chunks of bounded size; every two chunks of a group meet in one task, which
+   compares full sets by products of incidence matrices and returns, for each document, one link for each other component.
+   No pair is left out, and none that is no link leaves a task.
+6. Components of all links by alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import U64, Words, binaries, ngrams, pieces, sequence_hash, stored
+from tickloom.llm.common import U64, Words, binaries, mixed, ngrams, pieces, sequence_hash, stored
 from tickloom.llm.components import components
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
+#: Bits of the bitmap by which texts are chosen to be read again.
+FILTER_BITS = 24
+#: A chunk of a group: about so many shingles and documents; and the shingles of one matrix product.
+CHUNK_SHINGLES, CHUNK_DOCS, SLAB = 200_000, 128, 2048
 _random = np.random.default_rng(20260103)
 _A = _random.integers(0, 1 << 63, HASHES, dtype=U64) * U64(2) + U64(1)
 _B = _random.integers(0, 1 << 64, HASHES, dtype=U64)
@@ -42,6 +49,11 @@ def signature(x: np.ndarray) -> np.ndarray:
     return (low >> U64(32)).astype(np.uint32)
 
 
+def short(sig: np.ndarray) -> np.ndarray:
+    """Half of each minimum: enough to count agreements."""
+    return (sig & np.uint32(0xFFFF)).astype(np.uint16)
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band: its rows and its number, mixed."""
     parts = sig.reshape(BANDS, ROWS).astype(U64) * _MIX
@@ -55,33 +67,72 @@ def _sets(t, n: int, fold: bool) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, shingle: int, fold: bool) -> DataFrame:
-    """doc_id, n (shingles), one and two (hashes of the set), sig (minima as bytes), keys (of the bands)."""
+    """doc_id, n (shingles), one and two (hashes of the set), keys (of the bands)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, t in pieces(batch, "text"):
-                n, one, two, sigs, keys = [], [], [], [], []
+                n, one, two, keys = [], [], [], []
                 for s in _sets(t, shingle, fold):
                     n.append(len(s))
                     one.append(sequence_hash(s, 3))
                     two.append(sequence_hash(s[::-1], 4))
-                    sigs.append(sig := signature(s))
-                    keys.append(band_keys(sig).view(np.int64))
-                flat = pa.array(np.concatenate(keys))
+                    keys.append(band_keys(signature(s)).view(np.int64))
                 at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), binaries(sigs), pa.ListArray.from_arrays(at, flat)],
-                    names=["doc_id", "n", "one", "two", "sig", "keys"])
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(keys)))],
+                    names=["doc_id", "n", "one", "two", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, one long, two long, keys array<long>")
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.view(U64)) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every id of the table has its bit: a filter that may let others pass, but loses none."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[_bit(np.asarray(batch.column(0)))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, one long, two long, sig binary, keys array<long>")
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in ids.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, fold: bool) -> DataFrame:
+    """doc_id, n, sig (short minima), set (all shingles) of the wanted documents, one row each.
+
+    The texts are read where they lie; only sets are shuffled. What the bitmap lets pass besides goes in the join.
+    """
+    packed = id_filter(wanted)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[_bit(np.asarray(batch.column(0)))]))
+            for a, b, t in pieces(batch, "text"):
+                parts = list(_sets(t, shingle, fold))
+                at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([len(p) for p in parts], pa.int64()), binaries([short(signature(p)) for p in parts]), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts).view(np.int64)))],
+                    names=["doc_id", "n", "sig", "set"])
+
+    made = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, sig binary, set array<long>")
+    return made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def agreeing(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, na, nb, sa, sb) whose signatures agree in at least this share and whose sizes allow the similarity."""
+    """Pairs (a, b, sa, sb) whose signatures agree in at least this share."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, HASHES) for k in (2, 3)]
+            both = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (2, 3)]
             ok = pa.array((both[0] == both[1]).mean(axis=1) >= least)
             yield batch.select(["a", "b"]).filter(ok)
 
@@ -92,26 +143,89 @@ def _within(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets have 100 * intersection >= percent * union.
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that are links: signatures agree, then full sets have 100 * intersection >= percent * union.
 
-    The sets are made again from the texts of documents in pairs, and travel with the pairs: in two joins, by either id.
+    The sets travel with the pairs that are left after the signatures: in two joins, by either id.
     """
+    share = percent / 100
+    side = lambda s, *c: sets.select(F.col("doc_id").alias(s), *[F.col(x).alias(x[0] + s) for x in c])
+    sized = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b").where(_within(F.col("na"), F.col("nb"), percent))
+    likely = stored(agreeing(sized, share - 5 * sqrt(share * (1 - share) / HASHES)), "likely")
+    joined = likely.join(side("b", "set"), "b").join(side("a", "set"), "a")
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    joined = joined.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
+    return joined.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent).select("a", "b")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _blocks(left: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """group, chunk and its members' ids, components, sizes and sets: documents that buckets connect, cut into chunks of bounded size."""
+    groups = stored(components(edges), "groups")
+    own = left.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
+    own = own.join(sets.select("doc_id", "n", "set"), "doc_id")
+    sizes = stored(own.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS)).alias("chunks"), F.min("comp").alias("c1"), F.max("comp").alias("c2")), "group-sizes")
+    own = own.join(sizes.where("c1 < c2").select("grp", "chunks"), "grp").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
+    return own.groupBy("grp", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("doc_id", "comp", "set")).alias("docs"))
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y: products of incidence matrices, a slab of shingles at a time."""
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(flat_x, flat_y)
+
+    def places(flat: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        k = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[k] == flat if len(shared) else np.zeros(len(flat), bool)
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[hit]
+        order = np.argsort(k[hit], kind="stable")
+        return k[hit][order], row[order]
+
+    (kx, rx), (ky, ry) = places(flat_x, x), places(flat_y, y)
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(shared), SLAB):
+        width = min(SLAB, len(shared) - low)
+        sides = []
+        for k, r, n in ((kx, rx, len(x)), (ky, ry, len(y))):
+            p, q = np.searchsorted(k, [low, low + width])
+            m = np.zeros((n, width), np.float32)
+            m[r[p:q], k[p:q] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _across(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components, one for each document and component that it links with.
+
+    Every two chunks of a group meet in one task, which compares all their full sets; only links leave it.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, t in pieces(batch, "text"):
-                parts = [s.view(np.int64) for s in _sets(t, shingle, fold)]
-                at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)))], names=["doc_id", "set"])
+            out: list[np.ndarray] = []
+            for k in range(batch.num_rows):
+                both = []
+                for side in (0, 1):
+                    docs = batch.column(side)[k].values
+                    lists = docs.field("set")
+                    at = np.asarray(lists.offsets)[: len(lists) + 1]
+                    flat = np.asarray(lists.values)
+                    both.append((np.asarray(docs.field("doc_id")), np.asarray(docs.field("comp")), [flat[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]))
+                (ids, comp, x), (ids2, comp2, y) = both
+                common = _common(x, y)
+                union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
+                i, j = np.nonzero((100 * common >= percent * union) & (comp[:, None] != comp2[None, :]))
+                if len(i):
+                    _, first = np.unique(np.stack([ids[i], comp2[j]]), axis=1, return_index=True)
+                    out.append(np.stack([ids[i[first]], ids2[j[first]]]))
+            found = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=0)), pa.array(found.max(axis=0))], names=["a", "b"])
 
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    made = stored(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, set array<long>").dropDuplicates(["doc_id"]), "sets")
-    joined = pairs.join(made.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(made.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    joined = joined.withColumn("common", common).withColumn("either", F.size("sa") + F.size("sb") - F.col("common"))
-    return joined.where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
+    order = F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1))
+    pairs = blocks.select("grp", F.col("chunk").alias("i"), order.alias("j"))
+    side = lambda s, k: blocks.select("grp", F.col("chunk").alias(k), F.col("docs").alias(s))
+    met = pairs.join(side("x", "i"), ["grp", "i"]).join(side("y", "j"), ["grp", "j"])
+    return met.select("x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
@@ -126,28 +240,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     sketch = stored(sketches(source, shingle, fold), "sketches")
     real = sketch.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     # classes of equal sets, then one row for each class
-    classes = stored(real.groupBy("one", "two").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies")), "classes")
-    many = stored(classes.where("copies > 1").drop("copies"), "copied")
+    many = stored(real.groupBy("one", "two").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copied")
     copies = real.select("doc_id", "one", "two").join(many, ["one", "two"]).where("doc_id <> lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v"))
-    leads = stored(real.join(many, ["one", "two"], "left").where("lead is null or doc_id = lead").select("doc_id", "n", "sig", "keys"), "leads")
-    bands = leads.select("doc_id", F.explode("keys").alias("band"))
-    least = percent / 100 - 5 * sqrt(percent / 100 * (1 - percent / 100) / HASHES)
-    side = lambda s: leads.select(F.col("doc_id").alias(s), F.col("n").alias("n" + s), F.col("sig").alias("s" + s))
-    likely = lambda p: agreeing(p.join(side("a"), "a").join(side("b"), "b").where(_within(F.col("na"), F.col("nb"), percent)), least)
-    buckets = stored(bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "buckets")
+    leads = real.join(many, ["one", "two"], "left").where("lead is null or doc_id = lead")
+    bands = stored(leads.select("doc_id", F.explode("keys").alias("band")), "bands")
+    buckets = stored(bands.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").drop("high"), "buckets")
     members = stored(bands.join(buckets, "band"), "members")
-    stars = members.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = stored(confirmed(likely(stars), source, shingle, fold, percent), "links")
+    # the member that shares most buckets with most others: the text that its edited copies have in common
+    weights = members.groupBy("doc_id").agg(F.sum("size").alias("w"))
+    hubs = stored(members.join(weights, "doc_id").groupBy("band").agg(F.max(F.struct("w", "doc_id")).getField("doc_id").alias("hub")), "hubs")
+    sets = stored(full_sets(source, members.select("doc_id").distinct(), shingle, fold), "sets")
+    stars = members.where("doc_id > low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+    stars = stars.union(members.join(hubs, "band").where("doc_id <> hub").select(F.least("doc_id", "hub"), F.greatest("doc_id", "hub"))).distinct()
+    first = stored(confirmed(stars, sets, percent), "links")
     found = stored(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-    # what is left: members of one bucket in different components
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = stored(placed.select("band", "low", "doc_id", "component"), "placed")
+    # what is left: members of buckets that are in several components
+    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "low", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = stored(placed, "placed")
     apart = stored(placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("band"), "apart")
-    left = placed.join(apart, "band").select("band", "doc_id", "component", "low")
-    a, b = left.alias("a"), left.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & (F.col("a.doc_id") != F.col("a.low")) & (F.col("b.doc_id") != F.col("b.low")))
-    pairs = met.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
-    second = confirmed(likely(pairs), source, shingle, fold, percent)
+    loose = stored(placed.join(apart, "band").select("band", "low", "doc_id", "component"), "loose")
+    left = loose.select("doc_id", F.col("component").alias("comp")).distinct()
+    # what a bucket's members have in common holds for their components too: they are groups together
+    edges = loose.select(F.col("low").alias("u"), F.col("doc_id").alias("v")).where("u <> v").distinct()
+    second = _across(stored(_blocks(left, edges, sets), "chunks"), percent)
     links = first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")).union(copies)
     final = stored(components(links), "final")
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
