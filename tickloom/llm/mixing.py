@@ -36,7 +36,7 @@ PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549
 
 def word_count(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+; 0 for null. Every word becomes one letter, then what is left of the white space goes."""
-    marks = F.regexp_replace(F.translate(text, "\x0b", " "), WORD, "x")
+    marks = F.regexp_replace(text, WORD, "x")
     return F.coalesce(F.length(F.translate(marks, SPACES, "")), F.lit(0)).cast("long")
 
 
@@ -84,7 +84,10 @@ def permuted(source: Column, turn: Column, place: Column, n: Column) -> Column:
 
 
 def takes(sources: DataFrame, block: int = BLOCK, cap: float = CAP) -> DataFrame:
-    """rank, block, times: how often the mix takes each block it takes."""
+    """rank, block, times: how often the mix takes each block it takes.
+
+    The slots come from one row by explode, so the optimizer takes this table for a small one: join it with a hint to merge.
+    """
     s = sources.where(F.col("source_size") > 0).withColumn("blocks", F.ceil(F.col("source_size") / block))
     # a source's last block is shorter: the slots that its target needs at the mean length of its blocks
     s = s.withColumn("need", F.col("target") * F.col("blocks") / F.col("source_size"))
@@ -143,7 +146,7 @@ def mix(docs: DataFrame, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     taken = takes(sources, block)
     spans = at.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
     overlap = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
-    met = spans.withColumn("overlap", overlap).join(taken, ["rank", "block"], "left")
+    met = spans.withColumn("overlap", overlap).join(taken.hint("merge"), ["rank", "block"], "left")
     # a document of some size is known by its source and first word
     out = met.groupBy("rank", "begin").agg(
         *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")],
@@ -165,12 +168,13 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", block: int = BLOCK) ->
     taken = takes(sources, block)
     at = at.join(sources.select(F.col("source").alias("_s"), "rank"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     spans = at.where("size > 0").select("rank", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
-    used = spans.join(taken, ["rank", "block"]).groupBy("rank", "begin").agg(F.array_sort(F.collect_list(F.struct("block", "times"))).alias("used"))
+    used = spans.join(taken.hint("merge"), ["rank", "block"]).groupBy("rank", "begin").agg(F.array_sort(F.collect_list(F.struct("block", "times"))).alias("used"))
     words = F.split(F.trim(F.regexp_replace("text", f"[{SPACES}]+", " ")), " ")
     first = lambda b: F.greatest(F.col("begin"), b * block) - F.col("begin")
     last = lambda b: F.least(F.col("begin") + F.col("size"), (b + 1) * block) - F.col("begin")
-    piece = lambda u: F.flatten(F.array_repeat(F.slice(F.col("words"), (first(u["block"]) + 1).cast("int"), (last(u["block"]) - first(u["block"])).cast("int")), u["times"].cast("int")))
-    text = F.array_join(F.flatten(F.transform("used", piece)), " ")
-    out = at.where("size > 0").join(used, ["rank", "begin"]).withColumn("words", words).withColumn("_text", text)
+    piece = lambda w, u: F.flatten(F.array_repeat(F.slice(w, (first(u["block"]) + 1).cast("int"), (last(u["block"]) - first(u["block"])).cast("int")), u["times"].cast("int")))
+    # the words are bound to a variable: as a column they would be split again for each block
+    text = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("used", lambda u: piece(w, u))), " ")), 1)
+    out = at.where("size > 0").join(used.hint("merge"), ["rank", "begin"]).withColumn("_text", text)
     made = {c: F.col(f"_row.`{c}`") for c in rest} | {"text": F.col("_text"), "source": F.col("source")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in columns else {})
     return out.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and isinstance(docs.schema[c].dataType, T.NumericType) else made[c].alias(c) for c in columns])
