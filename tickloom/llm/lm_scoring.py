@@ -23,14 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import U64, Words, crc_mod, pieces, stored
+from tickloom.llm.common import U64, Words, crc_mod, discard, pieces, stored
 
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Frequent words with a bucket of their own in histories; of these, words with a class of their own.
 FREQUENT, ALONE = 192, 40
-BUCKETS, CLASSES, PAIRS = 256, 64, 8192
+BUCKETS, CLASSES, PAIRS = 256, 64, 2048
 END_CLASS, UNKNOWN_CLASS, FIRST_BIN = ALONE, ALONE + 1, ALONE + 2
 BINS = CLASSES - FIRST_BIN
+#: Buckets of words that are not known, and of a text's begin and end.
+STRANGE, EDGE = BUCKETS - 2, BUCKETS - 1
 NOTHING = FREQUENT
 ROUNDS, SMOOTH = 12, 0.5
 END = np.uint64(0x5851F42D4C957F2D)
@@ -65,24 +67,17 @@ class Vocabulary:
 
     def __init__(self, frequent: list[tuple[int, int]], masses: dict[int, int], tokens: int, types: int):
         self.frequent = np.array([h for h, _ in frequent], np.int64)
-        self.order = np.argsort(self.frequent)
         self.mass = np.ones(BINS)
         for b, m in masses.items():
             self.mass[b] = m
         self.tokens, self.types = tokens, types
 
-    def places(self, words: np.ndarray) -> np.ndarray:
-        """Place among the frequent words, or -1."""
-        if not len(self.frequent):
-            return np.full(len(words), -1)
-        s = self.frequent[self.order]
-        k = np.minimum(np.searchsorted(s, words), len(s) - 1)
-        return np.where(s[k] == words, self.order[k], -1)
+    def ranks(self) -> dict[int, int]:
+        return {int(h): k for k, h in enumerate(self.frequent)}
 
-    def classes(self, words: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def classes(self, bucket: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.where(counts > 0, FIRST_BIN + np.minimum(BINS - 1, np.log2(np.maximum(counts, 1)).astype(np.int64)), UNKNOWN_CLASS)
-        out = np.where((places >= 0) & (places < ALONE), places, out)
-        return np.where(words == END.view(np.int64), END_CLASS, out)
+        return np.where(bucket < ALONE, bucket, np.where(bucket == EDGE, END_CLASS, out))
 
 
 def _vocabulary(counts: DataFrame) -> Vocabulary:
@@ -97,20 +92,23 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(top, masses, total["n"] or 0, total["v"])
 
 
-def histories(bucket: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Code of each token's history within its text: bucket of the word before, and the nearest frequent word before that."""
+def histories(bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Code of each token's history within its text: bucket of the word before, and the nearest frequent word before that.
+
+    A frequent word's bucket is its rank.
+    """
     n = len(bucket)
+    bucket = bucket.astype(np.int64)
     start = np.zeros(n, np.int64)
     start[first] = first
     start = np.maximum.accumulate(start)
-    at = np.arange(n)
-    seen = np.maximum.accumulate(np.where(place >= 0, at, -1))
-    before = np.full(n, BUCKETS - 1)
+    seen = np.maximum.accumulate(np.where(bucket < FREQUENT, np.arange(n), -1))
+    before = np.full(n, EDGE)
     before[1:] = bucket[:-1]
-    before[first] = BUCKETS - 1
+    before[first] = EDGE
     skip = np.full(n, -1)
     skip[2:] = seen[:-2]
-    skip = np.where((skip >= start) & (skip >= 0), place[np.maximum(skip, 0)], NOTHING)
+    skip = np.where((skip >= start) & (skip >= 0), bucket[np.maximum(skip, 0)], NOTHING)
     return before * 256 + skip
 
 
@@ -121,33 +119,33 @@ def _read_blocks(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words = np.asarray(batch.column("words")[k].values)
                 known = batch.column("known")[k].values
-                c = np.zeros(len(words), np.int64)
+                size = batch.column("size")[k].as_py()
+                c, bucket = np.zeros(size, np.int64), np.full(size, STRANGE, np.uint8)
                 if known is not None and len(known):
                     c[np.asarray(known.field("pos"))] = np.asarray(known.field("c"))
+                    bucket[np.asarray(known.field("pos"))] = np.asarray(known.field("bucket")).astype(np.uint8)
                 at = np.frombuffer(batch.column("places")[k].as_buffer(), "<u4")
                 lengths = np.asarray(batch.column("lengths")[k].values)
                 train = np.asarray(batch.column("train")[k].values.to_numpy(zero_copy_only=False))
                 first = np.cumsum(lengths) - lengths
-                frequent = vocabulary.places(words)
-                spread = (np.abs(words) >> 7) % (BUCKETS - FREQUENT - 1)
-                bucket = np.where(frequent >= 0, frequent, FREQUENT + spread)
-                own, left_out = vocabulary.classes(words, frequent, c), vocabulary.classes(words, frequent, np.maximum(c - 1, 0))
+                if size:
+                    bucket[at[first[0] + lengths[0] - 1]] = EDGE  # the end token, known or not
+                own, left_out = vocabulary.classes(bucket, c), vocabulary.classes(bucket, np.maximum(c - 1, 0))
                 within = np.where(own >= FIRST_BIN, np.log10(np.maximum(c, 1) / vocabulary.mass[np.maximum(own - FIRST_BIN, 0)]), 0.0)
                 base = np.log10((c + 0.5) / z)
-                history = histories(bucket[at], frequent[at], first)
+                stream = bucket[at]
                 teach = np.repeat(train, lengths)
-                codes, n = np.unique(history[teach] * CLASSES + left_out[at][teach], return_counts=True)
+                codes, n = np.unique(histories(stream, first)[teach] * CLASSES + left_out[at][teach], return_counts=True)
                 sums = lambda x: np.add.reduceat(x[at], first)
                 one = lambda x, kind: pa.array([x], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_ids").slice(k, 1), one(lengths, pa.int64()), one(sums((c > 0).astype(np.int64)), pa.int64()), one(sums(base), pa.float64()), one(sums(within), pa.float64()),
-                     pa.array([history.astype("<u2").tobytes()], pa.binary()), pa.array([own[at].astype(np.uint8).tobytes()], pa.binary()), one(codes, pa.int32()), one(n, pa.int64())],
-                    names=["doc_ids", "lengths", "known", "base", "within", "histories", "classes", "codes", "n"])
+                     pa.array([stream.tobytes()], pa.binary()), pa.array([own[at].astype(np.uint8).tobytes()], pa.binary()), one(codes, pa.int32()), one(n, pa.int64())],
+                    names=["doc_ids", "lengths", "known", "base", "within", "buckets", "classes", "codes", "n"])
 
-    kind = "doc_ids array<long>, lengths array<long>, known array<long>, base array<double>, within array<double>, histories binary, classes binary, codes array<int>, n array<long>"
-    return blocks.select("doc_ids", "train", "lengths", "words", "places", "known").mapInArrow(read, kind)
+    kind = "doc_ids array<long>, lengths array<long>, known array<long>, base array<double>, within array<double>, buckets binary, classes binary, codes array<int>, n array<long>"
+    return blocks.select("doc_ids", "train", "lengths", "size", "places", "known").mapInArrow(read, kind)
 
 
 class Model:
@@ -196,24 +194,29 @@ def train(statistics: DataFrame, rounds: int = ROUNDS) -> Model:
         return model
     parts = statistics.select("code", "n").coalesce(8)
 
-    def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(65536 * CLASSES)
-        for batch in batches:
-            np.add.at(seen, np.asarray(batch.column(0)), np.asarray(batch.column(1)))
-        seen = seen.reshape(-1, CLASSES)
-        history = np.flatnonzero(seen.any(axis=1))
-        observed = seen[history]
-        expected = np.exp(model.log_probabilities(history)) * observed.sum(axis=1, keepdims=True)
-        for k, (o, e) in enumerate(zip(_sums(history, observed), _sums(history, expected), strict=True)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([o.tobytes()], pa.binary()), pa.array([e.tobytes()], pa.binary())], names=["k", "observed", "expected"])
-
+    def summed(observed: bool) -> list[np.ndarray]:
+        """Counts by feature over all parts, observed or as the model expects them: under a megabyte from each task."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(65536 * CLASSES)
+            for batch in batches:
+                np.add.at(seen, np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+            seen = seen.reshape(-1, CLASSES)
+            history = np.flatnonzero(seen.any(axis=1))
+            table = seen[history]
+            if not observed:
+                table = np.exp(model.log_probabilities(history)) * table.sum(axis=1, keepdims=True)
+            sums = [x.astype(np.float32).tobytes() for x in _sums(history, table)]
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.array(sums, pa.binary())], names=["k", "sums"])
+
+        out = [np.zeros((n, CLASSES)) for n in (BUCKETS, BUCKETS, PAIRS)]
+        for r in parts.mapInArrow(count, "k int, sums binary").toLocalIterator():
+            out[r["k"]] += np.frombuffer(r["sums"], np.float32).reshape(-1, CLASSES)
+        return out
+
+    observed = summed(True)
     for _ in range(rounds):
-        sums = {k: [0.0, 0.0] for k in range(3)}
-        for r in parts.mapInArrow(gradient, "k int, observed binary, expected binary").toLocalIterator():
-            for i, name in enumerate(("observed", "expected")):
-                sums[r["k"]][i] = sums[r["k"]][i] + np.frombuffer(r[name]).reshape(-1, CLASSES)
-        for k, weights in enumerate((model.before, model.skip, model.pair)):
-            o, e = sums[k]
+        for weights, o, e in zip((model.before, model.skip, model.pair), observed, summed(False), strict=True):
             weights += (np.log((o + SMOOTH) / (e + SMOOTH)) / 3).astype(np.float32)
     return model
 
@@ -224,15 +227,16 @@ def _scores(coded: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 lengths = np.asarray(batch.column("lengths")[k].values)
-                history = np.frombuffer(batch.column("histories")[k].as_buffer(), "<u2")
+                first = np.cumsum(lengths) - lengths
+                history = histories(np.frombuffer(batch.column("buckets")[k].as_buffer(), np.uint8), first)
                 classes = np.frombuffer(batch.column("classes")[k].as_buffer(), np.uint8)
-                choice = np.add.reduceat(table[history, classes].astype(np.float64), np.cumsum(lengths) - lengths)
+                choice = np.add.reduceat(table[history, classes].astype(np.float64), first)
                 within = np.asarray(batch.column("within")[k].values)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_ids")[k].values, pa.array(lengths), batch.column("known")[k].values, batch.column("base")[k].values, pa.array(choice + within)],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    columns = coded.select("doc_ids", "lengths", "known", "base", "within", "histories", "classes")
+    columns = coded.select("doc_ids", "lengths", "known", "base", "within", "buckets", "classes")
     return columns.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -242,13 +246,21 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", round
     Null and empty texts are one end token. A null `learn` is false. Rows that repeat are each counted and scored. Without any
     training row all tokens are unknown, and the base score is that of one unknown type. Other columns are not carried.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("text"))
     blocks = stored(_coded(source), "coded")
     lists = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counts = stored(lists.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     vocabulary = _vocabulary(counts)
-    known = lists.select("block", "pos", "word").join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("known"))
-    coded = stored(_read_blocks(blocks.join(known, "block", "left"), vocabulary), "read")
+    # a word's bucket: its rank if it is frequent, else one of the others by its hash
+    ranks = [F.struct(F.lit(h).cast("long").alias("word"), F.lit(k).alias("rank")) for h, k in vocabulary.ranks().items()]
+    frequent = spark.range(1).select(F.inline(F.array(*ranks))) if ranks else spark.range(0).selectExpr("id AS word", "0 AS rank")
+    bucket = F.coalesce(F.col("rank"), F.lit(FREQUENT) + F.pmod("word", F.lit(STRANGE - FREQUENT))).cast("short").alias("bucket")
+    counted = counts.join(F.broadcast(frequent), "word", "left").select("word", "c", bucket)
+    known = lists.select("block", "pos", "word").join(counted, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c", "bucket")).alias("known"))
+    texts = blocks.select("block", "doc_ids", "train", "lengths", F.size("words").alias("size"), "places")
+    coded = stored(_read_blocks(texts.join(known, "block", "left"), vocabulary), "read")
+    discard(spark, blocks)
     statistics = coded.select(F.explode(F.arrays_zip("codes", "n")).alias("x")).groupBy(F.col("x.codes").alias("code")).agg(F.sum("x.n").alias("n"))
     model = train(stored(statistics, "statistics"), rounds)
     return _scores(coded, model).withColumn("train_tokens", F.lit(vocabulary.tokens).cast("long"))
