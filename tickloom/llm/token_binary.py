@@ -32,7 +32,7 @@ ENCODED = 4 << 20
 #: Words that the encoder gets in one text.
 JOINED = 256
 #: A worker forgets its table of encoded words beyond so many.
-CACHED_WORDS = 3 << 20
+CACHED_WORDS = 3 << 19
 
 BLOCK_SCHEMA = "part int, block int, n_docs int, n_tokens long, docs binary, absent binary, counts binary, checkpoints binary, bits binary"
 
