@@ -311,3 +311,28 @@ def test_copies_and_edited_copies_are_found(docs, empty, spark):
                 assert ((i, k) in got) == (local(item, w) >= decontamination.needed(len(item))), (i, k)
     assert decontamination.contaminated(empty, items).collect() == [] and decontamination.contaminated(df, items.limit(0)).collect() == []
     assert decontamination.clean(df, items).columns == df.columns
+
+
+def test_edits_at_regular_distances_equal_alignment_of_all_pairs(spark):
+    """Every 4th to 7th word replaced, dropped, or one inserted after every 2nd to 6th; an exact copy makes the broken n-grams rarest."""
+    rng, items, texts = random.Random(6), [], []
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    for length in (3, 8, 9, 16, 40, 60):
+        item = [word() for _ in range(length)]
+        items.append((length, " ".join(item)))
+        edits = [item] + [[w if k % d else x for k, w in enumerate(item)] for d in (3, 4, 5, 6, 7) for x in ("zz",)] + [[w for k, w in enumerate(item) if k % d] for d in (4, 5, 7)]
+        edits += [[y for k, w in enumerate(item, 1) for y in ([w, "zz"] if k % d == 0 else [w])] for d in (1, 2, 3, 4, 6)]
+        edits += [[w if rng.random() > rate else word() for w in item] for rate in (0.15, 0.2, 0.25) for _ in range(6)]
+        edits += [[y for w in item for y in rng.choice([[w], [w], [w], [w], [], [w, word()], [word()]])] for _ in range(12)]
+        texts += [[word() for _ in range(rng.randrange(5))] + e + [word() for _ in range(rng.randrange(5))] for e in edits]
+    items.append((1, "aa bb"))
+    want = {}
+    for i, t in enumerate(texts):
+        for k, x in items:
+            s = local(x.split(), t)
+            if len(x.split()) >= 3 and s >= max(0.5 * len(x.split()), min(len(x.split()), 8)):
+                want[i, k] = s
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.item_id): round(r.score * r.item_words) for r in got} == want
+    assert all(local(dict(items)[r.item_id].split(), texts[r.doc_id][r.start : r.end]) == want[r.doc_id, r.item_id] for r in got)

@@ -183,10 +183,14 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word sequences of one word sequence, in order; one of the whole where it is shorter, none where it is empty."""
     if len(h) == 0:
         return np.empty(0, U64)
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, U64(k * 0x632BE59BD9B4E019 & _MASK), U64)
-    for j in range(k):
-        out += h[j : len(h) - k + 1 + j] * _STEPS[j]
+    return grams_at(h, tuple(range(min(n, len(h)))))
+
+
+def grams_at(h: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the words at these ascending places behind each start; those of ngrams() for the same words without the gaps."""
+    out = np.full(len(h) - places[-1], U64(len(places) * 0x632BE59BD9B4E019 & _MASK), U64)
+    for j, x in enumerate(places):
+        out += h[x : len(h) - places[-1] + x] * _STEPS[j]
     return mixed(out)
 
 
