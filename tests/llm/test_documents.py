@@ -261,6 +261,24 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(np.exp(model.log_probabilities(np.arange(500))).sum(axis=1), 1, atol=1e-5)
 
 
+def test_rare_words_are_predicted_by_the_words_before(spark):
+    """400 rare words that each follow one word, in a vocabulary far over that of the classes: context must tell them."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"a{k} b{k}" for k in (rng.randrange(400) for _ in range(60)))
+    docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    out = [r for r in lm_scoring.contract(docs).collect() if r.held_out]
+    # half of the words follow from the word before; one strength for all contexts costs some of what that is worth
+    assert len(out) > 30 and sum(r.score for r in out) > 0.7 * sum(r.base_score for r in out)
+
+
+def test_blended_shares_sum_to_one():
+    rng = np.random.default_rng(3)
+    share, near, far = rng.dirichlet(np.ones(50)), rng.integers(0, 4, 50), rng.integers(0, 9, 50)
+    for m in lm_scoring.STRENGTHS:
+        total = lm_scoring.blended(near, near.sum(), lm_scoring.blended(far, far.sum(), share, m), m)
+        assert np.isclose(total.sum(), 1) and (total > 0).all()
+
+
 def test_licenses(docs, spark, empty):
     found = [(1, "MIT", "some prose\nReleased under the MIT License."), (2, "Apache-2.0", "x y z\n\nLicensed under the Apache License, Version 2.0.\nmore"), (3, None, "You need a license to drive."), (4, None, None), (5, None, "")]
     df = docs([(-i, t, None) for i, _, t in found], "/root/testdata/sf0.01")

@@ -1,15 +1,20 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-P(token | history) = P(class | history) * P(token | class). Classes are frequent tokens, each alone, then tokens by powers of two
-of their count, the end of a text, and the unknown token; within a class a token's share is its count's. The class is a
-softmax over weights of three hashed features of the history: the word before (bigram), the nearest frequent word before that
-(skip), and both together (trigram, hashed to PAIRS rows). Histories have 65,536 values, so the counts of (history, class) over all
-training texts are the model's sufficient statistics: each update computes the gradient on parts of that table, in tasks, and
-adds the parts up. In training a token counts as the class that it has when its own occurrence is left out, so the
-unknown class learns from words that occur once.
+P(token | history) = P(class | history) * P(token | class, history). Classes are frequent tokens, each alone, then tokens by powers of
+two of their count, the end of a text, and the unknown token. A softmax over weights of three hashed features of the history gives
+the class a prior: the word before (bigram), the nearest frequent word before that (skip), and both together (trigram, hashed
+to PAIRS rows). Its histories have 65,536 values, so the counts of (history, class) over all training texts are the prior's
+sufficient statistics: each update computes the gradient on parts of that table, in tasks, and adds the parts up. In training a
+token counts as the class that it has when its own occurrence is left out, so the unknown class learns from words that occur once.
+
+What grows with the corpus are the features of words themselves: the counts of (word before, class), (word before, word) and
+(skip word, word) over all training texts. The class's prior meets the first, a word's share of its class the others: after o of n
+tokens in a context, P = (o + m * prior) / (n + m), so probabilities sum to one. m is the one of STRENGTHS that makes the training
+tokens most likely when each is left out of its own counts; the last ignores the context. Features are hashed to 32 bits
+in each of some ranges, more as the texts have more tokens; a block's distinct features meet their sums over all blocks by range.
 
 Token counts are never held whole: texts are coded in blocks of about BLOCK bytes against the block's own word list, and only
-these word lists meet the counts of the corpus in a join. A model of fixed size goes to the workers.
+these word lists, and the lists of features, meet the counts of the corpus. A prior of fixed size goes to the workers.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import U64, Words, crc_mod, discard, pieces, stored
+from tickloom.llm.common import U64, Words, crc_mod, discard, mixed, pieces, stored
 
 BLOCK = 8 << 20
 #: Frequent words with a bucket of their own in histories; of these, words with a class of their own.
@@ -35,6 +40,10 @@ BINS = CLASSES - FIRST_BIN
 STRANGE, EDGE = BUCKETS - 2, BUCKETS - 1
 NOTHING = FREQUENT
 ROUNDS, SMOOTH = 12, 0.5
+#: Weights of the prior against the counts of a context.
+STRENGTHS = np.array([1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 1e12])
+#: Ranges of hashed features: at least, and features of blocks in one at most, about.
+LEAST_RANGES, RANGE = 64, 2 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 LISTS = "doc_ids array<long>, train array<boolean>, lengths array<long>"
 
@@ -134,18 +143,108 @@ def _read_blocks(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 own, left_out = vocabulary.classes(bucket, c), vocabulary.classes(bucket, np.maximum(c - 1, 0))
                 within = np.where(own >= FIRST_BIN, np.log10(np.maximum(c, 1) / vocabulary.mass[np.maximum(own - FIRST_BIN, 0)]), 0.0)
                 base = np.log10((c + 0.5) / z)
-                stream = bucket[at]
                 teach = np.repeat(train, lengths)
-                codes, n = np.unique(histories(stream, first)[teach] * CLASSES + left_out[at][teach], return_counts=True)
+                codes, n = np.unique(histories(bucket[at], first)[teach] * CLASSES + left_out[at][teach], return_counts=True)
                 sums = lambda x: np.add.reduceat(x[at], first)
                 one = lambda x, kind: pa.array([x], pa.list_(kind))
+                raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids").slice(k, 1), one(lengths, pa.int64()), one(sums((c > 0).astype(np.int64)), pa.int64()), one(sums(base), pa.float64()), one(sums(within), pa.float64()),
-                     pa.array([stream.tobytes()], pa.binary()), pa.array([own[at].astype(np.uint8).tobytes()], pa.binary()), one(codes, pa.int32()), one(n, pa.int64())],
-                    names=["doc_ids", "lengths", "known", "base", "within", "buckets", "classes", "codes", "n"])
+                    [*(batch.column(x).slice(k, 1) for x in ("block", "doc_ids", "train", "lengths", "words", "places")), one(sums((c > 0).astype(np.int64)), pa.int64()), one(sums(base), pa.float64()),
+                     raw(within, "<f8"), raw(c, "<i8"), raw(bucket, "u1"), raw(own, "u1"), one(codes, pa.int32()), one(n, pa.int64())],
+                    names=["block", "doc_ids", "train", "lengths", "words", "places", "known", "base", "shares", "counts", "buckets", "classes", "codes", "n"])
+
+    kind = f"block long, {LISTS}, words array<long>, places binary, known array<long>, base array<double>, shares binary, counts binary, buckets binary, classes binary, codes array<int>, n array<long>"
+    return blocks.select("block", "doc_ids", "train", "lengths", "words", "size", "places", "known").mapInArrow(read, kind)
+
+
+class Block:
+    """A coded block: its tokens as places in its word list, what is known of these words, and its features."""
+
+    COLUMNS = ("block", "doc_ids", "train", "lengths", "words", "places", "known", "base", "shares", "counts", "buckets", "classes")
+
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        column = lambda name: batch.column(name)[k]
+        raw = lambda name, kind: np.frombuffer(column(name).as_buffer(), kind)
+        self.at = raw("places", "<u4").astype(np.int64)
+        self.lengths = np.asarray(column("lengths").values)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.train = np.repeat(column("train").values.to_numpy(zero_copy_only=False).astype(bool), self.lengths)
+        self.words = np.asarray(column("words").values).view(U64)
+        self.share, self.count, self.bucket, self.own = (raw(x, t) for x, t in (("shares", "<f8"), ("counts", "<i8"), ("buckets", "u1"), ("classes", "u1")))
+        self.history = histories(self.bucket[self.at], self.first)
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Distinct features and their counts in training texts; for each token the places of (before, class), then for words of classes with many (before, class), (before, word), (skip, class) and (skip, word); -1 where it has no such feature.
+
+        A word that occurs once teaches its context the unknown class, so that a class's words are those which occur at least twice.
+        """
+        size = len(self.words)
+        before = np.empty(len(self.at), np.int64)
+        before[1:] = self.at[:-1]
+        before[self.first] = self.at[self.first[0] + self.lengths[0] - 1]  # the end token stands for a text's begin
+        taught = np.where(self.count == 1, UNKNOWN_CLASS, self.own)
+        binned = (self.own >= FIRST_BIN) & (self.count > 1)
+        keys, counts, places, total = [], [], [], 0
+        for k, (context, left) in enumerate(((self.words, before), (np.arange(256, dtype=U64), self.history & 255))):
+            pair, place, n = np.unique(left * size + self.at, return_inverse=True, return_counts=True)
+            n = np.bincount(place[self.train], minlength=len(pair))
+            left, word = np.divmod(pair, size)
+            some = np.flatnonzero(binned[word])
+            # the class factor counts all words after a word, the other only those of classes with many words
+            rows = [(np.arange(len(pair)), self.own, 0), (some, self.own, 1)] if k == 0 else [(some, self.own, 2)]
+            for of, kind, salt in rows:
+                code, inverse = np.unique(left[of] * CLASSES + (taught if salt == 0 else kind)[word[of]], return_inverse=True)
+                where = np.full(len(pair), -1)
+                where[of] = inverse + total
+                keys.append(mixed(mixed(context[code // CLASSES] + U64(salt)) + (code % CLASSES).astype(U64)))
+                counts.append(np.bincount(inverse, n[of], len(code)))
+                total += len(code)
+                places.append(where[place])
+            where = np.full(len(pair), -1)
+            where[some] = np.arange(len(some)) + total
+            keys.append(mixed(mixed(context[left[some]] + U64(8 + k)) + self.words[word[some]]))
+            counts.append(n[some])
+            total += len(some)
+            places.append(where[place])
+        return np.concatenate(keys), np.concatenate(counts).astype(np.int64), places
+
+
+def _by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys by range, and where each range begins in it."""
+    part = (keys >> U64(32)) % U64(ranges)
+    order = np.lexsort((keys & U64(0xFFFFFFFF), part))
+    return order, np.searchsorted(part[order], np.arange(ranges + 1).astype(U64))
+
+
+def _summed(coded: DataFrame, ranges: int) -> DataFrame:
+    """block, sums (part, counts): for each block and range of features, in the order of _by_range, their counts over all blocks."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if not len(batch.column("lengths")[k].values):
+                    continue
+                keys, counts, _ = Block(batch, k).features()
+                order, edge = _by_range(keys, ranges)
+                low, n = (keys[order] & U64(0xFFFFFFFF)).astype("<u4"), counts[order].astype("<u4")
+                part = np.flatnonzero(np.diff(edge))
+                cut = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(part), pa.int64()), cut(low), cut(n)], names=["part", "block", "low", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        low = [np.frombuffer(x.as_buffer(), "<u4") for x in group.column("low")]
+        distinct, place = np.unique(np.concatenate(low), return_inverse=True)
+        total = np.bincount(place, np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group.column("n")]), len(distinct))[place]
+        cells = np.split(total, np.cumsum([len(x) for x in low])[:-1])
+        return pa.table({"block": group.column("block"), "part": group.column("part"), "sums": pa.array([x.astype("<u4" if x.max() < 1 << 32 else "<u8").tobytes() for x in cells], pa.binary())})
+
+    lists = coded.select(*Block.COLUMNS).mapInArrow(listed, "part int, block long, low binary, n binary")
+    sums = lists.groupBy("part").applyInArrow(add, "block long, part int, sums binary")
+    return sums.groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("sums"))
 
-    kind = "doc_ids array<long>, lengths array<long>, known array<long>, base array<double>, within array<double>, buckets binary, classes binary, codes array<int>, n array<long>"
-    return blocks.select("doc_ids", "train", "lengths", "size", "places", "known").mapInArrow(read, kind)
+
+def blended(o: np.ndarray, n: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
+    return (o + strength * prior) / (n + strength)
 
 
 class Model:
@@ -221,23 +320,50 @@ def train(statistics: DataFrame, rounds: int = ROUNDS) -> Model:
     return model
 
 
-def _scores(coded: DataFrame, model: Model) -> DataFrame:
+def _scores(coded: DataFrame, model: Model, ranges: int) -> DataFrame:
+    """A row for each text with its scores by strength, for the class and for the word; `left` has those of training texts with each token left out of its counts."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.concatenate([model.log_probabilities(np.arange(k, k + 4096)) for k in range(0, 65536, 4096)]) / log(10)
+        table = np.concatenate([model.log_probabilities(np.arange(k, k + 4096)) for k in range(0, 65536, 4096)])
         for batch in batches:
             for k in range(batch.num_rows):
-                lengths = np.asarray(batch.column("lengths")[k].values)
-                first = np.cumsum(lengths) - lengths
-                history = histories(np.frombuffer(batch.column("buckets")[k].as_buffer(), np.uint8), first)
-                classes = np.frombuffer(batch.column("classes")[k].as_buffer(), np.uint8)
-                choice = np.add.reduceat(table[history, classes].astype(np.float64), first)
-                within = np.asarray(batch.column("within")[k].values)
+                b = Block(batch, k)
+                keys, _, places = b.features()
+                order, edge = _by_range(keys, ranges)
+                total = np.zeros(len(keys) + 1)  # the last is of tokens without the feature
+                sums = batch.column("sums")[k].values
+                for part, cell in zip(sums.field("part").to_pylist(), sums.field("sums"), strict=True):
+                    of = order[edge[part] : edge[part + 1]]
+                    total[of] = np.frombuffer(cell.as_buffer(), f"<u{len(cell.as_buffer()) // len(of)}")
+                in_class, near_class, near, far_class, far = (total[x] for x in places)
+                own = b.own[b.at]
+                # how often a word stands before another is its count
+                before = np.empty(len(b.at), np.int64)
+                before[1:] = b.at[:-1]
+                before[b.first] = b.at[b.first[0] + b.lengths[0] - 1]
+                n = b.count[before]
+                prior, share = np.exp(table[b.history, own].astype(np.float64)), 10 ** b.share[b.at]
+                # a word that occurs once is not of the class that it teaches
+                once = b.count[b.at] == 1
+                binned = places[2] >= 0
+                out = {"score": ([], []), "left": ([], [])}
+                for name, less in (("score", 0), ("left", b.train)):
+                    if name == "left":
+                        prior = np.where(once, np.exp(table[b.history, UNKNOWN_CLASS].astype(np.float64)), prior)
+                    o = in_class if name == "left" else np.where(once, 0, in_class)
+                    for m in STRENGTHS:
+                        x = np.log10(blended(np.maximum(o - less, 0), np.maximum(n - less, 0), prior, m))
+                        far_share = blended(np.maximum(far - less, 0), np.maximum(far_class - less, 0), share, m)
+                        y = np.where(binned, np.log10(blended(np.maximum(near - less, 0), np.maximum(near_class - less, 0), far_share, m)), b.share[b.at])
+                        for values, of in zip((x, y), out[name], strict=True):
+                            of.append(np.add.reduceat(np.where(b.train, values, 0) if name == "left" else values, b.first))
+                lists = [pa.array(list(np.stack(x, axis=1)), pa.list_(pa.float64())) for x in (*out["score"], *out["left"])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[k].values, pa.array(lengths), batch.column("known")[k].values, batch.column("base")[k].values, pa.array(choice + within)],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                    [batch.column("doc_ids")[k].values, pa.array(b.lengths), batch.column("known")[k].values, batch.column("base")[k].values, *lists],
+                    names=["doc_id", "n_tokens", "n_known", "base_score", "class", "word", "left_class", "left_word"])
 
-    columns = coded.select("doc_ids", "lengths", "known", "base", "within", "buckets", "classes")
-    return columns.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    columns = coded.select(*Block.COLUMNS).join(_summed(coded, ranges), "block")
+    return columns.mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, class array<double>, word array<double>, left_class array<double>, left_word array<double>")
 
 
 def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -258,12 +384,20 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", round
     bucket = F.coalesce(F.col("rank"), F.lit(FREQUENT) + F.pmod("word", F.lit(STRANGE - FREQUENT))).cast("short").alias("bucket")
     counted = counts.join(F.broadcast(frequent), "word", "left").select("word", "c", bucket)
     known = lists.select("block", "pos", "word").join(counted, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c", "bucket")).alias("known"))
-    texts = blocks.select("block", "doc_ids", "train", "lengths", F.size("words").alias("size"), "places")
+    texts = blocks.select("block", "doc_ids", "train", "lengths", "words", F.size("words").alias("size"), "places")
     coded = stored(_read_blocks(texts.join(known, "block", "left"), vocabulary), "read")
     discard(spark, blocks)
     statistics = coded.select(F.explode(F.arrays_zip("codes", "n")).alias("x")).groupBy(F.col("x.codes").alias("code")).agg(F.sum("x.n").alias("n"))
     model = train(stored(statistics, "statistics"), rounds)
-    return _scores(coded, model).withColumn("train_tokens", F.lit(vocabulary.tokens).cast("long"))
+    tokens = coded.select(F.explode("lengths").alias("n")).agg(F.sum("n")).first()[0] or 0
+    scored = stored(_scores(coded, model, max(LEAST_RANGES, 2 * tokens // RANGE)), "scored")
+    # the strengths that make the training tokens, each left out, most likely
+    best = []
+    for name in ("class", "word"):
+        sums = scored.agg(*[F.sum(F.col(f"left_{name}")[k]) for k in range(len(STRENGTHS))]).first()
+        best.append(int(np.argmax([float("-inf") if x is None else x for x in sums])) if vocabulary.tokens else len(STRENGTHS) - 1)
+    total = F.col("class")[best[0]] + F.col("word")[best[1]]
+    return scored.select("doc_id", "n_tokens", "n_known", "base_score", total.alias("score"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"))
 
 
 def contract(docs: DataFrame) -> DataFrame:
