@@ -72,6 +72,16 @@ def test_minhash_null_ids_repeats_and_nothing(docs, empty, spark):
     assert minhash_dedup.near_duplicates(empty).collect() == []
 
 
+def test_all_texts_of_an_id_link(spark):
+    """One id on several texts has the links of each, and its empty texts link with nothing."""
+    texts = [" ".join(f"t{k}w{j}" for j in range(60)) for k in range(5)]
+    rows = [(1, t) for t in texts] + [(10 + k, t + " more") for k, t in enumerate(texts)]
+    rows += [(30, "x " + texts[0][::-1]), (30, ""), (31, "y " + texts[0][::-1]), (31, None), (40, texts[2][::-1]), (40, ""), (41, ""), (41, texts[3][::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(df).collect()}
+    assert got == {(1, 1), (30, 30), (31, 30), (40, 40), (41, 41)} | {(10 + k, 1) for k in range(5)}
+
+
 def test_a_group_whose_smallest_member_is_not_like_the_others(spark):
     """A bucket's smallest id links with nobody: the other members still find each other."""
     rng = random.Random(3)

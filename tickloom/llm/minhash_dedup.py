@@ -106,7 +106,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, fold: bool) -> DataFrame:
-    """doc_id, n, sig (short minima), set (all shingles) of the wanted documents, one row each.
+    """doc_id, n, sig (short minima), set (all shingles) of the wanted documents, one row for each different set of an id that is not empty.
 
     The texts are read where they lie; only sets are shuffled. What the bitmap lets pass besides goes in the join.
     """
@@ -124,7 +124,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, fold: bool) -> D
                     names=["doc_id", "n", "sig", "set"])
 
     made = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, sig binary, set array<long>")
-    return made.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = made.where("n > 0").join(wanted, "doc_id", "left_semi").withColumn("one", F.xxhash64("set"))
+    return own.dropDuplicates(["doc_id", "one"]).drop("one")
 
 
 def agreeing(pairs: DataFrame, least: float) -> DataFrame:
@@ -151,11 +152,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share = percent / 100
     side = lambda s, *c: sets.select(F.col("doc_id").alias(s), *[F.col(x).alias(x[0] + s) for x in c])
     sized = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b").where(_within(F.col("na"), F.col("nb"), percent))
-    likely = stored(agreeing(sized, share - 5 * sqrt(share * (1 - share) / HASHES)), "likely")
+    # an id with several sets is met by each of them
+    likely = stored(agreeing(sized, share - 5 * sqrt(share * (1 - share) / HASHES)).distinct(), "likely")
     joined = likely.join(side("b", "set"), "b").join(side("a", "set"), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     joined = joined.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
-    return joined.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent).select("a", "b")
+    return joined.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * percent).select("a", "b").distinct()
 
 
 def _blocks(left: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
