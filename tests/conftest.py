@@ -7,12 +7,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from check import session  # noqa: E402
+from market_helpers import SF  # noqa: E402
 
 from tickloom.functions.frames import BLOCK_CONF  # noqa: E402
 from tickloom.sources.adapters import Tables  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -39,15 +38,3 @@ def small_blocks(spark):
             spark.conf.unset(BLOCK_CONF)
 
     return run
-
-
-def bars(spark, closes, symbol="A", volumes=None, highs=None, lows=None, opens=None, timeframe="1h"):
-    import datetime
-
-    t0 = datetime.datetime(2024, 1, 1)
-    rows = []
-    for i, c in enumerate(closes):
-        rows.append((symbol, timeframe, t0 + datetime.timedelta(hours=i), float(opens[i] if opens is not None else c),
-                     float(highs[i] if highs is not None else c + 1), float(lows[i] if lows is not None else c - 1), float(c),
-                     float(volumes[i] if volumes is not None else 100 + i)))
-    return spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double")

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import bars
+from market_helpers import bars
 from pyspark.sql import functions as F
 
 from tickloom.operators import averages as av

@@ -4,7 +4,7 @@ import os
 
 import pytest
 from check import compare, duck
-from conftest import SF
+from market_helpers import SF
 
 import __spark_entry__ as entry
 

@@ -1,7 +1,7 @@
 """Writers, merging, streaming decoders and the detector registry."""
 
 import pytest
-from conftest import bars
+from market_helpers import bars
 from pyspark.sql import functions as F
 
 from tickloom.plans import detectors as de
