@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import pairs_of
+from llm_helpers import pairs_of
 
 from tickloom.llm import components, decontamination, language_id, license_scan, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary
 

@@ -1,5 +1,5 @@
 import corpus_pipeline as p
-from helpers import pairs_of
+from llm_helpers import pairs_of
 
 from tickloom.llm import decontamination, minhash_dedup
 
