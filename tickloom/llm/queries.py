@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary, url_filters
+from tickloom.llm import centroid_clustering, decontamination, embedding_dedup, importance_resampling, language_id, license_scan, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary, url_filters, vector_search
 from tickloom.llm.common import table
 from tickloom.llm.oracles import ORACLES
 
@@ -67,3 +67,18 @@ def op9_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, path: str) -> DataFrame:
     return language_id.held_out_prediction(table(spark, path, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, path: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
+@query
+def op12_nearest_neighbours(spark: SparkSession, path: str) -> DataFrame:
+    return vector_search.nearest(table(spark, path, "embeddings"))
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, path: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, path, "embeddings"))
