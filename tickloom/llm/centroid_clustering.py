@@ -62,7 +62,9 @@ class Apexes:
     def of(self, x: np.ndarray) -> np.ndarray:
         """Apex of each narrow vector; the last two columns are its altitude and its distance to the first pivot."""
         d = np.stack([squared(x, p) for p in self.pivots], axis=1).astype(float) if self.pivots else np.zeros((len(x), 1))
-        y = np.linalg.solve(self.base, ((d[:, :1] + self.squares - d[:, 1:]) / 2).T).T if len(self.base) else np.zeros((len(x), 0))
+        y = np.zeros((len(x), len(self.base)))
+        for i, row in enumerate(self.base):  # forward substitution, one pivot after the other
+            y[:, i] = ((d[:, 0] + self.squares[i] - d[:, i + 1]) / 2 - (y[:, :i] * row[:i]).sum(axis=1)) / row[i]
         high = np.sqrt(np.maximum(d[:, 0] - (y**2).sum(axis=1), 0))
         return np.concatenate([y, high[:, None], np.sqrt(d[:, :1])], axis=1)
 
