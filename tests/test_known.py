@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import averages as av
 from tickloom.operators import confidence as co
-from tickloom.operators import momentum, trend, volatility, volprice
+from tickloom.operators import momentum, trend, trendlines, volatility, volprice
 from tickloom.operators import quality as qa
 from tickloom.operators import store as st
 from tickloom.operators import validation as va
@@ -122,10 +122,10 @@ def test_top_reversal(spark):
 def test_trendlines_touch_and_fit(spark):
     x = np.arange(120)
     y = 100 + 0.2 * x + 5 * np.sin(x / 4)
-    rows = trend.trendlines(bars(spark, y)).collect()
+    rows = trendlines.trendlines(bars(spark, y)).collect()
     assert {r.line_type for r in rows} == {"resistance"} or {r.line_type for r in rows} == {"resistance", "support"}
     assert all(r.r_squared > 0.64 and r.p_value < 0.05 and r.touches >= 3 for r in rows)
-    assert trend.channels(trend.trendlines(bars(spark, y))).count() >= 1
+    assert trendlines.channels(trendlines.trendlines(bars(spark, y))).count() >= 1
 
 
 def test_volume_scenarios(spark):

@@ -1,18 +1,14 @@
-"""Trend decomposition, tests, reversals, levels, trendlines and strength."""
+"""Trend decomposition, tests, reversals, levels and strength."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import frames as fr
 from tickloom.functions import hodrick
 from tickloom.functions.ranking import median_slope, pair_balance
-from tickloom.functions.stats import normal_two_sided, t_p_value, t_two_sided
+from tickloom.functions.stats import normal_two_sided, t_p_value
 from tickloom.operators.averages import safe_div
 from tickloom.schemas import SERIES, positive, require
 
@@ -226,98 +222,6 @@ def sr_levels(bars: DataFrame, lookback: int = 100, min_touches: int = 2, tol: f
     return classify_levels(consolidate(found, tol), bars)
 
 
-_LINE_SCHEMA = (
-    "symbol string, timeframe string, line_type string, slope double, intercept double, r_squared double, p_value double, "
-    "touches long, start_idx long, end_idx long, angle_degrees double, strength double"
-)
-
-
-def _fits(x: np.ndarray, v: np.ndarray, min_points: int) -> tuple[np.ndarray, ...]:
-    """Least-squares fit of every run that starts at the first point: number of points, slope, intercept and r, from running sums."""
-    dx, dv = x - x[0], v - v[0]
-    n = np.arange(1, len(x) + 1)
-    sx, sv = np.cumsum(dx), np.cumsum(dv)
-    sxx, sxv, svv = np.cumsum(dx * dx) - sx * sx / n, np.cumsum(dx * dv) - sx * sv / n, np.cumsum(dv * dv) - sv * sv / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        slope, r = sxv / sxx, np.clip(sxv / np.sqrt(sxx * svv), -1, 1)
-    base = (sv - slope * sx) / n + v[0] - slope * x[0]
-    use = (n >= min_points) & (svv > 1e-18 * np.maximum(1.0, np.abs(v).max()) ** 2) & (np.abs(r) > 0.8)
-    return n[use], slope[use], base[use], r[use]
-
-
-def _lines(y: np.ndarray, points: np.ndarray, kind: str, min_points: int, max_dev: float) -> list[tuple]:
-    """Lines over every run of consecutive extrema that fit well, near-duplicates dropped in order."""
-    kept: list[tuple] = []
-    slopes, bases = np.empty(0), np.empty(0)
-    x_all, values = np.arange(len(y)), y[points]
-    for i in range(len(points) - min_points + 1):
-        for n, slope, base, r in zip(*_fits(points[i:].astype(float), values[i:], min_points), strict=True):
-            free = int(n) - 2
-            p = t_two_sided(math.inf if abs(r) == 1 else r * math.sqrt(free / (1 - r * r)), free)
-            if p >= 0.05:
-                continue
-            expected = slope * x_all + base
-            with np.errstate(divide="ignore", invalid="ignore"):
-                touches = int((np.abs(y - expected) / expected < max_dev).sum())
-            if touches < min_points:
-                continue
-            line = (kind, float(slope), float(base), float(r * r), p, touches, int(points[i]), int(points[i + n - 1]), math.degrees(math.atan(slope)), float(abs(r)))
-            twins = np.flatnonzero((np.abs(slope - slopes) < np.abs(slopes) * 0.1) & (np.abs(base - bases) < np.abs(bases) * 0.1))
-            if len(twins):
-                if line[3] <= kept[twins[0]][3]:
-                    continue
-                del kept[twins[0]]
-                slopes, bases = np.delete(slopes, twins[0]), np.delete(bases, twins[0])
-            kept.append(line)
-            slopes, bases = np.append(slopes, slope), np.append(bases, base)
-    return kept
-
-
-def trendlines(bars: DataFrame, min_points: int = 3, max_dev: float = 0.05) -> DataFrame:
-    """Resistance and support lines of each whole series.
-
-    Every run of extrema is a candidate and the dropping of near-duplicates depends on their order, so a series is
-    analysed in one task, which holds its closes and the lines kept.
-    """
-    require(bars, "close")
-    positive(min_points=min_points)
-    df = fr.index_bars(bars).select(*SERIES, "idx", "close")
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("idx")["close"].to_numpy(dtype=float)
-        out = []
-        if len(y) >= 2 * min_points:
-            for kind, sign in (("resistance", 1.0), ("support", -1.0)):
-                out += _lines(y, _strict_peaks(sign * y, 5), kind, min_points, max_dev)
-        rows = [(*pdf[SERIES].iloc[0], *line) for line in out]
-        names = [c.split()[0] for c in _LINE_SCHEMA.split(", ")]
-        return pd.DataFrame(rows, columns=names)
-
-    return df.groupBy(*SERIES).applyInPandas(kernel, _LINE_SCHEMA)
-
-
-def _strict_peaks(y: np.ndarray, order: int) -> np.ndarray:
-    at = np.arange(1, len(y) - 1)
-    ok = np.ones(len(at), dtype=bool)
-    for k in range(1, order + 1):
-        lo, hi = at - k, at + k
-        ok &= (lo < 0) | (y[at] > y[np.maximum(lo, 0)])
-        ok &= (hi >= len(y)) | (y[at] > y[np.minimum(hi, len(y) - 1)])
-    return at[ok]
-
-
-def channels(lines: DataFrame) -> DataFrame:
-    """Resistance and support lines of one series with slopes within 20 %, resistance above."""
-    up = lines.filter("line_type = 'resistance'").select(*SERIES, F.col("slope").alias("upper_slope"), F.col("intercept").alias("upper_intercept"), F.col("strength").alias("_s1"))
-    low = lines.filter("line_type = 'support'").select(*SERIES, F.col("slope").alias("lower_slope"), F.col("intercept").alias("lower_intercept"), F.col("strength").alias("_s2"))
-    a, b = F.col("upper_slope"), F.col("lower_slope")
-    mean = (F.abs(a) + F.abs(b)) / 2
-    near = (mean > 0) & (F.abs(a - b) < mean * 0.2) & (F.col("upper_intercept") > F.col("lower_intercept"))
-    return up.join(low, SERIES).filter(near).select(
-        *SERIES, "upper_slope", "upper_intercept", "lower_slope", "lower_intercept",
-        (F.col("upper_intercept") - F.col("lower_intercept")).alias("width"), ((F.col("_s1") + F.col("_s2")) / 2).alias("strength"))
-
-
 def adx_label(adx: Column) -> Column:
     return F.when(adx < 25, "weak_trend").when(adx < 50, "strong_trend").when(adx < 75, "very_strong_trend").otherwise("extremely_strong_trend")
 

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from tickloom.operators import trend as tr
+from tickloom.operators import trendlines as tl
 from tickloom.plans.catalog import lines, query, rounded
-from tickloom.plans.sql import CALM, HOURLY, frame, lag, last, lead
+from tickloom.plans.sql import CALM, CLIMBING, HOURLY, frame, lag, last, lead, t_two_sided
 
 
 @query("trd01_hp_filter")
@@ -165,22 +166,49 @@ def _(t):
     return levels(tr.sr_levels(t.calm))
 
 
-@query("trd14_trendlines")
+# Fits of all runs of extrema, then a walk in their order with the list of lines kept. Critical t values at 5 % for 1 to 4 degrees of freedom.
+TRENDLINES = f"""le AS (SELECT symbol, n, idx, close, {peak('>', 'max', 'close', 5)} AS p, {peak('<', 'min', 'close', 5)} AS q FROM bars),
+lp AS (SELECT symbol, kind, x, v, row_number() OVER (PARTITION BY symbol, kind ORDER BY x) AS k FROM (
+  SELECT symbol, 'resistance' AS kind, idx AS x, close AS v FROM le WHERE p AND n >= 6 UNION ALL SELECT symbol, 'support', idx, close FROM le WHERE q AND n >= 6)),
+lf AS (SELECT a.symbol, a.kind, a.k AS i, b.k AS j, count(*) AS np, a.x AS s0, b.x AS s1, regr_slope(c.v, c.x) AS sl, regr_intercept(c.v, c.x) AS ic, corr(c.v, c.x) AS r
+  FROM lp a JOIN lp b ON a.symbol = b.symbol AND a.kind = b.kind AND b.k >= a.k + 2 JOIN lp c ON c.symbol = a.symbol AND c.kind = a.kind AND c.k BETWEEN a.k AND b.k GROUP BY ALL),
+lg AS (SELECT *, abs(r) * sqrt((np - 2) / (1 - r * r)) AS t FROM lf WHERE abs(r) > 0.8),
+lh AS (SELECT * FROM lg WHERE np > 6 OR t > [12.706204736, 4.302652730, 3.182446305, 2.776445105][np - 2]),
+lt AS (SELECT symbol, kind, i, j, count(CASE WHEN abs(close - (sl * idx + ic)) / (sl * idx + ic) < 0.05 THEN 1 END) AS touches FROM lh JOIN bars USING (symbol) GROUP BY ALL),
+lc AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY i, j) AS rn FROM lh JOIN lt USING (symbol, kind, i, j) WHERE touches >= 3),
+lw(symbol, kind, rn, kept) AS (
+  SELECT symbol, kind, rn, [{{'rn': rn, 's': sl, 'b': ic, 'q': r * r}}] FROM lc WHERE rn = 1
+  UNION ALL
+  SELECT symbol, kind, rn, CASE WHEN twin IS NULL THEN list_append(kept, c) WHEN c.q > kept[twin].q THEN list_append(list_filter(kept, lambda e: e.rn <> kept[twin].rn), c) ELSE kept END
+  FROM (SELECT w.symbol, w.kind, n.rn, w.kept, {{'rn': n.rn, 's': n.sl, 'b': n.ic, 'q': n.r * n.r}} AS c,
+    list_position(list_transform(w.kept, lambda e: abs(n.sl - e.s) < abs(e.s) * 0.1 AND abs(n.ic - e.b) < abs(e.b) * 0.1), true) AS twin
+    FROM lw w JOIN lc n ON n.symbol = w.symbol AND n.kind = w.kind AND n.rn = w.rn + 1)),
+lk AS (SELECT symbol, kind, unnest(kept).rn AS rn FROM lw QUALIFY lw.rn = max(lw.rn) OVER (PARTITION BY symbol, kind)),
+ln AS (SELECT c.* FROM lc c JOIN lk USING (symbol, kind, rn))"""
+
+
+@query("trd14_trendlines", f"""WITH RECURSIVE {CALM}, {TRENDLINES}
+SELECT symbol, kind AS line_type, touches, s0 AS start_idx, s1 AS end_idx, round(sl, 5) AS slope, round(ic, 5) AS intercept, round(r * r, 5) AS r_squared,
+  round({t_two_sided('t', '(np - 2)')}, 5) AS p_value, round(degrees(atan(sl)), 5) AS angle_degrees, round(abs(r), 5) AS strength FROM ln""")
 def _(t):
-    df = tr.trendlines(t.calm)
+    df = tl.trendlines(t.calm)
     return rounded(df, ["symbol", "line_type", "touches", "start_idx", "end_idx"], 5, slope="slope", intercept="intercept",
                    r_squared="r_squared", p_value="p_value", angle_degrees="angle_degrees", strength="strength")
 
 
-@query("trd15_trendline_counts")
+@query("trd15_trendline_counts", f"""WITH RECURSIVE {HOURLY}, {TRENDLINES}
+SELECT symbol, kind AS line_type, count(*) AS distinct_lines, max(touches) AS most_touches FROM ln GROUP BY 1, 2""")
 def _(t):
-    return tr.trendlines(t.hourly).groupBy("symbol", "line_type").agg(F.count(F.lit(1)).alias("distinct_lines"), F.max("touches").alias("most_touches"))
+    return tl.trendlines(t.hourly).groupBy("symbol", "line_type").agg(F.count(F.lit(1)).alias("distinct_lines"), F.max("touches").alias("most_touches"))
 
 
-@query("join07_channels")
+@query("join07_channels", f"""WITH RECURSIVE {CLIMBING}, {TRENDLINES}
+SELECT u.symbol, greatest(u.s0, w.s0) AS start_idx, least(u.s1, w.s1) AS end_idx, round(u.sl, 5) AS upper_slope, round(w.sl, 5) AS lower_slope, round(u.ic - w.ic, 4) AS width,
+  round((abs(u.r) + abs(w.r)) / 2, 5) AS strength FROM ln u JOIN ln w ON u.symbol = w.symbol AND u.kind = 'resistance' AND w.kind = 'support'
+WHERE abs(u.sl - w.sl) / ((abs(u.sl) + abs(w.sl)) / 2) < 0.2 AND u.ic > w.ic""")
 def _(t):
-    df = tr.channels(tr.trendlines(t.hourly))
-    return rounded(df, ["symbol"], 5, **{c: c for c in ("upper_slope", "lower_slope", "width", "strength")})
+    df = tl.channels(tl.trendlines(t.climbing))
+    return rounded(df, ["symbol", "start_idx", "end_idx"], 5, **{c: c for c in ("upper_slope", "lower_slope", "strength")}, width=F.round("width", 4))
 
 
 ADX = f"""d AS (SELECT *, coalesce(close - {lag('close')}, 0) AS d FROM bars),

@@ -31,6 +31,9 @@ bars AS (
 
 CALM_TICKS = TICKS.replace("value AS price", "500 + value * 0.1 AS price")
 HOURLY = bars_cte("hour")
+#: Prices that climb by the day, with little noise: both sides have lines, and channels lie between them.
+CLIMBING_TICKS = TICKS.replace("value AS price", "100 + 2 * (epoch(ts) - 1704067200) / 86400 + value * 0.1 AS price")
+CLIMBING = bars_cte("hour", CLIMBING_TICKS)
 CALM = bars_cte("hour", CALM_TICKS)
 CALM_MINUTES = bars_cte("minute", CALM_TICKS)
 SURGES = bars_cte("minute", TICKS.replace("CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size", "value AS size"))
@@ -97,3 +100,12 @@ def smooth(name: str, source: str, x: str, alpha: str, seed_idx: int = 0, seed:
                   ELSE {alpha} * pow(1 - {alpha}, t.idx - k.idx) * k.{x} END) AS y
   FROM {source} t JOIN {source} k ON t.symbol = k.symbol AND k.idx BETWEEN {seed_idx} AND t.idx
   GROUP BY 1, 2)"""
+
+
+def t_two_sided(t: str, df: str) -> str:
+    """P(|T| > |t|) for a whole number of degrees of freedom, by the finite series in the angle's cosine."""
+    angle = f"atan(abs({t}) / sqrt(({df})::DOUBLE))"
+    series = lambda first, top, bottom: f"list_reduce(list_transform(list_reverse(range(1, {first})), lambda k: k::DOUBLE), lambda a, k: 1 + {top} / {bottom} * pow(cos({angle}), 2) * a, 1::DOUBLE)"
+    even = f"sin({angle}) * {series(f'({df}) // 2', '(2 * k - 1)', '(2 * k)')}"
+    odd = f"2 / pi() * ({angle} + CASE WHEN ({df}) > 1 THEN sin({angle}) * cos({angle}) * {series(f'(({df}) - 1) // 2', '(2 * k)', '(2 * k + 1)')} ELSE 0 END)"
+    return f"greatest(0, 1 - CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"

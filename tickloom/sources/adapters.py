@@ -108,6 +108,12 @@ class Tables:
     def calm_minutes(self) -> DataFrame:
         return ticks_to_bars(self.calm_ticks, "1m")
 
+    @cached_property
+    def climbing(self) -> DataFrame:
+        """The same trades on a price that climbs by the day, with little noise."""
+        days = (F.unix_micros("ts") / 1e6 - 1704067200) / 86400
+        return ticks_to_bars(self.ticks.withColumn("price", 100 + 2 * days + F.col("price") * 0.1), "1h")
+
     @cached_property
     def surges(self) -> DataFrame:
         """Minute bars whose volume follows the price, so moves come with volume."""
