@@ -1,11 +1,15 @@
 """Known answers."""
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pytest
 from market_helpers import bars
 from pyspark.sql import functions as F
 
+from tickloom.functions import ranking
+from tickloom.functions.stats import t_two_sided
 from tickloom.operators import averages as av
 from tickloom.operators import confidence as co
 from tickloom.operators import momentum, trend, trendlines, volatility, volprice
@@ -93,14 +97,29 @@ def test_mann_kendall_with_ties(spark):
     assert r.trend == "increasing" and r.sen_slope > 0 and r.significant
 
 
-def test_sen_slope_by_counting(spark, tmp_path):
-    from tickloom.functions.ranking import median_slope
+PRICES = np.random.default_rng(3)
+SHAPES = {
+    "walk": np.cumsum(PRICES.normal(size=1200)), "ticks": np.round(np.cumsum(PRICES.normal(size=900)), 1), "flat": np.r_[np.zeros(700), PRICES.normal(size=500)],
+    "heavy": PRICES.standard_cauchy(1000) * 1e6, "two": np.array([1.0, 3.0]), "ties": np.array([1, 2, 2, 3, 3, 3, 4, 5, 5.0]),
+}
+
+
+@pytest.mark.parametrize(("rows", "listed"), [(4096, 1 << 21), (64, 5000)])
+def test_pairs_are_counted_and_their_median_slope_found(spark, small_blocks, monkeypatch, rows, listed):
+    monkeypatch.setattr(ranking, "LISTED", listed)
+    df = reduce(lambda a, b: a.unionByName(b), [bars(spark, y, symbol=k) for k, y in SHAPES.items()])
+    counts = small_blocks(lambda: {r.symbol: (r.n, r.s, r.tie_term) for r in ranking.pair_balance(df, "close").collect()}, rows)
+    slopes = small_blocks(lambda: {r.symbol: r.sen_slope for r in ranking.median_slope(df, "close").collect()}, rows)
+    for k, y in SHAPES.items():
+        i, j = np.triu_indices(len(y), 1)
+        ties = np.unique(y, return_counts=True)[1].astype(float)
+        assert counts[k] == (len(y), int(np.sign(y[j] - y[i]).sum()), float((ties * (ties - 1) * (2 * ties + 5)).sum())), k
+        assert slopes[k] == pytest.approx(np.median((y[j] - y[i]) / (j - i)), rel=1e-9, abs=1e-9), k
+
 
-    y = np.round(np.random.default_rng(3).normal(0, 3, 40) + 0.2 * np.arange(40), 2)
-    i, j = np.triu_indices(40, 1)
-    want = np.median((y[j] - y[i]) / (j - i))
-    got = median_slope(bars(spark, y), "close", direct_rows=10, probes=255, rounds=5).collect()[0].sen_slope
-    assert got == pytest.approx(want, abs=1e-9)
+def test_balance_of_arrays():
+    for v in (np.empty(0), np.ones(5), PRICES.normal(size=1), PRICES.normal(size=33), PRICES.integers(0, 9, 500).astype(float)):
+        assert ranking.balance(v) == sum(int(np.sign(v[i + 1 :] - v[i]).sum()) for i in range(len(v)))
 
 
 def test_hp_filter_equals_dense_solution(spark):
@@ -119,13 +138,43 @@ def test_top_reversal(spark):
     assert any(r.type == "top_reversal" and 25 <= r.idx <= 35 for r in rows)
 
 
-def test_trendlines_touch_and_fit(spark):
-    x = np.arange(120)
-    y = 100 + 0.2 * x + 5 * np.sin(x / 4)
-    rows = trendlines.trendlines(bars(spark, y)).collect()
-    assert {r.line_type for r in rows} == {"resistance"} or {r.line_type for r in rows} == {"resistance", "support"}
-    assert all(r.r_squared > 0.64 and r.p_value < 0.05 and r.touches >= 3 for r in rows)
-    assert trendlines.channels(trendlines.trendlines(bars(spark, y))).count() >= 1
+def plain_lines(y, sign):
+    """Trendlines of one side by their definition: every run, every bar, one list."""
+    y = np.asarray(y, float)
+    at = [i for i in range(1, len(y) - 1) if all(sign * y[i] > sign * y[k] for k in range(max(0, i - 5), min(len(y), i + 6)) if k != i)]
+    kept = []
+    for i in range(len(at)):
+        for j in range(i + 2, len(at)):
+            x = np.array(at[i : j + 1])
+            slope, base = np.polyfit(x, y[x], 1)
+            r = np.corrcoef(x, y[x])[0, 1]
+            p = t_two_sided(r * np.sqrt((len(x) - 2) / (1 - r * r)), len(x) - 2)
+            line = slope * np.arange(len(y)) + base
+            touches = int((np.abs(y - line) / line < 0.05).sum())
+            if abs(r) > 0.8 and p < 0.05 and touches >= 3:
+                twin = next((k for k in kept if abs(slope - k[0]) < abs(k[0]) * 0.1 and abs(base - k[1]) < abs(k[1]) * 0.1), None)
+                if twin is None or r * r > twin[2]:
+                    kept = [k for k in kept if k is not twin] + [(slope, base, r * r, touches, at[i], at[j])]
+    return kept
+
+
+def test_trendlines_are_those_of_the_definition(spark, small_blocks, monkeypatch):
+    monkeypatch.setattr(trendlines, "STARTS", 3)
+    monkeypatch.setattr(trendlines, "PACKED", 20)
+    x, rng = np.arange(400), np.random.default_rng(8)
+    prices = {"climb": 100 + 0.2 * x + 5 * np.sin(x / 4) + rng.normal(size=400), "walk": 50 + np.cumsum(rng.normal(size=400)), "low": 3 * np.sin(x / 5) + rng.normal(size=400), "short": np.arange(5.0)}
+    df = reduce(lambda a, b: a.unionByName(b), [bars(spark, y, symbol=k) for k, y in prices.items()])
+    got = small_blocks(lambda: trendlines.trendlines(df).collect(), 50)
+    for k, y in prices.items():
+        for kind, sign in (("resistance", 1), ("support", -1)):
+            own = sorted((r.start_idx, r.end_idx, r.touches, r.slope, r.intercept) for r in got if r.symbol == k and r.line_type == kind)
+            want = sorted((i, j, t, s, b) for s, b, _, t, i, j in plain_lines(y, sign))
+            assert [o[:3] for o in own] == [w[:3] for w in want] and np.allclose([o[3:] for o in own], [w[3:] for w in want], rtol=1e-6, atol=1e-6)
+    lines = trendlines.trendlines(df).collect()
+    up, low = ([r for r in lines if r.line_type == t] for t in ("resistance", "support"))
+    pairs = sorted((round(u.slope, 9), round(w.slope, 9)) for u in up for w in low if u.symbol == w.symbol and u.intercept > w.intercept and abs(u.slope - w.slope) / ((abs(u.slope) + abs(w.slope)) / 2) < 0.2)
+    found = sorted((round(r.upper_slope, 9), round(r.lower_slope, 9)) for r in trendlines.channels(trendlines.trendlines(df)).collect())
+    assert found == pairs and pairs
 
 
 def test_volume_scenarios(spark):
