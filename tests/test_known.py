@@ -8,7 +8,7 @@ import pytest
 from market_helpers import bars
 from pyspark.sql import functions as F
 
-from tickloom.functions import ranking
+from tickloom.functions import hodrick, ranking
 from tickloom.functions.stats import t_two_sided
 from tickloom.operators import averages as av
 from tickloom.operators import confidence as co
@@ -122,6 +122,15 @@ def test_balance_of_arrays():
         assert ranking.balance(v) == sum(int(np.sign(v[i + 1 :] - v[i]).sum()) for i in range(len(v)))
 
 
+@pytest.mark.parametrize("lam", [1.0, 1600.0, 129600.0])
+@pytest.mark.parametrize("n", [3, 4, 5, 63, 64, 65, 66, 127, 129, 700])
+def test_trend_solver_at_the_edges_of_tiles(n, lam):
+    y = np.random.default_rng(n).normal(size=(n, 2)).cumsum(axis=0)
+    d = np.diff(np.eye(n), 2, axis=0)
+    want = np.linalg.solve(np.eye(n) + lam * d.T @ d, y)
+    assert np.allclose(hodrick.solve(y, lam), want, atol=1e-7) and np.allclose(hodrick.solve(y[:, 0], lam), want[:, 0], atol=1e-7)
+
+
 def test_hp_filter_equals_dense_solution(spark):
     y = np.cumsum(np.random.default_rng(4).normal(0, 1, 120)) + 50
     d = np.diff(np.eye(120), 2, axis=0)

@@ -1,9 +1,13 @@
 """Writers, merging, streaming decoders and the detector registry."""
 
+import datetime
+
+import numpy as np
 import pytest
 from market_helpers import bars
 from pyspark.sql import functions as F
 
+from tickloom.operators import quality as qa
 from tickloom.plans import detectors as de
 from tickloom.sources import messages, raw, storage, vendor
 from tickloom.streaming import live, sinks
@@ -72,9 +76,44 @@ def test_registered_detector_gets_plain_bars(spark):
         de.unregister_detector("own")
 
 
-def test_retention_and_dedupe_stream_state_is_bounded(spark, tables):
-    from tickloom.operators import quality as qa
+def arrivals(spark, n, keys=5, seed=4):
+    """Records whose arrivals are steady, in bursts, and with long pauses."""
+    rng = np.random.default_rng(seed)
+    gaps = np.where(rng.random(n) < 0.02, rng.integers(300, 5000, n), rng.integers(0, 40, n))
+    at = np.cumsum(gaps).tolist()
+    rows = [(f"S{k}", "daily", datetime.datetime(2024, 1, 1), "x", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=int(t)), i) for i, (t, k) in enumerate(zip(at, rng.integers(0, keys, n).tolist()))]
+    return spark.createDataFrame(rows, "symbol string, data_type string, ts timestamp, granularity string, arrived_at timestamp, id long"), rows
+
 
+def walked(rows, seconds=300):
+    last, kept = {}, []
+    for r in sorted(rows, key=lambda r: (r[4], r[5])):
+        if r[0] not in last or (r[4] - last[r[0]]).total_seconds() >= seconds:
+            last[r[0]] = r[4]
+            kept.append(r[5])
+    return sorted(kept)
+
+
+def test_dedupe_of_a_batch_and_of_its_stream(spark, tmp_path):
+    df, rows = arrivals(spark, 1500)
+    want = walked(rows)
+    assert sorted(r.id for r in qa.dedupe(df).collect()) == want and 20 < len(want) < 700
+    path = str(tmp_path / "in")
+    for k in range(3):  # a key's window reaches over the batches
+        df.filter(F.col("id").between(k * 500, k * 500 + 499)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert sorted(r.id for r in sinks.drained(live.dedupe_stream(stream)).collect()) == want
+
+
+def test_dedupe_of_nulls_and_repeats(spark):
+    t = datetime.datetime(2024, 1, 1)
+    at = [None, None, t, t, t + datetime.timedelta(seconds=299.999999), t + datetime.timedelta(seconds=300), t + datetime.timedelta(days=40)]
+    df = spark.createDataFrame([("A", "daily", t, "x", a, i) for i, a in enumerate(at)], "symbol string, data_type string, ts timestamp, granularity string, arrived_at timestamp, id long")
+    assert sorted(r.id for r in qa.dedupe(df).collect()) == [0, 2, 5, 6]
+    assert qa.dedupe(df.limit(0)).count() == 0
+
+
+def test_retention_and_dedupe_stream_state_is_bounded(spark, tables):
     df = tables.ticks.select("symbol", F.lit("daily").alias("data_type"), F.date_trunc("hour", "ts").alias("ts"), F.lit("x").alias("granularity"), F.col("ts").alias("arrived_at"))
     kept = {}
     for r in sorted(df.collect(), key=lambda r: r.arrived_at):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +23,29 @@ def hp_filter(bars: DataFrame, lam: float = 1600.0) -> DataFrame:
     positive(lam=lam)
     edge = hodrick.reach(lam) + 10
     df = fr.framed(bars, back=edge, ahead=edge, block_rows=max(fr.block_rows_of(bars.sparkSession), 2 * edge))
-    df = df.select(*fr.BLOCK, "ts", "idx", "n", "core", "close")
-    schema = "symbol string, timeframe string, ts timestamp, idx long, n long, close double, trend double, cycle double, noise double"
-    return df.groupBy(*fr.BLOCK).applyInPandas(lambda pdf: hodrick.decompose(pdf, lam), schema)
+    row = F.struct("idx", "ts", "close", "core")
+    blocks = df.groupBy(*fr.BLOCK, "n").agg(F.array_sort(F.collect_list(row)).alias("e"))
+    blocks = blocks.select(*SERIES, "n", F.col("e.ts").alias("ts"), F.col("e.idx").alias("idx"), F.col("e.close").alias("close"), F.col("e.core").alias("core"))
+
+    def decompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            closes = [batch.column("close")[r].values.to_numpy(zero_copy_only=False).astype(float) for r in range(batch.num_rows)]
+            length = np.array([len(c) for c in closes])
+            trends: list[np.ndarray] = [np.empty(0)] * len(closes)
+            for size in np.unique(length).tolist():  # blocks of one length share the factors
+                same = np.flatnonzero(length == size)
+                for r, t in zip(same.tolist(), hodrick.solve(np.stack([closes[r] for r in same], axis=1), lam).T, strict=True):
+                    trends[r] = t
+            for r, (y, trend) in enumerate(zip(closes, trends, strict=True)):
+                own = np.flatnonzero(batch.column("core")[r].values.to_numpy(zero_copy_only=False))
+                noise = hodrick.noise(y - trend, batch.column("n")[r].as_py())
+                at = pa.array(own)
+                key = [batch.column(c).take(pa.array([r] * len(own), pa.int32())) for c in (*SERIES, "n")]
+                yield pa.RecordBatch.from_arrays(
+                    [*key[:2], batch.column("ts")[r].values.take(at), batch.column("idx")[r].values.take(at), key[2], pa.array(y[own]), pa.array(trend[own]), pa.array((y - trend)[own]), pa.array(noise[own], mask=np.isnan(noise[own]))],
+                    names=[*SERIES, "ts", "idx", "n", "close", "trend", "cycle", "noise"])
+
+    return blocks.mapInArrow(decompose, "symbol string, timeframe string, ts timestamp, idx long, n long, close double, trend double, cycle double, noise double")
 
 
 def hp_strength(decomposed: DataFrame) -> DataFrame:

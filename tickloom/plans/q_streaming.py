@@ -6,11 +6,11 @@ from tickloom.operators.candles import candlestick_patterns
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.q_indicators import MOVES, RANGE
 from tickloom.plans.q_patterns import CANDLE
-from tickloom.plans.q_quality import LANDED, landed
+from tickloom.plans.q_quality import DEDUPED, landed
 from tickloom.plans.q_store import SUBS, subscriptions
 from tickloom.plans.sql import HOURLY, PATTERNS, TICKS, smooth
 from tickloom.sources import raw
-from tickloom.sources.adapters import Tables, patterns_from_orders, ticks_from_events
+from tickloom.sources.adapters import patterns_from_orders, ticks_from_events
 from tickloom.streaming import live, sinks
 
 def as_of():
@@ -21,20 +21,19 @@ def live_ticks(t):
     return ticks_from_events(live.table_stream(t.spark, t.path, "events"))
 
 
-def stored_bars(t):
-    """The hourly bars as files in four time slices, so that a stream of them has several batches."""
+def sliced(t, df, at: str):
+    """A stream of rows that lie as files in four slices of time, one file a batch."""
     path = sinks.folder(t.spark)
-    week = F.floor((F.unix_seconds("ts") - 1704067200) / (8 * 86400))
-    bars = t.hourly.withColumn("slice", week).persist()
+    week = F.least(F.floor((F.unix_seconds(at) - 1704067200) / (8 * 86400)), F.lit(3))
+    rows = df.withColumn("slice", week).persist()
     for k in range(4):
-        (bars.filter(F.col("slice") == k) if k < 3 else bars.filter(F.col("slice") >= 3)).drop("slice").coalesce(1).write.mode("append").parquet(path)
-    bars.unpersist()
-    return path
+        rows.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    rows.unpersist()
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
 
 
 def bar_stream(t):
-    path = stored_bars(t)
-    return t.spark.readStream.schema(t.hourly.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    return sliced(t, t.hourly, "ts")
 
 
 @query("str01_ingest", f"WITH {TICKS} SELECT upper(symbol) AS symbol, count(*) AS quotes, round(sum(price), 2) AS total FROM ticks WHERE CAST(size AS BIGINT) NOT IN (60, 61) GROUP BY 1")
@@ -59,12 +58,9 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("symbol").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("str04_deduplicate", f"WITH {TICKS}, {LANDED} SELECT symbol, data_type, count(*) AS kept FROM (SELECT DISTINCT symbol, data_type, ts, CASE WHEN data_type = 'intraday' THEN granularity END AS g FROM ld) GROUP BY 1, 2")
+@query("str04_deduplicate", DEDUPED)
 def _(t):
-    stream = Tables(t.spark, t.path)
-    stream.__dict__["ticks"] = live_ticks(t)
-    out = sinks.drained(live.dedupe_stream(landed(stream), "40 days"))
-    return out.groupBy("symbol", "data_type").agg(F.count(F.lit(1)).alias("kept"))
+    return sinks.drained(live.dedupe_stream(sliced(t, landed(t), "arrived_at"))).select("symbol", "data_type", "tick_id")
 
 
 @query("str05_tick_bars", f"""WITH {HOURLY} SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")

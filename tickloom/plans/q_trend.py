@@ -5,37 +5,57 @@ from pyspark.sql import functions as F
 from tickloom.operators import trend as tr
 from tickloom.operators import trendlines as tl
 from tickloom.plans.catalog import lines, query, rounded
-from tickloom.plans.sql import CALM, CLIMBING, HOURLY, frame, lag, last, lead, t_two_sided
+from tickloom.plans.sql import CALM, CLIMBING, HOURLY, frame, lag, last, lead, normal_two_sided, t_two_sided
 
 
-@query("trd01_hp_filter")
+# The five-diagonal system solved by elimination, one bar after the other, and back; then noise around each bar.
+HP = f"""hb AS MATERIALIZED (SELECT symbol, idx, n, close, CASE WHEN idx IN (0, n - 1) THEN 1 WHEN idx IN (1, n - 2) THEN 5 ELSE 6 END * 1600::DOUBLE + 1 AS m,
+  CASE WHEN idx IN (0, n - 2) THEN -2 ELSE -4 END * 1600::DOUBLE AS o FROM bars),
+hf(symbol, idx, n, close, d, e, f, z, d1, f1, z1) AS (
+  SELECT symbol, idx, n, close, m, o / m, 1600 / m, close, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM hb WHERE idx = 0
+  UNION ALL
+  SELECT symbol, idx, n, close, d, (o - e0 * f0 * d0) / d, 1600 / d, close - e0 * z0 - f1 * z1, d0, f0, z0
+  FROM (SELECT b.*, h.e AS e0, h.f AS f0, h.d AS d0, h.z AS z0, h.f1, h.z1, b.m - h.e * h.e * h.d - h.f1 * h.f1 * h.d1 AS d FROM hf h JOIN hb b ON b.symbol = h.symbol AND b.idx = h.idx + 1)),
+hm AS MATERIALIZED (SELECT * FROM hf),
+hr(symbol, idx, tau, tau1) AS (
+  SELECT symbol, idx, z / d, 0::DOUBLE FROM hm WHERE idx = n - 1
+  UNION ALL SELECT h.symbol, h.idx, h.z / h.d - h.e * r.tau - h.f * r.tau1, r.tau FROM hr r JOIN hm h ON h.symbol = r.symbol AND h.idx = r.idx - 1),
+hp AS (SELECT symbol, idx, n, close, tau AS trend, close - tau AS cycle FROM hm JOIN hr USING (symbol, idx)),
+hs AS (SELECT symbol, any_value(n) AS n, greatest(0, least(1, 1 - sum(cycle * cycle) / (var_pop(close) * count(*)))) AS strength FROM hp GROUP BY 1),
+hw AS (SELECT *, CASE WHEN count(*) {frame(-5, 4)} = 10 THEN stddev_samp(cycle) {frame(-5, 4)} END AS w FROM hp),
+hn AS (SELECT *, coalesce(w, first_value(w IGNORE NULLS) {frame(0, 5)}, last_value(w IGNORE NULLS) {frame(-4, 0)}) AS noise FROM hw)"""
+
+
+@query("trd01_hp_filter", f"WITH RECURSIVE {HOURLY}, {HP} SELECT symbol, idx, round(trend, 4) AS trend, round(cycle, 4) AS cycle FROM hp")
 def _(t):
     return lines(tr.hp_filter(t.hourly), "trend", "cycle", digits=4)
 
 
-@query("trd01_hp_strength")
+@query("trd01_hp_strength", f"WITH RECURSIVE {HOURLY}, {HP} SELECT symbol, n, round(strength, 6) AS trend_strength FROM hs")
 def _(t):
     return rounded(tr.hp_strength(tr.hp_filter(t.hourly)), ["symbol", "n"], trend_strength="trend_strength")
 
 
-@query("trd02_noise")
+@query("trd02_noise", f"WITH RECURSIVE {HOURLY}, {HP} SELECT symbol, idx, round(noise, 4) AS noise FROM hn")
 def _(t):
     return lines(tr.hp_filter(t.hourly), "noise", digits=4)
 
 
 PAIRS = """pr AS (SELECT a.symbol, a.n, sign(b.close - a.close) AS sg, (b.close - a.close) / (b.idx - a.idx) AS sl
   FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.idx > a.idx)"""
+KENDALL = f"""{PAIRS}, ks AS (SELECT symbol, any_value(n) AS n, CAST(sum(sg) AS BIGINT) AS s FROM pr GROUP BY 1),
+kt AS (SELECT symbol, sum(c * (c - 1) * (2 * c + 5)) AS tt FROM (SELECT symbol, close, count(*) AS c FROM bars GROUP BY 1, 2) GROUP BY 1),
+kd AS (SELECT *, sqrt((n * (n - 1) * (2 * n + 5) - tt) / 18.0::DOUBLE) AS sd FROM ks JOIN kt USING (symbol)),
+kz AS (SELECT *, CASE WHEN s > 0 THEN (s - 1) / sd WHEN s < 0 THEN (s + 1) / sd ELSE 0 END AS z FROM kd),
+kp AS (SELECT *, {normal_two_sided("z")} AS p FROM kz),
+mk AS (SELECT symbol, n, s, z, p, s / (n * (n - 1) / 2.0::DOUBLE) AS tau, p < 0.05 AS significant, CASE WHEN p < 0.05 THEN 1 - p ELSE 0 END AS confidence,
+  CASE WHEN p < 0.05 AND z > 0 THEN 'increasing' WHEN p < 0.05 THEN 'decreasing' ELSE 'no_trend' END AS trend FROM kp)"""
 
 
-@query("trd03_mann_kendall", f"""
-WITH {HOURLY}, {PAIRS}, s AS (SELECT symbol, any_value(n) AS n, CAST(sum(sg) AS BIGINT) AS s FROM pr GROUP BY 1),
-ti AS (SELECT symbol, sum(c * (c - 1) * (2 * c + 5)) AS tt FROM (SELECT symbol, close, count(*) AS c FROM bars GROUP BY 1, 2) GROUP BY 1),
-z AS (SELECT *, sqrt((n * (n - 1) * (2 * n + 5) - tt) / 18.0::DOUBLE) AS sd FROM s JOIN ti USING (symbol)),
-w AS (SELECT *, CASE WHEN s > 0 THEN (s - 1) / sd WHEN s < 0 THEN (s + 1) / sd ELSE 0 END AS z FROM z)
-SELECT symbol, n, s AS s_statistic, round(z, 6) AS z_score, round(s / (n * (n - 1) / 2.0::DOUBLE), 6) AS tau,
-  CASE WHEN z > 1.9599639845 THEN 'increasing' WHEN z < -1.9599639845 THEN 'decreasing' ELSE 'no_trend' END AS trend FROM w""")
+@query("trd03_mann_kendall", f"""WITH {HOURLY}, {KENDALL}
+SELECT symbol, n, s AS s_statistic, trend, significant, round(z, 6) AS z_score, round(tau, 6) AS tau, round(p, 6) AS p_value, round(confidence, 6) AS confidence FROM mk""")
 def _(t):
-    return rounded(tr.mann_kendall(t.hourly, sen=False), ["symbol", "n", "s_statistic", "trend"], z_score="z_score", tau="tau")
+    return rounded(tr.mann_kendall(t.hourly, sen=False), ["symbol", "n", "s_statistic", "trend", "significant"], z_score="z_score", tau="tau", p_value="p_value", confidence="confidence")
 
 
 @query("trd04_sen_slope", f"""
@@ -229,37 +249,54 @@ def _(t):
     return df.groupBy("symbol", tr.adx_label(F.col("adx")).alias("label")).agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("trd18_regression_strength", f"""WITH {HOURLY} SELECT symbol, count(*) AS n, round(regr_slope(close, idx), 7) AS slope, round(regr_r2(close, idx), 7) AS r_squared,
-  CASE WHEN regr_slope(close, idx) > 0 THEN 'up' ELSE 'down' END AS trend_direction FROM bars GROUP BY 1""")
+REGRESSION = f"""rg AS (SELECT symbol, n, slope, r2, {t_two_sided('sqrt(r2 * (n - 2) / (1 - r2))', '(n - 2)')} AS p, CASE WHEN slope > 0 THEN 'up' ELSE 'down' END AS direction
+  FROM (SELECT symbol, count(*) AS n, regr_slope(close, idx) AS slope, regr_r2(close, idx) AS r2 FROM bars GROUP BY 1))"""
+
+
+@query("trd18_regression_strength", f"WITH {HOURLY}, {REGRESSION} SELECT symbol, n, round(slope, 7) AS slope, round(r2, 7) AS r_squared, round(p, 7) AS p_value, direction AS trend_direction FROM rg")
 def _(t):
-    return rounded(tr.regression_strength(t.hourly), ["symbol", "n", "trend_direction"], 7, slope="slope", r_squared="r_squared")
+    return rounded(tr.regression_strength(t.hourly), ["symbol", "n", "trend_direction"], 7, slope="slope", r_squared="r_squared", p_value="p_value")
+
+
+ALIGNMENT = """al AS (SELECT symbol, any_value(n) AS n, max(CASE WHEN idx = n - 1 THEN close END) AS p, avg(CASE WHEN n - idx <= 10 THEN close END) AS a,
+  avg(CASE WHEN n - idx <= 20 THEN close END) AS b, avg(CASE WHEN n - idx <= 50 THEN close END) AS c FROM bars GROUP BY 1),
+ma AS (SELECT symbol, n, CASE WHEN p > a AND a > b AND b > c THEN 'perfect_uptrend' WHEN p < a AND a < b AND b < c THEN 'perfect_downtrend' ELSE 'mixed' END AS alignment_type,
+  CASE WHEN p < a AND a < b AND b < c THEN 1 ELSE ((p > a)::INT + (a > b)::INT + (b > c)::INT) / 3 END AS alignment FROM al)"""
 
 
-@query("trd19_ma_alignment", f"""WITH {HOURLY}, m AS (SELECT symbol, any_value(n) AS n, max(CASE WHEN idx = n - 1 THEN close END) AS p, avg(CASE WHEN n - idx <= 10 THEN close END) AS a,
-  avg(CASE WHEN n - idx <= 20 THEN close END) AS b, avg(CASE WHEN n - idx <= 50 THEN close END) AS c FROM bars GROUP BY 1)
-SELECT symbol, n, CASE WHEN p > a AND a > b AND b > c THEN 'perfect_uptrend' WHEN p < a AND a < b AND b < c THEN 'perfect_downtrend' ELSE 'mixed' END AS alignment_type,
-  round(CASE WHEN p < a AND a < b AND b < c THEN 1 ELSE ((p > a)::INT + (a > b)::INT + (b > c)::INT) / 3 END, 6) AS alignment FROM m""")
+@query("trd19_ma_alignment", f"WITH {HOURLY}, {ALIGNMENT} SELECT symbol, n, alignment_type, round(alignment, 6) AS alignment FROM ma")
 def _(t):
     return rounded(tr.ma_alignment(t.hourly), ["symbol", "n", "alignment_type"], alignment="alignment")
 
 
-@query("trd20_momentum_strength", f"""WITH {HOURLY}, m AS (SELECT symbol, any_value(n) AS n, max(CASE WHEN idx = n - 1 THEN close END) AS a, max(CASE WHEN idx = n - 20 THEN close END) AS b,
-  max(CASE WHEN idx = n - 40 THEN close END) AS c FROM bars GROUP BY 1)
-SELECT symbol, n, round(100 * (a - b) / b, 5) AS rate_of_change, round(a - b, 5) AS momentum, round(a - b - (b - c), 5) AS acceleration,
-  round(least(1, abs(100 * (a - b) / b) / 10), 5) AS momentum_strength FROM m""")
+MOMENTUM = """ml AS (SELECT symbol, any_value(n) AS n, max(CASE WHEN idx = n - 1 THEN close END) AS a, max(CASE WHEN idx = n - 20 THEN close END) AS b,
+  max(CASE WHEN idx = n - 40 THEN close END) AS c FROM bars GROUP BY 1),
+mo AS (SELECT symbol, n, 100 * (a - b) / b AS roc, a - b AS move, a - b - (b - c) AS acceleration, least(1, abs(100 * (a - b) / b) / 10) AS strength FROM ml)"""
+
+
+@query("trd20_momentum_strength", f"""WITH {HOURLY}, {MOMENTUM} SELECT symbol, n, round(roc, 5) AS rate_of_change, round(move, 5) AS momentum, round(acceleration, 5) AS acceleration,
+  round(strength, 5) AS momentum_strength FROM mo""")
 def _(t):
     df = tr.momentum_strength(t.hourly)
     return rounded(df, ["symbol", "n"], 5, **{c: c for c in ("rate_of_change", "momentum", "acceleration", "momentum_strength")})
 
 
-@query("trd21_overall_strength")
+REPORT = f"""{HP}, {KENDALL}, {REGRESSION}, {ALIGNMENT}, {MOMENTUM}, {ADX},
+rp AS (SELECT mk.symbol, mk.n, coalesce(adx, 0) AS adx, slope, r2, rg.p AS slope_p, direction, mk.trend AS mk_trend, tau, hs.strength AS hp, alignment_type, mo.strength AS momentum,
+  (least(coalesce(adx, 0), 100) + r2 * 100 + confidence * 100 + hs.strength * 100 + alignment * 100 + mo.strength * 100) / 6 AS overall
+  FROM mk JOIN rg USING (symbol) JOIN ma USING (symbol) JOIN mo USING (symbol) JOIN hs USING (symbol) JOIN ad ON ad.symbol = mk.symbol AND ad.idx = ad.n - 1 WHERE mk.n >= 40),
+rq AS (SELECT *, CASE WHEN overall < 20 THEN 'no_trend' WHEN overall < 40 THEN 'weak_trend' WHEN overall < 60 THEN 'moderate_trend' WHEN overall < 80 THEN 'strong_trend' ELSE 'very_strong_trend' END AS quality,
+  CASE WHEN adx < 25 THEN 'weak_trend' WHEN adx < 50 THEN 'strong_trend' WHEN adx < 75 THEN 'very_strong_trend' ELSE 'extremely_strong_trend' END AS adx_label FROM rp)"""
+
+
+@query("trd21_overall_strength", f"WITH RECURSIVE {HOURLY}, {REPORT} SELECT symbol, quality AS trend_quality, round(overall, 4) AS overall_strength FROM rq")
 def _(t):
     return rounded(tr.trend_strength(t.hourly), ["symbol", "trend_quality"], 4, overall_strength="overall_strength")
 
 
-@query("trd22_trend_report")
+@query("trd22_trend_report", f"""WITH RECURSIVE {CALM}, {REPORT} SELECT symbol, n, adx_label AS adx_interpretation, mk_trend, alignment_type, direction AS trend_direction, quality AS trend_quality, round(adx, 4) AS adx,
+  round(slope, 4) AS slope, round(r2, 4) AS r_squared, round(slope_p, 4) AS slope_p_value, round(tau, 4) AS tau, round(hp, 4) AS hp_strength, round(momentum, 4) AS momentum_strength, round(overall, 4) AS overall_strength FROM rq""")
 def _(t):
     df = tr.trend_strength(t.calm)
     return rounded(df, ["symbol", "n", "adx_interpretation", "mk_trend", "alignment_type", "trend_direction", "trend_quality"], 4,
-                   **{c: c for c in ("adx", "slope", "r_squared", "tau", "hp_strength", "momentum_strength", "overall_strength")})
-
+                   **{c: c for c in ("adx", "slope", "r_squared", "slope_p_value", "tau", "hp_strength", "momentum_strength", "overall_strength")})

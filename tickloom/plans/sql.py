@@ -109,3 +109,10 @@ def t_two_sided(t: str, df: str) -> str:
     even = f"sin({angle}) * {series(f'({df}) // 2', '(2 * k - 1)', '(2 * k)')}"
     odd = f"2 / pi() * ({angle} + CASE WHEN ({df}) > 1 THEN sin({angle}) * cos({angle}) * {series(f'(({df}) - 1) // 2', '(2 * k)', '(2 * k + 1)')} ELSE 0 END)"
     return f"greatest(0, 1 - CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def normal_two_sided(z: str) -> str:
+    """P(|Z| > |z|) by the series of positive terms around zero; beyond 10 it is 0 in a double's rounding."""
+    x = f"least(abs({z}), 10)"
+    series = f"list_reduce(list_transform(list_reverse(range(1, 250)), lambda k: k::DOUBLE), lambda a, k: 1 + pow({x}, 2) / (2 * k + 1) * a, 1::DOUBLE)"
+    return f"greatest(0, 1 - 2 * {x} * exp(-pow({x}, 2) / 2) / sqrt(2 * pi()) * {series})"
