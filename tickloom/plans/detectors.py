@@ -14,7 +14,7 @@ from tickloom.operators.candles import candlestick_patterns
 from tickloom.operators.classic import classic_patterns
 from tickloom.operators.crypto import crypto_patterns
 from tickloom.operators.gaps import gaps
-from tickloom.operators.volprice import unusual_volume
+from tickloom.operators.volprice import continuous_divergence, pv_divergence, unusual_volume
 from tickloom.schemas import SERIES
 
 
@@ -56,6 +56,22 @@ register_detector("volume", unusual_volume, "medium", shares_frame=True)
 register_detector("crypto", crypto_patterns, "critical", shares_frame=True)
 
 
+def divergences(bars: DataFrame) -> DataFrame:
+    """Divergences of price and volume as patterns: those at extrema, and stretches of opposite trends. The strength is the confidence."""
+    df = fr.index_bars(bars)
+    at = df.select(*SERIES, "idx", "ts")
+    stretches = continuous_divergence(df)
+    for side in ("start", "end"):
+        stretches = stretches.join(at.select(*SERIES, F.col("idx").alias(f"{side}_idx"), F.col("ts").alias(f"{side}_ts")), [*SERIES, f"{side}_idx"])
+    both = pv_divergence(df).withColumn("_how", F.lit("")).unionByName(stretches.withColumn("_how", F.lit("_trend")), allowMissingColumns=True)
+    return both.select(
+        *SERIES, F.lit("volume").alias("pattern_type"), F.concat(F.lit("volume_"), "divergence_type", "_how", F.lit("_divergence")).alias("pattern_name"), F.col("divergence_type").alias("direction"),
+        "start_idx", "end_idx", "start_ts", "end_ts", F.col("strength").alias("confidence"), "strength", F.lit(None).cast("double").alias("risk_reward"))
+
+
+register_detector("divergence", divergences, "medium")
+
+
 def detect(bars: DataFrame, detectors: Collection[str] | None = None) -> DataFrame:
     """All findings of the chosen detectors, with their ``detector_priority``.
 
@@ -71,7 +87,7 @@ def detect(bars: DataFrame, detectors: Collection[str] | None = None) -> DataFra
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out.withColumns({
-        "strength": strength_of(F.col("confidence")) if "strength" not in out.columns else F.col("strength"),
+        "strength": F.coalesce("strength", strength_of(F.col("confidence"))) if "strength" in out.columns else strength_of(F.col("confidence")),
         "quality_score": F.lit(None).cast("double") if "quality_score" not in out.columns else F.col("quality_score"),
     })
 

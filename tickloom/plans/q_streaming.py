@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickloom.operators.candles import candlestick_patterns
+from tickloom.plans import scan
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.q_indicators import MOVES, RANGE
 from tickloom.plans.q_patterns import CANDLE
@@ -45,10 +46,9 @@ def _(t):
 @query("str02_pattern_scan", f"""WITH {HOURLY}, {CANDLE} SELECT symbol, 'bullish_engulfing' AS pattern_name, count(*) AS hits FROM s WHERE mv1 < 0 AND mv > 0 AND open < c1 AND close > o1 GROUP BY 1
 UNION ALL SELECT symbol, 'bearish_engulfing', count(*) FROM s WHERE mv1 > 0 AND mv < 0 AND open > c1 AND close < o1 GROUP BY 1""")
 def _(t):
-    store, found, marks = (sinks.folder(t.spark) for _ in range(3))
-    live.scan_stream(bar_stream(t), store, found, marks, lambda b: candlestick_patterns(b, groups=["engulfing"]), every=None).awaitTermination()
-    hits = t.spark.read.parquet(found).dropDuplicates(["pattern_id"])
-    return hits.groupBy("symbol", "pattern_name").agg(F.count(F.lit(1)).alias("hits"))
+    root, marks = sinks.folder(t.spark), sinks.folder(t.spark)
+    live.scan_stream(bar_stream(t), root, marks, lambda b: candlestick_patterns(b, groups=["engulfing"]), every=None).awaitTermination()
+    return scan.read(t.spark, root, "patterns").groupBy("symbol", "pattern_name").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("str03_micro_batches", f"WITH {TICKS} SELECT symbol, count(*) AS records FROM ticks GROUP BY 1")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.functions import frames as fr
+from tickloom.functions.lineage import cut_lineage
 from tickloom.operators import quality as qa
 from tickloom.operators import store as st
+from tickloom.plans.detectors import scan_patterns
+from tickloom.plans.scan import scan
 from tickloom.schemas import SERIES, require
 
 
@@ -92,43 +95,60 @@ def ema_stream(bars: DataFrame, ema: int = 20, rsi: int = 14, fast: int = 12, sl
         step, _LIVE, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def scan_batch(batch: DataFrame, stored: DataFrame, scan: Callable[[DataFrame], DataFrame], keep: int = 100) -> DataFrame:
-    """Patterns that end inside a micro-batch: its bars are joined to the last ``keep`` stored bars
-    of the series it touches, scanned, and only findings on new bars are kept."""
-    touched = batch.groupBy(*SERIES).agg(F.min("ts").alias("_from"))
-    old = fr.index_bars(stored.join(touched.select(*SERIES), SERIES, "left_semi"))
-    recent = old.filter(F.col("idx") >= F.col("n") - keep).drop("idx", "n")
-    cols = batch.columns
-    both = recent.select(*cols).join(batch.select(*SERIES, "ts"), [*SERIES, "ts"], "left_anti").unionByName(batch)
-    return scan(both).join(touched, SERIES).filter(F.col("end_ts") >= F.col("_from")).drop("_from")
+_BAR = np.dtype([("us", "<i8"), *[(c, "<f8") for c in ("open", "high", "low", "close", "volume")]])
+_RING = "symbol string, timeframe string, us long, open double, high double, low double, close double, volume double, idx long, n long, is_new boolean"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def recent_bars(bars: DataFrame, keep: int = 300) -> DataFrame:
+    """Of each series in a micro-batch, its new bars after the last ``keep`` ones, which keyed state holds (48 bytes a bar).
 
+    ``idx`` and ``n`` count all bars of the series so far. A bar at a time that the ring holds replaces that one; one
+    between them is put in its place.
+    """
+    require(bars, "open", "high", "low", "close", "volume")
 
-def scan_stream(bars: DataFrame, store: str, found: str, checkpoint: str, scan: Callable[[DataFrame], DataFrame], every: str | None = "60 seconds"):
-    """Scan each micro-batch of bars and write its bars and findings, one part for each batch.
-
-    A batch that is run again overwrites its own part and sees only the parts of earlier batches, so a restart neither
-    counts bars twice nor loses history. Readers of both tables see the column batch_id.
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, ring = (state.get[0], np.frombuffer(bytes(state.get[1]), _BAR)) if state.exists else (0, np.empty(0, _BAR))
+        rows = pd.concat(list(batches))
+        new = np.empty(len(rows), _BAR)
+        for c in _BAR.names:
+            new[c] = rows[c].to_numpy()
+        both = np.concatenate([ring, new])
+        both = both[np.argsort(both["us"], kind="stable")]
+        both = both[np.append(both["us"][1:] != both["us"][:-1], True)]  # the last of one time
+        seen += len(both) - len(ring)
+        out = pd.DataFrame({c: both[c] for c in _BAR.names})
+        out.insert(0, "symbol", key[0])
+        out.insert(1, "timeframe", key[1])
+        out["idx"] = np.arange(seen - len(both), seen)
+        out["n"] = seen
+        out["is_new"] = np.isin(both["us"], new["us"])
+        state.update((seen, both[-keep:].tobytes()))
+        yield out
+
+    numbers = [F.col(c).cast("double").alias(c) for c in _BAR.names[1:]]
+    rows = bars.select(*SERIES, F.unix_micros("ts").alias("us"), *numbers)
+    return rows.groupBy(*SERIES).applyInPandasWithState(step, _RING, "seen long, ring binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def scan_stream(bars: DataFrame, root: str, checkpoint: str, find: Callable[[DataFrame], DataFrame] = scan_patterns, subs: DataFrame | None = None,
+                keep: int = 300, every: str | None = "60 seconds"):
+    """Scan each micro-batch of bars with the bars before it, and commit patterns, correlations and alerts by batch id.
+
+    Only findings that end on a new bar or later are saved. State and sinks belong to a batch id, so one that runs again reads the
+    state from before it and overwrites its own parts.
     """
 
     def work(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        if _exists(spark, store):
-            earlier = spark.read.option("basePath", store).parquet(store).filter(F.col("batch_id") < n)
-            stored = earlier.select(*batch.columns)
-        else:
-            stored = batch.limit(0)
-        hits = st.to_store(scan_batch(batch, stored, scan), F.current_timestamp())
-        hits.write.mode("overwrite").parquet(f"{found}/batch_id={n}")
-        batch.write.mode("overwrite").parquet(f"{store}/batch_id={n}")
-        batch.unpersist()
-
-    w = bars.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+        recent = cut_lineage(batch.withColumn("ts", F.timestamp_micros("us")).drop("us"))
+        since = recent.filter("is_new").groupBy(*SERIES).agg(F.min("ts").alias("_from"))
+
+        def fresh(found: DataFrame) -> DataFrame:
+            return found.join(since, SERIES).filter(F.col("end_ts") >= F.col("_from")).drop("_from")
+
+        scan(recent.drop("is_new"), root, n, subs, find, fresh)
+
+    w = recent_bars(bars, keep).writeStream.foreachBatch(work).outputMode("append").option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
@@ -153,13 +173,18 @@ def by_symbol(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions, "symbol") if partitions else df.repartition("symbol")
 
 
-def alert_stream(patterns: DataFrame, subs: DataFrame) -> DataFrame:
-    """Patterns matched to subscriptions, one row per channel; works on a stream joined to a static table."""
+def alert_stream(patterns: DataFrame, subs: DataFrame, salts: int = 16) -> DataFrame:
+    """Patterns matched to subscriptions, one row per channel; works on a stream joined to a static table.
+
+    Everything matches '*', so keys carry a salt: a pattern picks one, a subscription has all. A subscription names each of its symbols
+    once, and one for all symbols has no other key, so a pattern meets it once.
+    """
     def listed(c: str) -> Column:
         return F.coalesce(F.size(c), F.lit(0)) == 0
 
-    s = subs.select("subscriber", F.col("symbols").alias("_s"), F.col("pattern_types").alias("_t"), F.coalesce("min_confidence", F.lit(0.0)).alias("_m"),
-                    F.explode(F.when(listed("symbols"), F.array(F.lit("*"))).otherwise(F.col("symbols"))).alias("_key"))
-    p = patterns.withColumn("_key", F.explode(F.array(F.col("symbol"), F.lit("*"))))
+    s = subs.select("subscriber", F.col("pattern_types").alias("_t"), F.coalesce("min_confidence", F.lit(0.0)).alias("_m"),
+                    F.explode(F.when(listed("symbols"), F.array(F.lit("*"))).otherwise(F.array_distinct("symbols"))).alias("_key"))
+    s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    p = patterns.withColumns({"_salt": F.pmod(F.xxhash64("pattern_id"), F.lit(salts)).cast("int"), "_key": F.explode(F.array(F.col("symbol"), F.lit("*")))})
     hit = (F.col("confidence") >= F.col("_m")) & (listed("_t") | F.array_contains("_t", F.col("pattern_type")))
-    return st.route_alerts(p.join(s, "_key").filter(hit)).withColumn("channel", F.explode("channels")).drop("_key", "_s", "_t", "_m", "channels")
+    return st.route_alerts(p.join(s, ["_key", "_salt"]).filter(hit)).withColumn("channel", F.explode("channels")).drop("_key", "_salt", "_t", "_m", "channels")
