@@ -51,15 +51,51 @@ def test_stream_decoder_equals_batch(spark, tables, tmp_path):
     assert sinks.drained(stream).count() == vendor.decode_ticker_stream(msgs).count() > 0
 
 
-def test_messages_round_trip(spark, tables, tmp_path):
-    path, marks = str(tmp_path / "bus"), str(tmp_path / "marks")
-    messages.write_batch(tables.ticks, "ticks", path=path)
-    got = messages.read_stream(spark, "ticks", "symbol string, price double", path=path)
-    q = messages.write_stream(got, "copy", marks, path=str(tmp_path / "copy"))
-    q.processAllAvailable()
-    assert live.progress_lag(q)[0]["input_rows"] == tables.ticks.count()
-    q.stop()
-    assert spark.read.schema("topic string, key string, value string").json(str(tmp_path / "copy")).count() == tables.ticks.count()
+def test_bus_with_checkpoint_and_restart(spark, tables, tmp_path):
+    source, bus, marks, seen, out, log = (str(tmp_path / x) for x in ("source", "bus", "marks", "seen", "out", "log"))
+    ticks = tables.ticks
+    parts = [ticks.filter(F.pmod("tick_id", F.lit(3)) == k) for k in range(3)]
+
+    def pump():
+        """Send what is new, read what is new, and log it."""
+        stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        messages.write_stream(stream, "ticks", marks, path=bus, once=True).awaitTermination()
+        got = messages.read_stream(spark, "ticks", "symbol string, ts timestamp, price double, tick_id bigint", path=bus, max_files=1)
+        q = got.writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return live.log_progress(q, log)
+
+    for p in parts[:2]:
+        p.coalesce(1).write.mode("append").parquet(source)
+    both = parts[0].count() + parts[1].count()
+    first = pump()
+    assert first.filter("input_rows > 0").count() == 2 and first.agg(F.sum("input_rows")).first()[0] == both
+    assert pump().agg(F.sum("input_rows")).first()[0] == both  # a restart sends and reads nothing twice
+    parts[2].coalesce(1).write.mode("append").parquet(source)
+    rows = pump().collect()
+    assert len({(r.batch_id, r.source) for r in rows}) == len(rows) and all(r.end_offset for r in rows) and sum(r.input_rows for r in rows) == ticks.count()
+    assert sorted((r.symbol, r.ts, r.price, r.tick_id) for r in spark.read.parquet(out).collect()) == sorted((r.symbol, r.ts, r.price, r.tick_id) for r in ticks.collect())
+    assert messages.read_stream(spark, "other", "symbol string", path=bus).isStreaming
+
+
+def test_batch_messages(spark, tables, tmp_path):
+    path = str(tmp_path / "bus")
+    messages.write_batch(tables.ticks.limit(5), "ticks", path=path)
+    messages.write_batch(tables.ticks.limit(3), "other", path=path)
+    got = sinks.drained(messages.read_stream(spark, "other", "symbol string, price double", path=path))
+    assert got.count() == 3
+
+
+def test_broken_messages_drop_out(spark):
+    rows = spark.createDataFrame([('{"symbol": "A", "price": 1.5}',), ("{broken",), (None,)], "value string")
+    assert [tuple(r) for r in messages.from_messages(rows, "symbol string, price double").filter("symbol is not null").collect()] == [("A", 1.5)]
+
+
+def test_chunks_are_full_but_the_last(spark, tmp_path):
+    df = spark.range(2357).repartition(7)
+    sizes = sorted((r.chunk, r["count"]) for r in live.chunks(df, 500).groupBy("chunk").count().collect())
+    assert sizes == [(0, 500), (1, 500), (2, 500), (3, 500), (4, 357)]
+    assert live.chunks(df.limit(0), 500).count() == 0
 
 
 def test_registered_detector_gets_plain_bars(spark):

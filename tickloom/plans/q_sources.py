@@ -104,18 +104,28 @@ def _(t):
     return df.select("symbol", F.unix_millis("ts").alias("at_ms"), "close", "volume")
 
 
-@query("src08_message_source", f"WITH {TICKS} SELECT symbol, count(*) AS messages, round(sum(price), 2) AS total FROM ticks GROUP BY 1")
+def bus(t):
+    """Trades sent as a stream to a folder of JSON lines, stopped and started again once: the folder."""
+    path, marks = sinks.folder(t.spark), sinks.folder(t.spark)
+    ticks = sinks.sliced(t.ticks, "ts")
+    for _ in range(2):
+        ms.write_stream(ticks, "raw_data", marks, path=path, once=True).awaitTermination()
+    return path
+
+
+@query("src08_message_source", f"WITH {TICKS} SELECT symbol, ts, round(price, 6) AS price, size, tick_id FROM ticks")
 def _(t):
-    sent = ms.to_messages(t.ticks, "ticks")
-    got = ms.from_messages(sent, "symbol string, ts timestamp, price double, size double, tick_id bigint")
-    return got.groupBy("symbol").agg(F.count(F.lit(1)).alias("messages"), F.round(F.sum("price"), 2).alias("total"))
+    got = ms.read_stream(t.spark, "raw_data", "symbol string, ts timestamp, price double, size double, tick_id bigint", path=bus(t), max_files=2)
+    return sinks.drained(got).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("price", 6).alias("price"), "size", "tick_id")
 
 
-@query("src09_message_sink", f"WITH {TICKS} SELECT symbol AS key, 'raw_data' AS topic, count(*) AS messages, count(*) AS distinct_ids FROM ticks GROUP BY 1")
+@query("src09_message_sink", f"WITH {TICKS} SELECT symbol AS key, 'raw_data' AS topic, count(*) AS messages, count(*) AS distinct_ids, count(*) AS stamped, round(sum(price), 2) AS total FROM ticks GROUP BY 1")
 def _(t):
-    sent = ms.to_messages(t.ticks, "raw_data")
-    ids = F.get_json_object("value", "$.message_id")
-    return sent.groupBy("key", "topic").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct(ids).alias("distinct_ids"))
+    sent = t.spark.read.schema("topic string, key string, value string").json(bus(t))
+    part = lambda name: F.get_json_object("value", f"$.{name}")
+    return sent.groupBy("key", "topic").agg(
+        F.count(F.lit(1)).alias("messages"), F.count_distinct(part("message_id")).alias("distinct_ids"), F.count(part("timestamp")).alias("stamped"),
+        F.round(F.sum(part("price").cast("double")), 2).alias("total"))
 
 
 @query("src10_series_sink", f"""WITH {HOURLY} SELECT 'market_data' AS data_type, '1h' AS granularity, strftime(ts, '%Y-%m-%d') AS date, count(*) AS bars FROM bars GROUP BY 3""")

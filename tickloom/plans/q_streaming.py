@@ -22,19 +22,8 @@ def live_ticks(t):
     return ticks_from_events(live.table_stream(t.spark, t.path, "events"))
 
 
-def sliced(t, df, at: str):
-    """A stream of rows that lie as files in four slices of time, one file a batch."""
-    path = sinks.folder(t.spark)
-    week = F.least(F.floor((F.unix_seconds(at) - 1704067200) / (8 * 86400)), F.lit(3))
-    rows = df.withColumn("slice", week).persist()
-    for k in range(4):
-        rows.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
-    rows.unpersist()
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
-
-
 def bar_stream(t):
-    return sliced(t, t.hourly, "ts")
+    return sinks.sliced(t.hourly, "ts")
 
 
 @query("str01_ingest", f"WITH {TICKS} SELECT upper(symbol) AS symbol, count(*) AS quotes, round(sum(price), 2) AS total FROM ticks WHERE CAST(size AS BIGINT) NOT IN (60, 61) GROUP BY 1")
@@ -51,16 +40,20 @@ def _(t):
     return scan.read(t.spark, root, "patterns").groupBy("symbol", "pattern_name").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("str03_micro_batches", f"WITH {TICKS} SELECT symbol, count(*) AS records FROM ticks GROUP BY 1")
+SLICES = "sl AS (SELECT *, least(floor((epoch(ts) - 1704067200) / (8 * 86400)), 3)::BIGINT AS slice FROM ticks)"
+
+
+@query("str03_micro_batches", f"""WITH {TICKS}, {SLICES}, z AS (SELECT slice, count(*) AS n FROM sl GROUP BY 1), k AS (SELECT slice, n, unnest(range(0, (n + 999) // 1000)) AS chunk FROM z)
+SELECT slice AS batch_id, chunk, least(1000, n - chunk * 1000)::BIGINT AS records FROM k""")
 def _(t):
     path, marks = sinks.folder(t.spark), sinks.folder(t.spark)
-    live.start(live_ticks(t), path, marks, every=None).awaitTermination()
-    return t.spark.read.parquet(path).groupBy("symbol").agg(F.count(F.lit(1)).alias("records"))
+    live.buffered(sinks.sliced(t.ticks, "ts"), path, marks, every=None).awaitTermination()
+    return t.spark.read.parquet(path).groupBy(F.col("batch_id").cast("long").alias("batch_id"), "chunk").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("str04_deduplicate", DEDUPED)
 def _(t):
-    return sinks.drained(live.dedupe_stream(sliced(t, landed(t), "arrived_at"))).select("symbol", "data_type", "tick_id")
+    return sinks.drained(live.dedupe_stream(sinks.sliced(landed(t), "arrived_at"))).select("symbol", "data_type", "tick_id")
 
 
 @query("str05_tick_bars", f"""WITH {HOURLY} SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
@@ -86,6 +79,17 @@ def _(t):
     return rounded(df, ["topic", "messages"], 3, max_lag_seconds="max_lag_seconds")
 
 
+@query("str07_offset_lag", f"""WITH {TICKS}, {SLICES}, c AS (SELECT slice, symbol, count(*) AS messages FROM sl GROUP BY 1, 2)
+SELECT slice AS batch_id, symbol AS topic, messages, sum(messages) OVER (PARTITION BY symbol)::BIGINT AS high_water_mark, sum(messages) OVER (PARTITION BY symbol ORDER BY slice)::BIGINT AS position,
+  (sum(messages) OVER (PARTITION BY symbol) - sum(messages) OVER (PARTITION BY symbol ORDER BY slice))::BIGINT AS lag FROM c""")
+def _(t):
+    path, marks = sinks.folder(t.spark), sinks.folder(t.spark)
+    live.buffered(sinks.sliced(t.ticks, "ts"), path, marks, every=None).awaitTermination()
+    count = F.count(F.lit(1)).alias("messages")
+    read = t.spark.read.parquet(path).groupBy(F.col("batch_id").cast("long").alias("batch_id"), F.col("symbol").alias("topic")).agg(count)
+    return live.offset_lag(read, t.ticks.groupBy(F.col("symbol").alias("topic")).agg(count))
+
+
 @query("str08_symbol_partitions", f"WITH {TICKS} SELECT symbol, 1 AS partitions, count(*) AS rows FROM ticks GROUP BY 1")
 def _(t):
     spread = live.by_symbol(t.ticks).withColumn("_p", F.spark_partition_id())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,6 +40,31 @@ def start(stream: DataFrame, path: str, checkpoint: str, every: str | None = "30
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def chunks(batch: DataFrame, size: int = 1000) -> DataFrame:
+    """Rows with ``chunk``: consecutive numbers, each for ``size`` rows and the last for the rest.
+
+    A row's place is its place in its partition plus the rows of the partitions before, a table with a row for each partition.
+    """
+    rows = cut_lineage(batch.withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_p", part).join(sizes.select("_p", before.alias("_off")), "_p").withColumn("chunk", F.floor((F.col("_off") + place) / size)).drop("_m", "_p", "_off")
+
+
+def buffered(stream: DataFrame, path: str, checkpoint: str, size: int = 1000, every: str | None = "30 seconds"):
+    """Flush a stream every interval in chunks of at most ``size`` rows; readers see batch_id and chunk.
+
+    A batch that runs again overwrites its own part.
+    """
+
+    def flush(batch: DataFrame, n: int) -> None:
+        chunks(batch, size).write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+
+    w = stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
 def dedupe_stream(df: DataFrame, window: str = "5 minutes", arrival: str = "arrived_at") -> DataFrame:
     """First record of each key; keys are forgotten ``window`` behind the newest arrival."""
     return qa.dedupe(df, window, arrival)
@@ -159,13 +186,37 @@ def message_lag(messages: DataFrame, as_of: Column | None = None) -> DataFrame:
     return messages.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), (F.max(lag) / 1000).alias("max_lag_seconds"), (F.avg(lag) / 1000).alias("avg_lag_seconds"), (F.min(lag) / 1000).alias("min_lag_seconds"))
 
 
-def progress_lag(query) -> list[dict]:
-    """Rows read, rate and end offset of the last progress of a running query."""
-    p = query.lastProgress
-    if p is None:
-        return []
-    return [{"source": s["description"], "input_rows": s["numInputRows"], "rows_per_second": s.get("processedRowsPerSecond"), "end_offset": s.get("endOffset"), "latest_offset": s.get("latestOffset")}
-            for s in p["sources"]]
+def offset_lag(consumed: DataFrame, stored: DataFrame) -> DataFrame:
+    """Position, high-water mark and lag of a reader after each of its batches, per topic.
+
+    ``consumed`` has batch_id, topic and messages; ``stored`` has topic and messages, all that the topic holds.
+    """
+    topic = Window.partitionBy("topic").orderBy("batch_id")
+    high = stored.groupBy("topic").agg(F.sum("messages").alias("high_water_mark"))
+    sums = consumed.groupBy("topic", "batch_id").agg(F.sum("messages").alias("messages"))
+    return sums.join(high, "topic").withColumn("position", F.sum("messages").over(topic)).withColumn("lag", F.col("high_water_mark") - F.col("position"))
+
+
+_PROGRESS = "batch_id long, at timestamp, source string, start_offset string, end_offset string, latest_offset string, input_rows long, rows_per_second double"
+
+
+def progress_table(query) -> DataFrame:
+    """A row for each source of each recent batch of a query, as the engine reported it: offsets as JSON, rows and rate."""
+    rows = []
+    for p in query.recentProgress:
+        at = datetime.fromisoformat(p["timestamp"])
+        for s in p["sources"]:
+            offsets = [None if s.get(k) is None else json.dumps(s.get(k)) for k in ("startOffset", "endOffset", "latestOffset")]
+            rows.append((p["batchId"], at, s["description"], *offsets, s["numInputRows"], float(s.get("processedRowsPerSecond") or 0)))
+    return SparkSession.active().createDataFrame(rows, _PROGRESS)
+
+
+def log_progress(query, path: str) -> DataFrame:
+    """Append the recent progress of a query to its log and return the log, one row for each batch and source."""
+    progress_table(query).write.mode("append").parquet(path)
+    rows = SparkSession.active().read.parquet(path)
+    own = [c for c in rows.columns if c not in ("batch_id", "source")]
+    return rows.groupBy("batch_id", "source").agg(F.max_by(F.struct(*own), F.struct("input_rows", "at")).alias("r")).select("batch_id", "source", "r.*")
 
 
 def by_symbol(df: DataFrame, partitions: int | None = None) -> DataFrame:
