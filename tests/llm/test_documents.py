@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from llm_helpers import pairs_of
+from pyspark.sql import functions as F
 
 from tickloom.llm import components, decontamination, language_id, license_scan, lm_scoring, minhash_dedup, mixing, substring_dedup, token_binary
 
@@ -187,6 +188,23 @@ def test_bits_round_trip_across_checkpoints():
 # ---- mixing
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 1000, 1023, 1024, 1025, 4097])
+def test_places_are_permuted(spark, n):
+    for source, turn in ((0, 0), (1, 0), (0, 1)):
+        df = spark.range(n).select("id", mixing.permuted(F.lit(source), F.lit(turn), F.col("id"), F.lit(n).cast("long")).alias("p"))
+        got = [r.p for r in df.orderBy("id").collect()]
+        assert sorted(got) == list(range(n))
+        steps = {(y - x) % n for x, y in zip(got, got[1:])}
+        assert n < 100 or len(steps) > n / 3  # no rotation and no constant stride
+
+
+def test_places_of_a_huge_source(spark):
+    n = 5_000_000_000_000
+    df = spark.range(n - 2000, n).select(mixing.permuted(F.lit(3), F.lit(1), F.col("id"), F.lit(n)).alias("p"))
+    got = [r.p for r in df.collect()]
+    assert len(set(got)) == 2000 and 0 <= min(got) and max(got) < n and max(got) - min(got) > n / 2
+
+
 def test_mix_meets_its_targets(docs, empty):
     df = docs(ODD, "/root/testdata/sf0.01")
     rows = mixing.mix(df).collect()

@@ -30,8 +30,8 @@ SHARDS, SHARD_SLOTS = 4096, 4096
 SHARE, CAP = 1.5, 2.0
 #: Fixed values of the query contract: weights of the sources in order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Multipliers of the permutations: primes above any number of blocks, so coprime to it.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+#: Half rounds of the permutation, and steps by which a place beyond the blocks is led back.
+HALF_ROUNDS, WALK = 6, 32
 
 
 def word_count(text: Column) -> Column:
@@ -77,10 +77,29 @@ def positioned(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def permuted(source: Column, turn: Column, place: Column, n: Column) -> Column:
-    """Place of a pseudorandom permutation of 0 .. n-1: an affine map with a multiplier prime to n, of the source and the pass."""
-    pick = F.pmod(F.xxhash64(source, turn), F.lit(len(PRIMES))).cast("int") + 1
-    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), pick)
-    return F.pmod(place * F.pmod(prime, n) + F.pmod(F.xxhash64(turn, source, F.lit(17)), n), n)
+    """Place of a pseudorandom permutation of 0 .. n-1, keyed by the source and the pass: a Feistel network on pairs.
+
+    Places are pairs of numbers below a and b, where a * b is n or little more: each half round adds a hash of one to the
+    other. A place that comes out at n or beyond goes through again. At most a - 1 places lie there, so WALK steps are always
+    enough up to some 1,000 blocks; beyond, each step fails with a chance under 1 in 32.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+    key = F.xxhash64(source, turn)
+    rounds = F.array(*[F.lit(k) for k in range(HALF_ROUNDS)])
+
+    def half(s: Column, k: Column) -> Column:
+        left = F.pmod(s["l"] + F.pmod(F.xxhash64(key, k, s["r"]), a), a)
+        right = F.pmod(s["r"] + F.pmod(F.xxhash64(key, k, s["l"]), b), b)
+        return F.struct(F.when(k % 2 == 0, left).otherwise(s["l"]).alias("l"), F.when(k % 2 == 1, right).otherwise(s["r"]).alias("r"))
+
+    def step(x: Column) -> Column:
+        low = F.pmod(x, a)
+        pair = F.struct(low.alias("l"), ((x - low) / a).cast("long").alias("r"))
+        return F.aggregate(rounds, pair, half, lambda s: s["l"] + s["r"] * a)
+
+    walk = F.array(*[F.lit(k) for k in range(WALK)])
+    return F.aggregate(walk, step(place.cast("long")), lambda x, _: F.when(x < n, x).otherwise(step(x)))
 
 
 def takes(sources: DataFrame, block: int = BLOCK, cap: float = CAP) -> DataFrame:
