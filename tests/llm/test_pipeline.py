@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as p
 from llm_helpers import pairs_of
 
@@ -34,3 +36,24 @@ def test_no_documents(spark, empty, tmp_path):
         stage(spark, now, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{k}")
         now = spark.read.parquet(f"{tmp_path}/{k}")
     assert now.count() == 0
+
+
+def test_first_stage_keeps_clean_and_drops_noise(spark, docs):
+    rng = random.Random(2)
+    noise = [(9_000_000 + i, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) if rng.random() > 0.2 else " " for _ in range(300)), "src0") for i in range(100)]
+    noise += [(9_100_000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)), "src0") for i in range(100)]
+    start = docs(noise, "/root/testdata/sf0.01")
+    kept = {r.doc_id for r in p.identify_language(spark, start, "").select("doc_id").collect()}
+    clean = {r.doc_id for r in start.where("doc_id < 9000000 and length(text) > 30").select("doc_id").collect()}
+    assert not [i for i, _, _ in noise if i in kept] and len(clean - kept) <= 0.005 * len(clean)
+
+
+def test_working_columns_do_not_clash(spark, docs):
+    sf = "/root/testdata/sf0.001"
+    names = ("pred", "cosine", "place", "_bad", "_turn", "_language", "_likeness", "_row", "_text", "_key")
+    plain, odd = docs([]), docs([]).selectExpr("*", *[f"doc_id AS `{n}`" for n in names])
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, plain, sf).collect()) and all(r[n] == r.doc_id for r in rows for n in names)

@@ -79,6 +79,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """This name, or one made from it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def extended(batch: pa.RecordBatch, added: dict[str, pa.Array], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
     gone = {n.lower() for n in added} | {d.lower() for d in drop}
     keep = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n.lower() not in gone]

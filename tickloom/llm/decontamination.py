@@ -252,5 +252,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no item of the benchmark. Rows with a null id stay."""
-    bad = stored(contaminated(docs, benchmark, key, text).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+    bad = stored(contaminated(docs, benchmark, key, text).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

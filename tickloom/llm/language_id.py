@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -158,6 +158,30 @@ def sampled(docs: DataFrame, key: str = "doc_id", label: str = "lang", rows: int
     return known if n <= rows else known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
 
+def length_class(text: str = "text") -> Column:
+    """Binary logarithm of the text's length."""
+    return F.floor(F.log2(F.length(text) + 1)).cast("int")
+
+
+def least_scores(labelled: DataFrame, prototypes: dict[str, list[float]], text: str = "text", share: float = 0.001, slack: float = 0.75, rows: int = 50) -> list[tuple[int, float]]:
+    """(length class, score) pairs: what nearly all labelled texts of this length exceed, less some slack.
+
+    Lengths with fewer than `rows` texts say nothing; a text is held to the nearest shorter length that does, and to nothing below
+    the first. The labelled texts may be the bounded sample that the prototypes come from.
+    """
+    judged = identify(labelled.select(F.col(text).alias("text")), prototypes, names_out=("found", "cosine")).where(F.col("found") != UNKNOWN)
+    bins = judged.groupBy(length_class().alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", F.lit(share)).alias("q")).where(F.col("n") >= rows)
+    return [(r["bin"], slack * r["q"]) for r in bins.orderBy("bin").collect()]
+
+
+def least_score(floors: list[tuple[int, float]], text: str = "text") -> Column:
+    """The score that a text of this length must reach."""
+    out = F.lit(0.0)
+    for at, floor in floors:
+        out = F.when(length_class(text) >= at, F.lit(floor)).otherwise(out)
+    return out
+
+
 def held_out_prediction(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents whose crc32 modulo 4 is not 2, predicted for all.
 
