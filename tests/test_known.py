@@ -212,7 +212,7 @@ def test_symbols(spark):
 def test_high_below_close_is_rejected(spark):
     raw = spark.createDataFrame([("AAPL", "2023-12-01", "150", "148", "149", "151", "1000")],
                                 "symbol string, timestamp string, open_price string, high_price string, low_price string, close_price string, volume string")
-    assert any("High price" in e for e in qa.validate_ohlc(raw).collect()[0].errors)
+    assert any("high below" in e for e in qa.validate_ohlc(raw).collect()[0].errors)
 
 
 def test_performance_score(spark):

@@ -118,8 +118,7 @@ ALERTS = [
 @query("rel20_alerts", f"""WITH {HOURLY}, f AS (SELECT symbol, idx, close, volume, avg(volume) {last(20)} AS av, stddev_samp(close) {last(20)} AS vol, avg(close) {last(5)} AS m5, avg(close) {last(20)} AS m20,
   abs(close - open) / ((close + open) / 2) < 0.001 AS doji, n FROM bars),
 g AS (SELECT *, {lag('m5')} AS p5, {lag('m20')} AS p20 FROM f),
-h AS (SELECT * FROM g WHERE idx >= 20),
-a AS (SELECT symbol, idx, unnest([1, 2, 3, 4, 5, 6]) AS alert, unnest([close > 40, close < 40, volume > av * 1.2, vol > 45, p5 <= p20 AND m5 > m20, doji]) AS hit FROM h)
+a AS (SELECT symbol, idx, unnest([1, 2, 3, 4, 5, 6]) AS alert, unnest([close > 40, close < 40, volume > av * 1.2, vol > 45, p5 <= p20 AND m5 > m20, doji]) AS hit FROM g)
 SELECT alert, symbol, count(*) FILTER (hit) AS triggered FROM a GROUP BY 1, 2""")
 def _(t):
     w = fr.last_rows(20)
@@ -127,7 +126,7 @@ def _(t):
         "avg_volume": F.avg("volume").over(w), "volatility": F.stddev_samp("close").over(w), "fast_ma": F.avg("close").over(fr.last_rows(5)), "slow_ma": F.avg("close").over(w)})
     df = df.withColumns({"prev_fast_ma": fr.lag("fast_ma"), "prev_slow_ma": fr.lag("slow_ma")})
     doji = F.abs(F.col("close") - F.col("open")) / ((F.col("close") + F.col("open")) / 2) < 0.001
-    feats = fr.core(df).filter("idx >= 20").withColumns({"pattern_types": F.when(doji, F.array(F.lit("doji"))).otherwise(F.array().cast("array<string>")), "pattern_confidence": F.lit(0.7)})
+    feats = fr.core(df).withColumns({"pattern_types": F.when(doji, F.array(F.lit("doji"))).otherwise(F.array().cast("array<string>")), "pattern_confidence": F.lit(0.7)})
     rules = F.array(*[F.struct(F.lit(i + 1).alias("alert"), F.lit(k).alias("alert_type"), F.lit(c).alias("condition_data")) for i, (k, c) in enumerate(ALERTS)])
     alerts = t.hourly.select("symbol").distinct().select("symbol", F.inline(rules))
     return re.evaluate_alerts(alerts, feats).groupBy("alert", "symbol").agg(F.count_if("triggered").alias("triggered"))
