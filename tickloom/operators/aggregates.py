@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.schemas import require
@@ -77,7 +77,7 @@ def daily_distribution(patterns: DataFrame, as_of: Column, days: int = 30) -> Da
     return grid.join(counts, ["symbol", "day"], "left").select("symbol", "day", F.coalesce("patterns", F.lit(0)).alias("patterns"))
 
 
-def trending(patterns: DataFrame, as_of: Column, hours: int = 24, min_occurrences: int = 3, top: int = 20) -> DataFrame:
+def trending(patterns: DataFrame, as_of: Column, hours: int = 24, min_occurrences: int = 3, top: int = 20, listed: int = 10) -> DataFrame:
     """The most frequent patterns of the last hours with their symbols and dominant direction.
 
     Symbols and directions are counted first, so what is collected is one entry per distinct value.
@@ -86,8 +86,12 @@ def trending(patterns: DataFrame, as_of: Column, hours: int = 24, min_occurrence
     df = patterns.filter(F.col("detected_at") >= as_of - F.make_dt_interval(hours=F.lit(hours)))
     cells = df.groupBy(*keys, "symbol", "direction").agg(_count().alias("c"), F.sum("confidence").alias("s"))
     symbols = cells.groupBy(*keys).agg(
-        F.sum("c").alias("occurrences"), F.count_distinct("symbol").alias("unique_symbols"), (F.sum("s") / F.sum("c")).alias("avg_confidence"),
-        F.slice(F.array_sort(F.collect_set("symbol")), 1, 10).alias("symbols"))
+        F.sum("c").alias("occurrences"), F.count_distinct("symbol").alias("unique_symbols"), (F.sum("s") / F.sum("c")).alias("avg_confidence"))
+    # the listed symbols are ranked first, so that at most ten of a pattern are gathered
+    each = Window.partitionBy(*keys).orderBy("symbol")
+    some = cells.select(*keys, "symbol").distinct().withColumn("_r", F.row_number().over(each)).filter(F.col("_r") <= listed)
+    some = some.groupBy(*keys).agg(F.array_sort(F.collect_list("symbol")).alias("symbols"))
+    symbols = symbols.join(some, keys)
     dirs = cells.groupBy(*keys, "direction").agg(F.sum("c").alias("c"))
     first = F.struct("c", F.col("direction"))
     dominant = dirs.groupBy(*keys).agg(F.max_by("direction", first).alias("dominant_direction"),

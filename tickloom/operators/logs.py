@@ -55,8 +55,22 @@ def error_breakdown(calls: DataFrame, as_of: Column, hours: int = 1) -> DataFram
     return since_hours(calls, as_of, hours).filter("status_code >= 400").groupBy("status_code").agg(_n().alias("count"))
 
 
-def endpoint_stats(calls: DataFrame) -> DataFrame:
-    """Counts, latency and histograms by hour, status and user per method and endpoint."""
+def value_counts(df: DataFrame, keys: list[str], col: Column, name: str = "value") -> DataFrame:
+    """How often each value occurs with each key, a row for each: the whole distribution, whatever its size."""
+    return df.filter(col.isNotNull()).groupBy(*keys, col.alias(name)).agg(_n().alias("count"))
+
+
+def leading(counts: DataFrame, keys: list[str], name: str, out: str, k: int) -> DataFrame:
+    """Per key the k most frequent values with their counts, and how many values there are. Rows past the rank go before they are listed."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("count"), name)
+    top = counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    listed = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", name, "count"))).alias("_l"))
+    listed = listed.select(*keys, F.transform("_l", lambda e: F.struct(e[name].alias(name), e["count"].alias("count"))).alias(out))
+    return listed.join(counts.groupBy(*keys).agg(_n().alias(f"{out}_total")), keys)
+
+
+def endpoint_stats(calls: DataFrame, top: int = 10) -> DataFrame:
+    """Counts, latency, histograms by hour and status, and the ``top`` users per method and endpoint; endpoint_users has all users."""
     require(calls, "endpoint", "method", "status_code", "response_time_ms", "ts")
     keys = ["method", "endpoint"]
     main = calls.groupBy(*keys).agg(
@@ -64,25 +78,58 @@ def endpoint_stats(calls: DataFrame) -> DataFrame:
         F.avg("response_time_ms").alias("avg_response_time"), (_errors() / _n()).alias("error_rate"), F.max("ts").alias("last_called"))
     hours = histogram(calls.withColumn("_h", F.lpad(F.hour("ts").cast("string"), 2, "0")), keys, "_h", "hourly_distribution")
     codes = histogram(calls, keys, "status_code", "status_code_distribution")
-    users = histogram(calls, keys, "user_id", "user_distribution")
-    return main.join(hours, keys).join(codes, keys).join(users, keys, "left")
+    users = leading(endpoint_users(calls), keys, "user_id", "top_users", top).withColumnRenamed("top_users_total", "unique_users")
+    return main.join(hours, keys).join(codes, keys).join(users, keys, "left").withColumn("unique_users", F.coalesce("unique_users", F.lit(0)))
 
 
-def user_stats(calls: DataFrame, recent: int = 10) -> DataFrame:
-    """Per user: totals, first and last call, error rate, favourite endpoints, recent calls, calls per day.
+def endpoint_users(calls: DataFrame) -> DataFrame:
+    """Calls of each user per method and endpoint."""
+    return value_counts(calls, ["method", "endpoint"], F.col("user_id"), "user_id")
+
+
+def user_stats(calls: DataFrame, recent: int = 10, top: int = 10) -> DataFrame:
+    """Per user: totals, first and last call, error rate, favourite endpoints, active days, recent calls; user_activity has all counts.
 
     The recent calls come from a ranked window; Spark drops rows past the rank before the shuffle.
     """
     df = calls.filter("user_id is not null")
     main = df.groupBy("user_id").agg(_n().alias("total_requests"), F.min("ts").alias("first_request"), F.max("ts").alias("last_request"),
                                      F.avg("response_time_ms").alias("avg_response_time"), (_errors() / _n()).alias("error_rate"))
-    named = df.withColumns({"_e": F.concat_ws(" ", "method", "endpoint"), "_d": F.date_format("ts", "yyyy-MM-dd")})
+    ends = value_counts(df, ["user_id"], F.concat_ws(" ", "method", "endpoint"), "endpoint")
+    days = df.groupBy("user_id", F.to_date("ts").alias("_d")).agg(_n().alias("_c")).groupBy("user_id").agg(_n().alias("active_days"), F.max("_c").alias("most_calls_a_day"))
     newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("endpoint"))
     last = df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= recent)
     row = F.struct("_rn", "ts", "endpoint", "method", "status_code", "response_time_ms")
     last = last.groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("recent_activity"))
-    out = main.join(histogram(named, ["user_id"], "_e", "favorite_endpoints"), "user_id")
-    return out.join(histogram(named, ["user_id"], "_d", "daily_activity"), "user_id").join(last, "user_id")
+    favourites = leading(ends, ["user_id"], "endpoint", "favorite_endpoints", top).withColumnRenamed("favorite_endpoints_total", "unique_endpoints")
+    return main.join(favourites, "user_id").join(days, "user_id").join(last, "user_id")
+
+
+def user_activity(calls: DataFrame) -> DataFrame:
+    """Calls of each user by endpoint and by day, as sections of one table."""
+    df = calls.filter("user_id is not null")
+    kinds = F.array(F.struct(F.lit("endpoint").alias("section"), F.concat_ws(" ", "method", "endpoint").alias("value")), F.struct(F.lit("day").alias("section"), F.date_format("ts", "yyyy-MM-dd").alias("value")))
+    return df.withColumn("_k", F.explode(kinds)).groupBy("user_id", "_k.section", "_k.value").agg(_n().alias("count"))
+
+
+def call_sketches(calls: DataFrame) -> DataFrame:
+    """A row per endpoint and day that later rows can be merged with: counts, and sketches of latencies, users and the busiest users.
+
+    Kept per day, they answer for any span of days without the calls; their size does not depend on the number of calls.
+    """
+    require(calls, "endpoint", "method", "status_code", "response_time_ms", "ts", "user_id")
+    return calls.groupBy("method", "endpoint", F.to_date("ts").alias("day")).agg(
+        _n().alias("calls"), _errors().alias("errors"), F.sum("response_time_ms").alias("total_ms"), F.kll_sketch_agg_double("response_time_ms", 800).alias("latencies"),
+        F.hll_sketch_agg("user_id", 14).alias("users"), F.expr("approx_top_k_accumulate(user_id)").alias("busiest"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
+    """Counts, mean and approximate percentiles of latency, distinct users and busiest users of the days in ``sketches`` per key."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), (F.sum("total_ms") / F.sum("calls")).alias("avg_response_time"),
+        F.kll_merge_agg_double("latencies", 800).alias("_l"), F.hll_union_agg("users").alias("_u"), F.expr("approx_top_k_combine(busiest)").alias("_b"))
+    marks = {f"p{int(q * 100)}": F.kll_sketch_get_quantile_double("_l", F.lit(q)) for q in (0.5, 0.9, 0.95, 0.99)}
+    return merged.withColumns(marks | {"unique_users": F.hll_sketch_estimate("_u"), "top_users": F.expr(f"approx_top_k_estimate(_b, {top})")}).drop("_l", "_u", "_b")
 
 
 def violation_stats(violations: DataFrame, as_of: Column) -> DataFrame:
@@ -128,17 +175,16 @@ def slow_calls(calls: DataFrame, slow_ms: float = 1000, alert_ms: float = 5000,
     return calls.filter(t > slow_ms).withColumns({"alert": t > alert_ms, "severity": level})
 
 
-def latency_percentiles(calls: DataFrame, keys: list[str]) -> DataFrame:
+def latency_percentiles(calls: DataFrame, keys: list[str], parts: int = 256) -> DataFrame:
     """Values at positions int(n*q) of the sorted latencies; groups of fewer than ten drop out.
 
-    Exact without sorting a group in one task: distinct values are counted, the counts are
-    accumulated range by range, and the running total finds each position.
+    Exact without sorting a group in one task: distinct values are counted, the counts are accumulated range by range, and the
+    running total finds each position. Ranges are cut at quantiles of the distinct values, so each holds about as many, outliers or not.
     """
     t = F.col("response_time_ms")
-    counts = calls.groupBy(*keys, t.alias("v")).agg(_n().alias("c"))
-    size = calls.groupBy(*keys).agg(_n().alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi")).filter("n >= 10")
-    share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    df = counts.join(size, keys).withColumn("_b", F.floor(share * 256))
+    counts = calls.groupBy(*keys, t.alias("v")).agg(_n().alias("c")).filter("v is not null")
+    size = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.percentile_approx("v", [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts")).filter("n >= 10")
+    df = counts.join(size, keys).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("v")))).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shift = df.groupBy(*keys, "_b").agg(F.sum("c").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
     inside = F.sum("c").over(Window.partitionBy(*keys, "_b").orderBy("v"))
@@ -204,12 +250,10 @@ def alerts_by(alerts: DataFrame, severity: str | None = None, limit: int = 50) -
 
 
 def export_usage(calls: DataFrame, violations: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
-    """One JSON document: usage, endpoints, alert counts and violations."""
+    """Usage, alert counts, violations and each endpoint as lines of JSON with their section; nothing is gathered into one row."""
+    def lines(section: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), F.to_json(F.struct("*")).alias("document"))
+
     ends = calls.groupBy("method", "endpoint").agg(_n().alias("calls"), _errors().alias("errors"))
-    doc = usage_stats(calls, as_of, hours).select(F.struct("*").alias("usage_statistics"))
-    listed = ends.agg(F.array_sort(F.collect_list(F.struct("method", "endpoint", "calls", "errors"))).alias("endpoint_stats"))
-    alerts = alert_summary(call_alerts(calls)).select(F.struct("*").alias("alerts"))
-    over = violation_stats(violations, as_of).select(F.struct("*").alias("rate_violations"))
-    for one_row in (listed, alerts, over):
-        doc = beside(doc, one_row)
-    return doc.select(F.to_json(F.struct("*")).alias("document"))
+    return lines("usage_statistics", usage_stats(calls, as_of, hours)).unionByName(lines("endpoint_stats", ends)).unionByName(
+        lines("alerts", alert_summary(call_alerts(calls)))).unionByName(lines("rate_violations", violation_stats(violations, as_of)))

@@ -80,12 +80,16 @@ def _(t):
     return ag.daily_distribution(t.patterns, as_of(), 30).select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), "patterns")
 
 
-@query("agg07_trending", f"""WITH {PATTERNS}, r AS (SELECT * FROM patterns WHERE detected_at >= TIMESTAMP '2000-06-01' - to_hours(168)), d AS (SELECT pattern_type, pattern_name, direction, count(*) AS c FROM r GROUP BY 1, 2, 3)
-SELECT pattern_type, pattern_name, count(*) AS occurrences, count(DISTINCT symbol) AS unique_symbols, round(avg(confidence), 8) AS avg_confidence,
-  (SELECT arg_max(direction, (c, direction)) FROM d WHERE d.pattern_type = r.pattern_type AND d.pattern_name = r.pattern_name) AS dominant_direction
-FROM r GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY occurrences DESC, pattern_type, pattern_name LIMIT 20""")
+@query("agg07_trending", f"""WITH {PATTERNS}, r AS (SELECT * FROM patterns WHERE detected_at >= TIMESTAMP '2000-06-01' - to_hours(168)), d AS (SELECT pattern_type, pattern_name, direction, count(*) AS c FROM r GROUP BY 1, 2, 3),
+e AS (SELECT pattern_type, pattern_name, arg_max(direction, (c, direction)) AS dominant_direction, string_agg(direction || ':' || c, ',' ORDER BY direction) AS directions FROM d GROUP BY 1, 2)
+SELECT pattern_type, pattern_name, count(*) AS occurrences, count(DISTINCT symbol) AS unique_symbols, round(avg(confidence), 8) AS avg_confidence, any_value(dominant_direction) AS dominant_direction, any_value(directions) AS directions,
+  array_to_string(list_sort(list_distinct(list(symbol)))[1:10], ',') AS symbols
+FROM r JOIN e USING (pattern_type, pattern_name) GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY occurrences DESC, pattern_type, pattern_name LIMIT 20""")
 def _(t):
-    return rounded(ag.trending(t.patterns, as_of(), 168), ["pattern_type", "pattern_name", "occurrences", "unique_symbols", "dominant_direction"], 8, avg_confidence="avg_confidence")
+    df = ag.trending(t.patterns, as_of(), 168)
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("direction_distribution")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    df = df.withColumns({"directions": listed, "symbols": F.array_join("symbols", ",")})
+    return rounded(df, ["pattern_type", "pattern_name", "occurrences", "unique_symbols", "dominant_direction", "directions", "symbols"], 8, avg_confidence="avg_confidence")
 
 
 @query("agg08_nonzero_averages", f"""WITH {PATTERNS} SELECT symbol, round(avg(nullif(confidence, 0)), 6) AS avg_confidence, round(avg(nullif(duration_seconds, 0)) / 3600, 6) AS avg_duration_hours FROM {FINISHED} GROUP BY 1""")
@@ -173,22 +177,59 @@ def _(t):
     return lg.error_breakdown(t.calls, now(), 240)
 
 
-@query("agg16_endpoint_analytics", f"""WITH {CALLS} SELECT method, endpoint, count(*) AS total_calls, round(avg(response_time_ms), 4) AS avg_response_time, round(count(*) FILTER (status_code >= 400) / count(*), 6) AS error_rate,
-  count(*) FILTER (hour(ts) = 13) AS calls_at_13, count(*) FILTER (status_code = 404) AS not_found, count(DISTINCT user_id) AS users FROM calls GROUP BY 1, 2""")
+TOP = "array_to_string(list_transform(list_sort(list({{'c': -c, 'v': {v}}}))[1:10], lambda z: z.v || '=' || -z.c), ',')"
+
+
+def pairs(col: str, name: str):
+    return F.array_join(F.transform(col, lambda e: F.concat_ws("=", e[name].cast("string"), e["count"].cast("string"))), ",")
+
+
+@query("agg16_endpoint_analytics", f"""WITH {CALLS}, u AS (SELECT method, endpoint, user_id, count(*) AS c FROM calls WHERE user_id IS NOT NULL GROUP BY 1, 2, 3), v AS (SELECT method, endpoint, count(*) AS unique_users, {TOP.format(v="user_id")} AS top_users FROM u GROUP BY 1, 2),
+h AS (SELECT method, endpoint, string_agg(h || ':' || c, ',' ORDER BY h) AS hours FROM (SELECT method, endpoint, strftime(ts, '%H') AS h, count(*) AS c FROM calls GROUP BY 1, 2, 3) GROUP BY 1, 2),
+s AS (SELECT method, endpoint, string_agg(s || ':' || c, ',' ORDER BY s) AS codes FROM (SELECT method, endpoint, CAST(status_code AS VARCHAR) AS s, count(*) AS c FROM calls GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT method, endpoint, count(*) AS total_calls, count(*) FILTER (status_code < 400) AS success_calls, count(*) FILTER (status_code >= 400) AS error_calls, round(avg(response_time_ms), 4) AS avg_response_time,
+  round(count(*) FILTER (status_code >= 400) / count(*), 6) AS error_rate, max(ts) AS last_called, any_value(hours) AS hours, any_value(codes) AS codes, any_value(unique_users) AS unique_users, any_value(top_users) AS top_users
+FROM calls JOIN v USING (method, endpoint) JOIN h USING (method, endpoint) JOIN s USING (method, endpoint) GROUP BY 1, 2""")
 def _(t):
     df = lg.endpoint_stats(t.calls)
-    return df.select("method", "endpoint", "total_calls", F.round("avg_response_time", 4).alias("avg_response_time"), F.round("error_rate", 6).alias("error_rate"),
-                     F.coalesce(F.try_element_at("hourly_distribution", F.lit("13")), F.lit(0)).alias("calls_at_13"), F.coalesce(F.try_element_at("status_code_distribution", F.lit("404")), F.lit(0)).alias("not_found"),
-                     F.size("user_distribution").cast("long").alias("users"))
+    flat = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return df.select("method", "endpoint", "total_calls", "success_calls", "error_calls", F.round("avg_response_time", 4).alias("avg_response_time"), F.round("error_rate", 6).alias("error_rate"), ntz("last_called"),
+                     flat("hourly_distribution").alias("hours"), flat("status_code_distribution").alias("codes"), "unique_users", pairs("top_users", "user_id").alias("top_users"))
 
 
-@query("agg17_user_analytics", f"""WITH {CALLS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM calls WHERE user_id IS NOT NULL)
-SELECT user_id, count(*) AS total_requests, min(ts) AS first_request, max(ts) AS last_request, round(count(*) FILTER (status_code >= 400) / count(*), 6) AS error_rate, count(DISTINCT CAST(ts AS DATE)) AS active_days,
-  count(DISTINCT method || endpoint) AS endpoints, max(ts) FILTER (rn = 10) AS tenth_last FROM r GROUP BY 1""")
+@query("agg16_endpoint_users", f"WITH {CALLS} SELECT method, endpoint, user_id, count(*) AS count FROM calls WHERE user_id IS NOT NULL GROUP BY 1, 2, 3")
+def _(t):
+    return lg.endpoint_users(t.calls)
+
+
+@query("agg16_merged_sketches", f"WITH {CALLS} SELECT method, endpoint, count(*) AS calls, count(*) FILTER (status_code >= 400) AS errors, round(avg(response_time_ms), 4) AS avg_response_time, true AS users_near, true AS ranks_near FROM calls GROUP BY 1, 2")
+def _(t):
+    """Sketches of each day, merged and held against the exact figures: users within 3 %, ranks of the percentiles within 1.5 %."""
+    keys = ["method", "endpoint"]
+    merged = lg.merged_sketches(lg.call_sketches(t.calls), keys)
+    exact = t.calls.groupBy(*keys).agg(F.count_distinct("user_id").alias("_u"))
+    ranks = t.calls.join(merged.select(*keys, "p50", "p95"), keys).groupBy(*keys).agg(*[F.avg((F.col("response_time_ms") <= F.col(p)).cast("double")).alias(f"_{p}") for p in ("p50", "p95")])
+    near = (F.abs(F.col("_p50") - 0.5) <= 0.015) & (F.abs(F.col("_p95") - 0.95) <= 0.015)
+    return merged.join(exact, keys).join(ranks, keys).select(*keys, "calls", "errors", F.round("avg_response_time", 4).alias("avg_response_time"),
+                                                             (F.abs(F.col("unique_users") - F.col("_u")) <= 0.03 * F.col("_u")).alias("users_near"), near.alias("ranks_near"))
+
+
+@query("agg17_user_analytics", f"""WITH {CALLS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM calls WHERE user_id IS NOT NULL),
+e AS (SELECT user_id, method || ' ' || endpoint AS e, count(*) AS c FROM r GROUP BY 1, 2), f AS (SELECT user_id, count(*) AS unique_endpoints, {TOP.format(v="e")} AS favorites FROM e GROUP BY 1),
+d AS (SELECT user_id, count(*) AS active_days, max(c) AS most_calls_a_day FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY 1)
+SELECT user_id, count(*) AS total_requests, min(ts) AS first_request, max(ts) AS last_request, round(avg(response_time_ms), 4) AS avg_response_time, round(count(*) FILTER (status_code >= 400) / count(*), 6) AS error_rate,
+  any_value(active_days) AS active_days, any_value(most_calls_a_day) AS most_calls_a_day, any_value(unique_endpoints) AS unique_endpoints, any_value(favorites) AS favorites, max(ts) FILTER (rn = 10) AS tenth_last
+FROM r JOIN f USING (user_id) JOIN d USING (user_id) GROUP BY 1""")
 def _(t):
     df = lg.user_stats(t.calls)
-    return df.select("user_id", "total_requests", ntz("first_request"), ntz("last_request"), F.round("error_rate", 6).alias("error_rate"), F.size("daily_activity").cast("long").alias("active_days"),
-                     F.size("favorite_endpoints").cast("long").alias("endpoints"), F.get("recent_activity", F.lit(9))["ts"].cast("timestamp_ntz").alias("tenth_last"))
+    return df.select("user_id", "total_requests", ntz("first_request"), ntz("last_request"), F.round("avg_response_time", 4).alias("avg_response_time"), F.round("error_rate", 6).alias("error_rate"),
+                     "active_days", "most_calls_a_day", "unique_endpoints", pairs("favorite_endpoints", "endpoint").alias("favorites"), F.get("recent_activity", F.lit(9))["ts"].cast("timestamp_ntz").alias("tenth_last"))
+
+
+@query("agg17_user_activity", f"""WITH {CALLS} SELECT user_id, 'endpoint' AS section, method || ' ' || endpoint AS value, count(*) AS count FROM calls WHERE user_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT user_id, 'day', strftime(ts, '%Y-%m-%d'), count(*) FROM calls WHERE user_id IS NOT NULL GROUP BY ALL""")
+def _(t):
+    return lg.user_activity(t.calls)
 
 
 def violations(t):
@@ -265,8 +306,21 @@ def _(t):
     return lg.alerts_by(lg.call_alerts(t.calls), "high").select("subject", ntz("ts"))
 
 
-@query("agg26_usage_export", f"""WITH {CALLS} SELECT count(*) FILTER (ts > {NOW_SQL} - to_hours(24)) AS total_requests, count(DISTINCT method || endpoint) AS endpoints, count(*) FILTER (status_code = 404) AS violations FROM calls""")
-def _(t):
-    doc = lg.export_usage(t.calls, violations(t), now())
-    d = F.from_json("document", "usage_statistics struct<total_requests:bigint>, endpoint_stats array<struct<endpoint:string>>, rate_violations struct<total_violations:bigint>")
-    return doc.select(d.alias("d")).select(F.col("d.usage_statistics.total_requests").alias("total_requests"), F.size("d.endpoint_stats").cast("long").alias("endpoints"), F.col("d.rate_violations.total_violations").alias("violations"))
+@query("agg26_usage_export", f"""WITH {CALLS}
+SELECT 'usage_statistics' AS section, 'total_requests' AS name, count(*) FILTER (ts > {NOW_SQL} - to_hours(24)) AS value FROM calls
+UNION ALL SELECT 'rate_violations', 'total_violations', count(*) FROM calls WHERE status_code = 404
+UNION ALL SELECT 'endpoint_stats', method || ' ' || endpoint || ' calls', count(*) FROM calls GROUP BY method, endpoint
+UNION ALL SELECT 'endpoint_stats', method || ' ' || endpoint || ' errors', count(*) FILTER (status_code >= 400) FROM calls GROUP BY method, endpoint
+UNION ALL SELECT 'alerts', 'slow_response', count(*) FROM calls WHERE response_time_ms > 5000""")
+def _(t):
+    part = lambda name: F.get_json_object("document", f"$.{name}")
+    end = F.concat_ws(" ", part("method"), part("endpoint"))
+    entry = lambda name, value: F.struct(name.alias("name"), value.cast("long").alias("value"))
+    out = lg.export_usage(t.calls, violations(t), now()).withColumn("e", F.explode(
+        F.when(F.col("section") == "usage_statistics", F.array(entry(F.lit("total_requests"), part("total_requests"))))
+        .when(F.col("section") == "rate_violations", F.array(entry(F.lit("total_violations"), part("total_violations"))))
+        .when(F.col("section") == "endpoint_stats", F.array(entry(F.concat_ws(" ", end, F.lit("calls")), part("calls")), entry(F.concat_ws(" ", end, F.lit("errors")), part("errors"))))
+        .otherwise(F.array(entry(F.lit("total"), part("total"))))))
+    slow = lg.slow_calls(t.calls).filter("alert").agg(F.count(F.lit(1)).alias("value")).select(F.lit("alerts").alias("section"), F.lit("slow_response").alias("name"), "value")
+    return out.filter("section <> 'alerts'").select("section", "e.name", "e.value").unionByName(slow)
+
