@@ -262,3 +262,22 @@ def test_row_indexing_of_a_crowded_day(spark):
     out = fr.index_rows(df, ["ts", "pattern_id"])
     rows = out.select("idx", "n", "ts", "pattern_id").collect()
     assert [r.idx for r in sorted(rows, key=lambda r: (r.ts, r.pattern_id))] == list(range(20_000)) and rows[0].n == 20_000
+
+
+def test_levels_are_chained_as_one_by_one(spark):
+    rng = np.random.default_rng(12)
+    t0 = pd.Timestamp("2024-01-01")
+    prices = np.concatenate([rng.uniform(1, 3, 60), 100 * 1.02 ** np.arange(6), 100 * 1.0199 ** np.arange(40), rng.lognormal(4, 3, 200), [0.0, -1.0, -1.0, 5e5]])
+    rows = [("A", "1h", float(p), "support" if i % 3 else "resistance", i % 5 + 1, (t0 + pd.Timedelta(hours=i)).to_pydatetime(), (t0 + pd.Timedelta(hours=2 * i)).to_pydatetime(), (i % 10) / 10) for i, p in enumerate(prices)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, level double, level_type string, strength long, first_touch timestamp, last_touch timestamp, confidence double")
+    chains = []
+    for r in sorted(rows, key=lambda r: r[2]):
+        if chains and abs(r[2] - chains[-1][-1][2]) < chains[-1][-1][2] * 0.02:
+            chains[-1].append(r)
+        else:
+            chains.append([r])
+    want = [(np.mean([r[2] for r in c]), "support" if sum(r[3] == "support" for r in c) > len(c) / 2 else "resistance", sum(r[4] for r in c), min(1, np.mean([r[7] for r in c]) * 1.2)) for c in chains]
+    got = sorted((r.level, r.level_type, r.strength, r.confidence) for r in trend.consolidate(df).collect())
+    assert len(got) == len(want) > 20
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[1:3] == w[1:3] and g[0] == pytest.approx(w[0], rel=1e-9, abs=1e-9) and g[3] == pytest.approx(w[3])
