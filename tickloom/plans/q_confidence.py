@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tickloom.operators import candles as ca
 from tickloom.operators import confidence as co
 from tickloom.plans.catalog import query, rounded
-from tickloom.plans.sql import PATTERNS
+from tickloom.plans.q_patterns import CANDLE
+from tickloom.plans.sql import HOURLY, PATTERNS, t_two_sided
 
 INPUT = """ci AS (SELECT pattern_id, direction, k, (k % 97) / 97 AS hsr, k % 150 AS ss, (k * 7 % 97) / 97 AS rp, (k % 17 - 5) / 100 AS ar, (k % 30) / 10 AS wl,
   CASE k % 4 WHEN 0 THEN 'breakout' WHEN 1 THEN 'reversal' ELSE pattern_type END AS kind, (k % 25) * 10 AS vol, 100 AS av, ['increasing', 'decreasing', 'diverging', 'flat'][k % 4 + 1] AS vt, k % 5 = 0 AS poc, k % 7 = 0 AS vw,
@@ -65,7 +66,21 @@ def _(t):
     return rounded(scored(t, w), ["pattern_id"], 9, overall_score="overall_score")
 
 
-@query("conf03_statistical_significance")
+# Returns inside each three-bar pattern against those of its whole series, by a pooled t-test.
+SIGNIFICANCE = f"""fo AS (SELECT symbol, 'morning_star' AS pattern_name, idx FROM s WHERE mv2 < 0 AND abs(mv1) < abs(mv2) * 0.3 AND mv > 0 AND close > (o2 + c2) / 2
+UNION ALL SELECT symbol, 'evening_star', idx FROM s WHERE mv2 > 0 AND abs(mv1) < abs(mv2) * 0.3 AND mv < 0 AND close < (o2 + c2) / 2
+UNION ALL SELECT symbol, 'three_white_soldiers', idx FROM s WHERE mv2 > 0 AND mv1 > 0 AND mv > 0 AND c1 > c2 AND close > c1 AND o1 > o2 AND open > o1
+UNION ALL SELECT symbol, 'three_black_crows', idx FROM s WHERE mv2 < 0 AND mv1 < 0 AND mv < 0 AND c1 < c2 AND close < c1 AND o1 < o2 AND open < o1),
+re AS (SELECT symbol, idx, close / lag(close) OVER (PARTITION BY symbol ORDER BY idx) - 1 AS r FROM bars),
+hi AS (SELECT symbol, count(r) AS n2, avg(r) AS m2, var_samp(r) AS v2 FROM re GROUP BY 1),
+pa AS (SELECT fo.symbol, pattern_name, fo.idx, avg(r) AS m1, var_samp(r) AS v1, stddev_pop(r) AS sd1 FROM fo JOIN re ON re.symbol = fo.symbol AND re.idx BETWEEN fo.idx - 1 AND fo.idx GROUP BY ALL),
+te AS (SELECT *, (m1 - m2) / sqrt((v1 + v2 * (n2 - 1)) / n2 * (0.5 + 1 / n2)) AS t FROM pa JOIN hi USING (symbol)),
+sg AS (SELECT *, {t_two_sided('t', 'n2')} AS p FROM te)"""
+
+
+@query("conf03_statistical_significance", f"""WITH {HOURLY}, {CANDLE}, {SIGNIFICANCE}
+SELECT symbol || ':' || pattern_name || ':' || idx AS pattern_id, round(p, 5) AS p_value, round(CAST(least(1, CASE WHEN p < 0.01 THEN 0.95 WHEN p < 0.05 THEN 0.85 WHEN p < 0.1 THEN 0.75 ELSE 0.5 + (0.1 - p) * 2 END
+  * CASE WHEN sd1 > 0 THEN least(1, 0.7 + m1 / sd1 * 0.15) ELSE 1 END * 1.05) AS DOUBLE), 5) AS statistical_significance FROM sg""")
 def _(t):
     found = ca.candlestick_patterns(t.hourly, groups=["morning_star", "evening_star", "soldiers"])
     found = found.withColumn("pattern_id", F.concat_ws(":", "symbol", "pattern_name", "end_idx"))

@@ -8,8 +8,8 @@ from tickloom.operators import candles as ca
 from tickloom.operators import classic as cl
 from tickloom.operators import crypto as cr
 from tickloom.operators import gaps as ga
-from tickloom.plans.catalog import query
-from tickloom.plans.sql import CALM, CALM_MINUTES, DAILY, HOURLY, SURGES, SERIES, frame, lag, last, lead
+from tickloom.plans.catalog import ORACLES, query
+from tickloom.plans.sql import CALM, CALM_MINUTES, CLIMBING, DAILY, HOURLY, SURGES, SERIES, frame, lag, last, lead
 
 
 def shown(df: DataFrame, *meta: str, digits: int = 5) -> DataFrame:
@@ -194,11 +194,11 @@ a AS (SELECT symbol, i AS idx, avg(h) FILTER (pk) AS pm, avg(l) FILTER (tr) AS t
 s AS (SELECT a.*, b.close, b.volume, py + ps * (idx - px) AS top, ty + tsl * (idx - tx) AS floor FROM a JOIN bars b USING (symbol, idx))"""
 
 
-@query("pat13_ascending_triangle", f"WITH {DAILY}, {TRIANGLE} " + found(
+@query("pat13_ascending_triangle", f"WITH {CLIMBING}, {TRIANGLE} " + found(
     "'ascending_triangle'", "'bullish'", "psd / pm < 0.02 AND tsl > 0 AND close > pm * (1 + 0.02::DOUBLE)", "0.75", 20,
     target="close + (pm - lo)", stop="pm * 0.98", resistance_level="pm", support_slope="tsl", breakout_volume="volume", digits=4))
 def _(t):
-    return shown(bo.breakout_patterns(t.daily, groups=["ascending"]), "resistance_level", "support_slope", "breakout_volume", digits=4)
+    return shown(bo.breakout_patterns(t.climbing, groups=["ascending"]), "resistance_level", "support_slope", "breakout_volume", digits=4)
 
 
 @query("pat14_descending_triangle", f"WITH {DAILY}, {TRIANGLE} " + found(
@@ -465,8 +465,23 @@ def _(t):
     return shown(cr.crypto_ma_levels(t.calm), "touches", "bounces", "ma_slope")
 
 
-@query("cry09_all_crypto", None)
+def hourly(name: str, base: str, *changes: tuple[str, str]) -> str:
+    """Names and confidences of another query's SQL, over the hourly bars and with other limits."""
+    sql = ORACLES[name].replace(base, HOURLY)
+    for old, new in changes:
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return f"SELECT symbol, pattern_name, confidence FROM ({sql})"
+
+
+ALL_CRYPTO = [
+    f"SELECT symbol, pattern_name, confidence FROM (WITH {HOURLY}, {WHALE} {found(**{k: v.replace('2.5', '5') for k, v in WHALES.items()})})",
+    hourly("cry02_ad_divergence", HOURLY), hourly("cry03_volume_breakout", HOURLY), hourly("cry04_pump", HOURLY, ("0.20", "0.15")),
+    hourly("cry05_dump", HOURLY, ("0.15", "0.12")), hourly("cry06_pump_and_dump", SURGES), hourly("cry07_psychological_levels", DAILY, ("< 0.5", "< 0.02")), hourly("cry08_moving_average_levels", CALM),
+]
+
+
+@query("cry09_all_crypto", f"SELECT symbol, pattern_name, count(*) AS hits, round(avg(confidence), 4) AS mean_confidence FROM ({' UNION ALL '.join(ALL_CRYPTO)}) GROUP BY 1, 2")
 def _(t):
     df = cr.crypto_patterns(t.hourly, cr.CryptoConfig(pump=0.15, dump=-0.12))
-    return df.groupBy("symbol", "pattern_type", "pattern_name").agg(
-        F.count(F.lit(1)).alias("hits"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+    return df.groupBy("symbol", "pattern_name").agg(F.count(F.lit(1)).alias("hits"), F.round(F.avg(F.round("confidence", 5)), 4).alias("mean_confidence"))

@@ -7,7 +7,7 @@ from tickloom.operators import validation as va
 from tickloom.plans.catalog import query, rounded
 from tickloom.plans.q_aggregates import outcomes as stored
 from tickloom.plans.q_joins import ENTRIES, entries, predictions
-from tickloom.plans.sql import HOURLY, PATTERNS
+from tickloom.plans.sql import HOURLY, PATTERNS, t_two_sided
 
 
 def results(t):
@@ -97,27 +97,43 @@ def _(t):
 @query("val10_degradation", f"""WITH {PATTERNS}, o AS (SELECT pattern_type, pattern_name, actual_outcome = 'success' AS s, actual_return AS r, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY pattern_type, pattern_name) AS n FROM patterns
   WHERE actual_outcome IS NOT NULL WINDOW w AS (PARTITION BY pattern_type, pattern_name ORDER BY detected_at, pattern_id)),
 g AS (SELECT pattern_type, pattern_name, avg(s::INT) FILTER (i >= n - 10) AS cur, avg(s::INT) FILTER (i < n - 10) AS old, count(*) FILTER (i >= n - 10 AND NOT s) AS recent_failures, avg(r) FILTER (i >= n - 10) AS m1, var_samp(r) FILTER (i >= n - 10) AS v1,
-  avg(r) FILTER (i < n - 10) AS m2, var_samp(r) FILTER (i < n - 10) AS v2, any_value(n) AS n FROM o GROUP BY 1, 2)
-SELECT pattern_type, pattern_name, recent_failures, round(cur, 6) AS current_performance, round(old, 6) AS historical_avg, round((cur - old) / nullif(old, 0), 6) AS degradation_rate,
-  round((m1 - m2) / sqrt((v1 * 9 + v2 * (n - 11)) / (n - 2) * (0.1 + 1 / (n - 10))), 5) AS t_statistic, round(m1 - 2.2621571628 * sqrt(v1 / 10), 6) AS ci_lower FROM g""")
+  avg(r) FILTER (i < n - 10) AS m2, var_samp(r) FILTER (i < n - 10) AS v2, any_value(n) AS n FROM o GROUP BY 1, 2),
+h AS (SELECT *, coalesce((cur - old) / nullif(old, 0), 0) AS rate, (m1 - m2) / sqrt((v1 * 9 + v2 * (n - 11)) / (n - 2) * (0.1 + 1 / (n - 10))) AS t FROM g),
+i AS (SELECT *, {t_two_sided('t', '(n - 2)')} AS p FROM h),
+j AS (SELECT *, CASE WHEN rate < -0.2 AND p < 0.05 THEN 'degrading' WHEN rate > 0.2 AND p < 0.05 THEN 'improving' WHEN abs(rate) > 0.3 THEN 'unstable' ELSE 'stable' END AS status FROM i)
+SELECT pattern_type, pattern_name, recent_failures, round(cur, 6) AS current_performance, round(old, 6) AS historical_avg, round(rate, 6) AS degradation_rate, round(t, 5) AS t_statistic, round(p, 6) AS p_value, status,
+  round(m1 - 2.2621571628 * sqrt(v1 / 10), 6) AS ci_lower, round(m1 + 2.2621571628 * sqrt(v1 / 10), 6) AS ci_upper,
+  CASE status WHEN 'degrading' THEN 'success rate fell by ' || round(-rate * 100, 1) || ' %: trade smaller or not at all' WHEN 'improving' THEN 'success rate rose by ' || round(rate * 100, 1) || ' %: its confidence may weigh more'
+    WHEN 'unstable' THEN 'success rate moved by ' || round(abs(rate) * 100, 1) || ' % without significance: be careful' ELSE 'no change that matters' END AS recommendation FROM j""")
 def _(t):
     df = va.degradation(stored(t))
-    return rounded(df, ["pattern_type", "pattern_name", "recent_failures"], current_performance="current_performance", historical_avg="historical_avg", degradation_rate="degradation_rate", t_statistic=F.round("t_statistic", 5), ci_lower="ci_lower")
+    return rounded(df, ["pattern_type", "pattern_name", "recent_failures", "status", "recommendation"], t_statistic=F.round("t_statistic", 5),
+                   **{c: c for c in ("current_performance", "historical_avg", "degradation_rate", "p_value", "ci_lower", "ci_upper")})
 
 
-@query("val11_ab_test", f"""WITH {PATTERNS}, g AS (SELECT avg(actual_return) FILTER (pattern_type = 'chart') AS a, avg(actual_return) FILTER (pattern_type = 'volume') AS b, count(*) FILTER (pattern_type = 'chart') AS na, count(*) FILTER (pattern_type = 'volume') AS nb FROM patterns WHERE actual_return IS NOT NULL)
-SELECT round(a, 6) AS a_performance, round(b, 6) AS b_performance, round((b - a) / abs(a), 6) AS improvement, na AS sample_size_a, nb AS sample_size_b FROM g""")
+VARIANTS = f"""g AS (SELECT avg(actual_return) FILTER (pattern_type = 'chart') AS a, avg(actual_return) FILTER (pattern_type = 'volume') AS b, count(*) FILTER (pattern_type = 'chart') AS na, count(*) FILTER (pattern_type = 'volume') AS nb,
+  var_samp(actual_return) FILTER (pattern_type = 'chart') AS va, var_samp(actual_return) FILTER (pattern_type = 'volume') AS vb FROM patterns WHERE actual_return IS NOT NULL),
+h AS (SELECT *, (a - b) / sqrt((va * (na - 1) + vb * (nb - 1)) / (na + nb - 2) * (1 / na + 1 / nb)) AS t, na + nb - 2 AS df, (b - a) / abs(a) AS gain FROM g),
+i AS (SELECT *, {t_two_sided('t', 'df')} AS p FROM h)"""
+
+
+@query("val11_ab_test", f"""WITH {PATTERNS}, {VARIANTS}
+SELECT round(a, 6) AS a_performance, round(b, 6) AS b_performance, round(gain, 6) AS improvement, na AS sample_size_a, nb AS sample_size_b, round(p, 6) AS p_value, p < 0.05 AS is_significant,
+  CASE WHEN p < 0.05 AND gain > 0.1 THEN 'adopt B: better by ' || round(gain * 100, 1) || ' %' WHEN p < 0.05 AND gain < -0.1 THEN 'keep A: B is worse by ' || round(-gain * 100, 1) || ' %' ELSE 'undecided: test on' END AS recommendation FROM i""")
 def _(t):
     s = stored(t)
     df = va.ab_test(s.filter("pattern_type = 'chart'"), s.filter("pattern_type = 'volume'"))
-    return rounded(df, ["sample_size_a", "sample_size_b"], a_performance="a_performance", b_performance="b_performance", improvement="improvement")
+    return rounded(df, ["sample_size_a", "sample_size_b", "is_significant", "recommendation"], a_performance="a_performance", b_performance="b_performance", improvement="improvement", p_value="p_value")
 
 
-@query("val12_fp_fn_analysis", f"""WITH {PATTERNS}, v AS (SELECT confidence, confidence > 0.6 AND actual_outcome <> 'success' AS fp, confidence <= 0.6 AND actual_outcome = 'success' AS fn FROM patterns WHERE actual_outcome IS NOT NULL)
-SELECT count(*) FILTER (fp) AS false_positives, count(*) FILTER (fn) AS false_negatives, round(count(*) FILTER (fp) / count(*), 6) AS false_positive_rate, round(avg(confidence) FILTER (fp), 6) AS avg_fp_confidence, round(avg(confidence) FILTER (fn), 6) AS avg_fn_confidence FROM v""")
+@query("val12_fp_fn_analysis", f"""WITH {PATTERNS}, v AS (SELECT confidence, confidence > 0.6 AND actual_outcome <> 'success' AS fp, confidence <= 0.6 AND actual_outcome = 'success' AS fn FROM patterns WHERE actual_outcome IS NOT NULL),
+w AS (SELECT count(*) AS n, count(*) FILTER (fp) AS a, count(*) FILTER (fn) AS b, avg(confidence) FILTER (fp) AS ca, avg(confidence) FILTER (fn) AS cb FROM v)
+SELECT a AS false_positives, b AS false_negatives, round(a / n, 6) AS false_positive_rate, round(b / n, 6) AS false_negative_rate, round(ca, 6) AS avg_fp_confidence, round(cb, 6) AS avg_fn_confidence,
+  array_to_string(list_filter([CASE WHEN a > b * 2 THEN 'raise the threshold: ' || a || ' false positives to ' || b || ' false negatives' END, CASE WHEN b > a * 2 THEN 'lower the threshold: ' || b || ' false negatives to ' || a || ' false positives' END,
+    CASE WHEN a > 0 AND ca > 0.7 THEN 'rules too loose: false positives have a mean confidence of ' || round(ca, 2) END], lambda x: x IS NOT NULL), '; ') AS advice FROM w""")
 def _(t):
-    df = va.fp_fn(*predictions(t))
-    return rounded(df, ["false_positives", "false_negatives"], false_positive_rate="false_positive_rate", avg_fp_confidence="avg_fp_confidence", avg_fn_confidence="avg_fn_confidence")
+    df = va.fp_fn(*predictions(t)).withColumn("advice", F.array_join("recommendations", "; "))
+    return rounded(df, ["false_positives", "false_negatives", "advice"], false_positive_rate="false_positive_rate", false_negative_rate="false_negative_rate", avg_fp_confidence="avg_fp_confidence", avg_fn_confidence="avg_fn_confidence")
 
 
 @query("val12_common_mistakes", f"""WITH {PATTERNS}, v AS (SELECT CASE WHEN confidence > 0.6 AND actual_outcome <> 'success' THEN 'false_positive' WHEN confidence <= 0.6 AND actual_outcome = 'success' THEN 'false_negative' END AS verdict, pattern_name FROM patterns WHERE actual_outcome IS NOT NULL),
