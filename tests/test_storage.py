@@ -158,3 +158,23 @@ def test_retention_and_dedupe_stream_state_is_bounded(spark, tables):
             times.append(r.arrived_at)
     got = [(r.symbol, r.ts, r.arrived_at) for r in qa.dedupe(df).collect()]
     assert sorted(got) == sorted((s, t, a) for (s, t), times in kept.items() for a in times)
+
+
+def test_late_bars_take_their_place(spark, tmp_path):
+    """Bars shuffled over batches within the lateness give what bars in order give; later ones drop out."""
+    rng = np.random.default_rng(6)
+    prices = 100 + np.cumsum(rng.normal(size=120))
+    df = bars(spark, prices)
+    order = sorted(range(120), key=lambda i: i + rng.uniform(0, 4))  # late by at most four bars
+    paths = {k: str(tmp_path / k) for k in ("plain", "late")}
+    for name, places in (("plain", list(range(120))), ("late", order)):
+        for k in range(0, 120, 30):
+            df.join(spark.createDataFrame([(p,) for p in places[k : k + 30]], "p int"), F.unix_seconds("ts") == 1704067200 + F.col("p") * 3600).drop("p").coalesce(1).write.mode("append").parquet(paths[name])
+    df.filter("close > 0").limit(1).withColumn("close", F.lit(1e9)).coalesce(1).write.mode("append").parquet(paths["late"])  # the first bar again, far behind the watermark
+
+    def run(name):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(paths[name])
+        return {r.ts: r for r in sinks.drained(live.ema_stream(stream, lateness="6 hours")).collect()}
+
+    plain, late = run("plain"), run("late")
+    assert len(plain) == 113 and plain == late  # those within six hours of the end are still held

@@ -67,7 +67,8 @@ def _(t):
 {smooth("f", "bars", "close", "(2.0::DOUBLE / 13)")}, {smooth("s", "bars", "close", "(2.0::DOUBLE / 27)")}, m AS (SELECT symbol, idx, f.y - s.y AS y FROM f JOIN s USING (symbol, idx)), {smooth("g", "m", "y", "(2.0::DOUBLE / 10)", 25)}
 SELECT e.symbol, b.ts, CASE WHEN b.idx >= 19 THEN round(e.y, 6) END AS ema, CASE WHEN b.idx >= 14 THEN round(a.y, 6) END AS atr, CASE WHEN b.idx >= 14 AND u.y + l.y > 0 THEN round(100 * u.y / (u.y + l.y), 6) END AS rsi,
   CASE WHEN b.idx >= 25 THEN round(m.y, 6) END AS macd, CASE WHEN b.idx >= 25 THEN round(g.y, 6) END AS signal
-FROM e JOIN bars b USING (symbol, idx) JOIN a USING (symbol, idx) JOIN u USING (symbol, idx) JOIN l USING (symbol, idx) JOIN m USING (symbol, idx) LEFT JOIN g USING (symbol, idx)""")
+FROM e JOIN bars b USING (symbol, idx) JOIN a USING (symbol, idx) JOIN u USING (symbol, idx) JOIN l USING (symbol, idx) JOIN m USING (symbol, idx) LEFT JOIN g USING (symbol, idx)
+WHERE b.ts < (SELECT max(ts) FROM bars) - INTERVAL 2 HOUR""")
 def _(t):
     out = sinks.drained(live.ema_stream(bar_stream(t)))
     return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.round(c, 6).alias(c) for c in ("ema", "atr", "rsi", "macd", "signal")])

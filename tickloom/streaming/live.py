@@ -82,22 +82,34 @@ def bars_stream(ticks: DataFrame, width: str = "1 minute", lateness: str = "10 m
     return g.select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-_STATE = "rows long, ema double, gain double, loss double, fast double, slow double, signal double, last double, range double"
-_LIVE = "symbol string, timeframe string, ts timestamp, close double, ema double, rsi double, macd double, signal double, atr double"
+_STATE = "rows long, ema double, gain double, loss double, fast double, slow double, signal double, last double, range double, done long, held binary"
+_LIVE = "symbol string, timeframe string, us long, close double, ema double, rsi double, macd double, signal double, atr double"
+_HELD = np.dtype([("us", "<i8"), ("high", "<f8"), ("low", "<f8"), ("close", "<f8")])
 
 
-def ema_stream(bars: DataFrame, ema: int = 20, rsi: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, atr: int = 14) -> DataFrame:
-    """EMA, RSI, MACD and ATR of each new closed bar from nine numbers of state per series.
+def ema_stream(bars: DataFrame, ema: int = 20, rsi: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, atr: int = 14, lateness: str = "2 hours") -> DataFrame:
+    """EMA, RSI, MACD and ATR of each closed bar from nine numbers of state per series.
 
-    A series' bars must arrive in order over the batches; within a batch they are sorted here.
+    Bars may come late by up to ``lateness``, over batches too: state holds them (32 bytes each) until the watermark has passed, and a timer
+    releases them in order. Of bars with one time the last that came counts. Bars behind the watermark drop out.
     """
     require(bars, "high", "low", "close")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ts")
-        n, e, g, lo, f, s, sig, last, tr = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        n, e, g, lo, f, s, sig, last, tr, done, raw = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, -(1 << 62), b"")
+        parts = [np.frombuffer(bytes(raw), _HELD)]
+        for rows in batches if not state.hasTimedOut else ():
+            new = np.empty(len(rows), _HELD)
+            for c in _HELD.names:
+                new[c] = rows[c].to_numpy()
+            parts.append(new)
+        held = np.concatenate(parts)
+        held = held[np.argsort(held["us"], kind="stable")]
+        held = held[np.append(held["us"][1:] != held["us"][:-1], True)] if len(held) else held
+        mark = state.getCurrentWatermarkMs()
+        ready, held = held[(held["us"] < mark * 1000) & (held["us"] > done)], held[held["us"] >= mark * 1000]
         out = []
-        for ts, high, low, close in zip(rows["ts"], rows["high"], rows["low"], rows["close"]):
+        for us, high, low, close in ready.tolist():
             reach = high - low
             if n == 0:
                 e, f, s, last, tr = close, close, close, close, reach
@@ -113,13 +125,16 @@ def ema_stream(bars: DataFrame, ema: int = 20, rsi: int = 14, fast: int = 12, sl
             if m is not None:
                 sig = m if n == slow - 1 else sig + (m - sig) * 2 / (signal + 1)
             strength = 100 * g / (g + lo) if n >= rsi and g + lo > 0 else None
-            out.append((*key, ts, close, e if n >= ema - 1 else None, strength, m, None if m is None else sig, tr if n >= atr else None))
-            n, last = n + 1, close
-        state.update((n, e, g, lo, f, s, sig, last, tr))
-        yield pd.DataFrame(out, columns=["symbol", "timeframe", "ts", "close", "ema", "rsi", "macd", "signal", "atr"])
-
-    return bars.select(*SERIES, "ts", "high", "low", "close").groupBy(*SERIES).applyInPandasWithState(
-        step, _LIVE, _STATE, "append", GroupStateTimeout.NoTimeout)
+            out.append((*key, us, close, e if n >= ema - 1 else None, strength, m, None if m is None else sig, tr if n >= atr else None))
+            n, last, done = n + 1, close, us
+        state.update((n, e, g, lo, f, s, sig, last, tr, done, held.tobytes()))
+        if len(held):
+            state.setTimeoutTimestamp(max(int(held["us"][0]) // 1000 + 1, mark + 1))
+        yield pd.DataFrame(out, columns=["symbol", "timeframe", "us", "close", "ema", "rsi", "macd", "signal", "atr"])
+
+    rows = bars.withWatermark("ts", lateness).select(*SERIES, "ts", F.unix_micros("ts").alias("us"), *[F.col(c).cast("double").alias(c) for c in _HELD.names[1:]])
+    out = rows.groupBy(*SERIES).applyInPandasWithState(step, _LIVE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*SERIES, F.timestamp_micros("us").alias("ts"), "close", "ema", "rsi", "macd", "signal", "atr")
 
 
 _BAR = np.dtype([("us", "<i8"), *[(c, "<f8") for c in ("open", "high", "low", "close", "volume")]])
