@@ -99,7 +99,8 @@ def permuted(source: Column, turn: Column, place: Column, n: Column) -> Column:
         return F.aggregate(rounds, pair, half, lambda s: s["l"] + s["r"] * a)
 
     walk = F.array(*[F.lit(k) for k in range(WALK)])
-    return F.aggregate(walk, step(place.cast("long")), lambda x, _: F.when(x < n, x).otherwise(step(x)))
+    onward = lambda y: F.when(y < n, y).otherwise(F.aggregate(walk, y, lambda x, _: F.when(x < n, x).otherwise(step(x))))
+    return F.get(F.transform(F.array(step(place.cast("long"))), onward), F.lit(0))
 
 
 def takes(sources: DataFrame, block: int = BLOCK, cap: float = CAP) -> DataFrame:
@@ -134,7 +135,9 @@ def takes(sources: DataFrame, block: int = BLOCK, cap: float = CAP) -> DataFrame
     )
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("n", F.least(F.col("n"), F.floor(F.col("blocks") * F.lit(cap)) - F.col("start")))
-    slot = counts.where("n > 0").select("rank", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot"))
+    # the few rows of counts are dealt out before they become slots, so that no source's slots are made in one task
+    dealt = counts.where("n > 0").repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard")
+    slot = dealt.select("rank", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot"))
     turn, place = F.floor(F.col("slot") / F.col("blocks")), F.pmod("slot", "blocks")
     return slot.select("rank", permuted(F.col("rank"), turn, place, F.col("blocks")).alias("block")).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
