@@ -5,7 +5,7 @@ pairs that occur in the templates, and the share of words that do not. A logisti
 `unknown` is fitted on variants of the templates (words lost, lines cut, other words around), against a bounded sample of the
 corpus's own paragraphs. Held-out paragraphs calibrate it: a temperature for the probabilities, and the least probability that
 lets almost no held-out unknown paragraph through. A family is reported only if a template of it confirms the paragraph: most of
-the template's word pairs stand in the paragraph, or nearly all of the paragraph's in the template.
+the template's word pairs stand in the paragraph, or nearly all of the paragraph's in the template, and no other family's fits as well.
 
 Only paragraphs with LEAST_SEEDS rare word pairs of templates are scored; without them no template can confirm one.
 """
@@ -30,11 +30,29 @@ TEMPLATES = {
         "SPDX-License-Identifier: Apache-2.0",
         "This project is released under the Apache 2.0 license.",
     ],
+    "Apache-1.1": [
+        "Licensed under the Apache License, Version 1.1.",
+        "Licensed under the Apache Software License, Version 1.1.",
+        "SPDX-License-Identifier: Apache-1.1",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "Licensed under the GNU AGPL v3.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -63,6 +81,15 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -75,6 +102,18 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
     "CC0": [
         "Released under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
@@ -208,7 +247,6 @@ class Scanner:
         family = self._softmax(z / self.temperature)[:, :-1].max(axis=1)
         foreign = family[truth == classes - 1]
         self.least = max(0.5, float(np.quantile(foreign, 0.999)) if len(foreign) else 0.5)
-        self.least = min(self.least, 0.9)
 
     def similarity(self, h: np.ndarray, family: str) -> float:
         """How well a template of the family confirms the paragraph: the better of the two shares, the second only by its rule."""
@@ -227,8 +265,12 @@ class Scanner:
         k = int(p[:-1].argmax())
         if p[k] < self.least:
             return None
-        s = self.similarity(h, self.families[k])
-        return (self.families[k], float(p[k]), s) if s >= COVERED else None
+        near = {f: self.similarity(h, f) for f in self.families}
+        s = near[self.families[k]]
+        # a template of another family that fits better, or as well, speaks against the prediction
+        if s < COVERED or any(o >= s for f, o in near.items() if f != self.families[k]):
+            return None
+        return self.families[k], float(p[k]), s
 
 
 def sampled_paragraphs(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> list[str]:
@@ -237,7 +279,7 @@ def sampled_paragraphs(docs: DataFrame, text: str = "text", size: int = SAMPLE)
     share = min(1.0, size / max(1, n))
     drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.split(F.col(text), "\n").alias("p"))
     one = drawn.select(F.get("p", F.pmod(F.hash("p"), F.size("p"))).alias("p"))
-    return [r["p"][:2000] for r in one.where(F.length("p") > 0).orderBy(F.xxhash64("p")).limit(4 * size).collect()]
+    return [r["p"] for r in one.where(F.length("p") > 0).orderBy(F.xxhash64("p")).limit(4 * size).collect()]
 
 
 def scan(docs: DataFrame, scanner: Scanner, key: str = "doc_id", text: str = "text") -> DataFrame:
