@@ -128,10 +128,11 @@ def _(t):
         F.round(F.sum(part("price").cast("double")), 2).alias("total"))
 
 
-@query("src10_series_sink", f"""WITH {HOURLY} SELECT 'market_data' AS data_type, '1h' AS granularity, strftime(ts, '%Y-%m-%d') AS date, count(*) AS bars FROM bars GROUP BY 3""")
+@query("src10_series_sink", f"""WITH {HOURLY} SELECT 'market_data' AS data_type, '1h' AS granularity, strftime(ts, '%Y-%m-%d') AS date, count(*) AS bars, count(DISTINCT (symbol, ts)) AS keys, round(sum(close), 3) AS closes, round(sum(volume), 3) AS volume FROM bars GROUP BY 3""")
 def _(t):
     back = sinks.written(t.spark, lambda path: storage.write_bars(t.hourly, path))
-    return back.groupBy("data_type", "granularity", F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("bars"))
+    return back.groupBy("data_type", "granularity", F.date_format("date", "yyyy-MM-dd").alias("date")).agg(
+        F.count(F.lit(1)).alias("bars"), F.count_distinct("symbol", "ts").alias("keys"), F.round(F.sum("close"), 3).alias("closes"), F.round(F.sum("volume"), 3).alias("volume"))
 
 
 @query("src11_last_records", f"WITH {TICKS} SELECT symbol, tick_id, price FROM ticks ORDER BY ts DESC, tick_id DESC LIMIT 100")
@@ -139,15 +140,15 @@ def _(t):
     return storage.last_records(t.ticks, 100, tie="tick_id").select("symbol", "tick_id", "price")
 
 
-@query("src12_composite_sink", f"WITH {HOURLY} SELECT s AS sink, symbol, count(*) AS bars FROM bars CROSS JOIN (SELECT unnest(['a', 'b']) AS s) GROUP BY 1, 2")
+@query("src12_composite_sink", f"WITH {HOURLY} SELECT s AS sink, symbol, count(*) AS bars, round(sum(close), 3) AS closes, max(ts) AS newest FROM bars CROSS JOIN (SELECT unnest(['a', 'b']) AS s) GROUP BY 1, 2")
 def _(t):
     a, b = sinks.folder(t.spark), sinks.folder(t.spark)
     storage.fan_out(t.hourly, [lambda d: storage.write_bars(d, a), lambda d: storage.write_bars(d, b)])
     both = t.spark.read.parquet(a).withColumn("sink", F.lit("a")).unionByName(t.spark.read.parquet(b).withColumn("sink", F.lit("b")))
-    return both.groupBy("sink", "symbol").agg(F.count(F.lit(1)).alias("bars"))
+    return both.groupBy("sink", "symbol").agg(F.count(F.lit(1)).alias("bars"), F.round(F.sum("close"), 3).alias("closes"), F.max("ts").cast("timestamp_ntz").alias("newest"))
 
 
-@query("src13_backup_sink", f"WITH {HOURLY} SELECT 'backup' AS sink, symbol, count(*) AS bars FROM bars GROUP BY 2")
+@query("src13_backup_sink", f"WITH {HOURLY} SELECT 'backup' AS sink, symbol, count(*) AS bars, round(sum(close), 3) AS closes, max(ts) AS newest FROM bars GROUP BY 2")
 def _(t):
     path = sinks.folder(t.spark)
 
@@ -155,7 +156,8 @@ def _(t):
         raise OSError("primary store is away")
 
     took = storage.write_with_fallback(t.hourly, broken, lambda d: storage.write_bars(d, path), max_retries=2, backoff=0.0)
-    return t.spark.read.parquet(path).groupBy(F.lit(took).alias("sink"), "symbol").agg(F.count(F.lit(1)).alias("bars"))
+    return t.spark.read.parquet(path).groupBy(F.lit(took).alias("sink"), "symbol").agg(
+        F.count(F.lit(1)).alias("bars"), F.round(F.sum("close"), 3).alias("closes"), F.max("ts").cast("timestamp_ntz").alias("newest"))
 
 
 @query("src14_upsert_bars", f"""

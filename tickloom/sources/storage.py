@@ -20,8 +20,8 @@ def with_partitions(df: DataFrame, data_type: str, granularity: str | None = Non
 
 def _write(df: DataFrame, path: str, mode: str) -> None:
     parts = ["data_type", "granularity", "date"]
-    # Rows of a date go to few tasks, so a date gets few files; a busy date still spreads by symbol.
-    (df.repartition("date", "symbol").sortWithinPartitions("date", "symbol", "ts")
+    # A date goes to few tasks and gets few files; adaptive execution splits what a busy symbol's day makes too large, and joins small parts.
+    (df.hint("rebalance", "date", "symbol").sortWithinPartitions("date", "symbol", "ts")
      .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
 
 
