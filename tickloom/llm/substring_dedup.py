@@ -1,12 +1,15 @@
-"""Substring dedup by relative Lempel-Ziv parsing against content-defined reference blocks.
+"""Substring dedup against content-defined reference blocks.
+
+This stands in for relative Lempel-Ziv parsing: no match is extended to a longest factor and no list of factors is made; equal
+blocks and windows are found by their hashes, which removes the same words (README, "Choices").
 
 Every document is cut at the same places wherever the same words stand: each window of WINDOW words has a seed, the smallest hash
 of the SEED-word sequences in it, and consecutive windows with one seed form a block. The blocks of all documents are the
-reference, indexed by seed. A document is parsed against every indexed block of its seeds:
+reference, indexed by seed. A document is held against every indexed block of its seeds:
 
-* a whole block that a document with a smaller id also has becomes part of a factor at once (the greedy step);
-* a block that differs from others of its seed lies at a factor's boundary: there, every window is compared with the windows of
-  the other blocks of that seed, so a factor ends at the exact word.
+* a whole block that a document with a smaller id also has is covered at once;
+* in a block that differs from others of its seed, every window is compared with the windows of the other blocks of that seed, so
+  what is covered ends at the exact word.
 
 Equal windows have equal seeds, so a window in an earlier document is never missed. Sources are only blocks' first documents: a
 later document with the same block is covered whole. A window's fate is min(document) by its hash, never a pair of documents, so
