@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions import frames as fr
@@ -19,6 +19,12 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, F.when(b != 0, b))
 
 
+def correlation(x: str | Column, y: str | Column, w: WindowSpec | None = None) -> Column:
+    """Pearson's correlation over the rows that have both (of a group, or of a window); null where one of them does not vary."""
+    xx, yy, xy = (a if w is None else a.over(w) for a in (F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)))
+    return safe_div(xy, F.sqrt(xx * yy))
+
+
 def sma(bars: DataFrame, period: int = 20, col: str = "close", out: str = "sma") -> DataFrame:
     require(bars, col)
     positive(period=period)

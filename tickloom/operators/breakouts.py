@@ -52,13 +52,13 @@ def breakout_patterns(
             "descending_triangle", ok & flat_floor & (ps < 0) & (c < tm * (1 - threshold)), "bearish", 0.75,
             span=WINDOW, target=c - (highest - tm), stop=tm * 1.02,
             meta={"support_level": tm, "resistance_slope": ps, "breakout_volume": F.col("volume")}))
-        # Projection uses the absolute row minus the window-relative position of the last extremum.
-        last_p, last_t = F.element_at(peaks, -1), F.element_at(troughs, -1)
+        # Projection uses the absolute row minus the window-relative position of the last extremum. A window may have none.
+        last_p, last_t = F.try_element_at(peaks, F.lit(-1)), F.try_element_at(troughs, F.lit(-1))
         top = last_p["y"] + ps * (F.col("idx") - last_p["x"])
         floor = last_t["y"] + ts * (F.col("idx") - last_t["x"])
         closing = ok & (ps < 0) & (ts > 0)
         up, down = c > top * (1 + threshold), c < floor * (1 - threshold)
-        height = F.element_at(peaks, 1)["y"] - F.element_at(troughs, 1)["y"]
+        height = F.get(peaks, F.lit(0))["y"] - F.get(troughs, F.lit(0))["y"]
         rules["symmetrical"].append(Rule(
             "symmetrical_triangle", closing & (up | down), F.when(up, "bullish").otherwise("bearish"), 0.7,
             span=WINDOW, target=F.when(up, c + height).otherwise(c - height),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import frames as fr
 from tickloom.functions.stats import pooled_t, t_p_value
+from tickloom.operators.averages import correlation
 from tickloom.schemas import SERIES, require
 
 # Default weights.
@@ -284,7 +285,7 @@ def learning_metrics(outcomes: DataFrame, key: str = "pattern_name", order: tupl
     early, late = F.col("idx") < 50, F.col("idx") >= F.col("n") - 50
 
     def corr(when: Column) -> Column:
-        v = F.corr(F.when(when, c), F.when(when, r))
+        v = correlation(F.when(when, c), F.when(when, r))
         return F.when(~F.isnan(v), v)
 
     def acc(when: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import frames as fr
 from tickloom.functions.rules import Rule, emit
 from tickloom.functions.stats import normal_upper
-from tickloom.operators.averages import safe_div
+from tickloom.operators.averages import correlation, safe_div
 from tickloom.schemas import SERIES, require
 
 
@@ -26,7 +26,7 @@ def _with_corr(df: DataFrame, n: int) -> DataFrame:
     df = df.withColumns({"_dp": _change("close"), "_dv": _change("volume")})
     w = fr.last_rows(n)
     whole = (F.count("_dp").over(w) == n) & (F.count("_dv").over(w) == n)
-    return df.withColumn("pv_corr", F.when(whole, finite(F.corr("_dp", "_dv").over(w))))
+    return df.withColumn("pv_corr", F.when(whole, finite(correlation("_dp", "_dv", w))))
 
 
 def pv_corr(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -390,7 +390,7 @@ def volume_signal_strength(bars: DataFrame, lookback: int = 20) -> DataFrame:
     df = df.withColumns({
         "_mean": F.avg("volume").over(w), "_sd": F.stddev_samp("volume").over(w),
         "_slope": F.regr_slope("volume", F.col("pos").cast("double")).over(w), "_long": F.avg("volume").over(fr.rows(-50, -1)),
-        "_corr": finite(F.corr("_dp", "_dv").over(inner)), "_k": F.least(F.count("_dp").over(inner), F.count("_dv").over(inner)),
+        "_corr": finite(correlation("_dp", "_dv", inner)), "_k": F.least(F.count("_dp").over(inner), F.count("_dv").over(inner)),
     })
     one, zero, mean = F.lit(1.0), F.lit(0.0), F.when(F.col("_mean") > 0, F.col("_mean"))
     surge = F.coalesce(F.least(one, v / mean / 2), zero)
