@@ -21,9 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a language that is known: those without letters go, and those that resemble its prototype less than nearly
     all labelled documents of their length do. Null and empty texts have no letters; ties cannot occur; rows that repeat share a fate.
     """
-    sample = language_id.sampled(docs)
-    prototypes = language_id.profiles(sample)
-    floors = language_id.least_scores(sample, prototypes)
+    labelled = docs.where("lang is not null")
+    prototypes = language_id.profiles(labelled)
+    floors = language_id.least_scores(labelled, prototypes)
     pred, cosine = spare(docs, "pred"), spare(docs, "cosine")
     judged = language_id.identify(docs, prototypes, names_out=(pred, cosine))
     return judged.where((F.col(pred) != language_id.UNKNOWN) & (F.col(cosine) >= language_id.least_score(floors))).select(docs.columns)

@@ -25,8 +25,6 @@ SLOTS = 64
 UNKNOWN = "und"
 #: Texts in one matrix product.
 ROWS = 128
-#: A classifier may learn from a bounded sample: so many labelled texts are expected in it.
-TRAIN_TEXTS = 20_000
 
 _cache: dict[str, np.ndarray] = {}
 
@@ -151,13 +149,6 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], text: str = "t
     return docs.mapInArrow(predict, schema_with(docs, added))
 
 
-def sampled(docs: DataFrame, key: str = "doc_id", label: str = "lang", rows: int = TRAIN_TEXTS) -> DataFrame:
-    """About `rows` labelled rows, chosen by a hash of the key: the bound on what the classifier learns from."""
-    known = docs.where(F.col(label).isNotNull())
-    n = known.count()
-    return known if n <= rows else known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * rows / n))
-
-
 def length_class(text: str = "text") -> Column:
     """Binary logarithm of the text's length."""
     return F.floor(F.log2(F.length(text) + 1)).cast("int")
@@ -167,10 +158,11 @@ def least_scores(labelled: DataFrame, prototypes: dict[str, list[float]], text:
     """(length class, score) pairs: what nearly all labelled texts of this length exceed, less some slack.
 
     Lengths with fewer than `rows` texts say nothing; a text is held to the nearest shorter length that does, and to nothing below
-    the first. The labelled texts may be the bounded sample that the prototypes come from.
+    the first. All labelled texts count; scores are counted to six places before they meet, so a length has at most a million of them.
     """
     judged = identify(labelled.select(F.col(text).alias("text")), prototypes, names_out=("found", "cosine")).where(F.col("found") != UNKNOWN)
-    bins = judged.groupBy(length_class().alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", F.lit(share)).alias("q")).where(F.col("n") >= rows)
+    counts = judged.groupBy(length_class().alias("bin"), F.round("cosine", 6).alias("cosine")).agg(F.count(F.lit(1)).alias("times"))
+    bins = counts.groupBy("bin").agg(F.sum("times").alias("n"), F.percentile("cosine", F.lit(share), "times").alias("q")).where(F.col("n") >= rows)
     return [(r["bin"], slack * r["q"]) for r in bins.orderBy("bin").collect()]
 
 
@@ -188,6 +180,6 @@ def held_out_prediction(docs: DataFrame) -> DataFrame:
     A null doc_id belongs to neither side: nothing is learned from it, and held_out is false.
     """
     fold = crc_mod("doc_id", 4)
-    learned = profiles(sampled(docs.where(fold != 2)))
+    learned = profiles(docs.where(fold != 2))
     every = docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text")
     return identify(every, learned).select("doc_id", "held_out", "lang_pred", "score")
