@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,48 @@ def match_subscriptions(patterns: DataFrame, subs: DataFrame, salts: int = 16) -
     return hit.drop("_salt", "_sym", "_type", "_min").dropDuplicates(["subscriber", "pattern_id"])
 
 
+def match_counts(patterns: DataFrame, subs: DataFrame) -> DataFrame:
+    """Per subscriber, how many rows :func:`match_subscriptions` has for it: subscriber, matches. Pairs are counted, not listed.
+
+    Patterns and thresholds of a key (symbol or '*', type or '*') are ordered by confidence; a subscriber's keys meet no pattern
+    twice, so their counts add up. Pairs are listed for the rest only: patterns whose id stands for several symbols or types, and
+    subscribers that name symbols or types in some rows and all in others.
+    """
+    key, any_ = ["_sym", "_type"], F.lit("*")
+
+    def listed(c: str) -> Column:
+        return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.col(c)).otherwise(F.array(any_))
+
+    s = subs.select("subscriber", F.coalesce("min_confidence", F.lit(0.0)).alias("_at"), F.explode(listed("symbols")).alias("_sym"), listed("pattern_types").alias("_types"))
+    s = s.select("subscriber", "_at", "_sym", F.explode("_types").alias("_type")).filter("_sym is not null and _type is not null")
+    own = Window.partitionBy("subscriber")
+    kind = F.concat((F.col("_sym") == "*").cast("int"), (F.col("_type") == "*").cast("int"))
+    s = s.groupBy("subscriber", *key).agg(F.min("_at").alias("_at")).withColumn("_mixed", F.min(kind).over(own) != F.max(kind).over(own))
+
+    p = patterns.filter("confidence is not null").groupBy("pattern_id", "symbol", "pattern_type").agg(F.max("confidence").alias("confidence"))
+    p = p.withColumn("_several", F.count(F.lit(1)).over(Window.partitionBy("pattern_id")) > 1)
+
+    points = p.filter("not _several").withColumn("_sym", F.explode(F.array_distinct(F.array("symbol", any_))))
+    points = points.withColumn("_type", F.explode(F.array_distinct(F.array("pattern_type", any_)))).filter("_sym is not null and _type is not null")
+    points = points.groupBy(*key, F.col("confidence").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    plain = s.filter("not _mixed")
+    # Confidences lie between 0 and 1; all beyond share the outer slices. A slice is ordered by itself, slices are summed.
+    cut = F.floor(F.greatest(F.lit(-1.0), F.least(F.col("_at"), F.lit(2.0))) * 4096)
+    both = points.unionByName(plain.select(*key, "_at").distinct().withColumn("_n", F.lit(0).cast("long"))).withColumn("_slice", cut)
+    above = Window.partitionBy(*key).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = both.groupBy(*key, "_slice").agg(F.sum("_n").alias("_c")).select(*key, "_slice", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*key, "_slice").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = both.withColumn("_in", F.sum("_n").over(inside)).filter("_n = 0").join(offsets, [*key, "_slice"])
+    counted = plain.join(ranked.select(*key, "_at", (F.col("_off") + F.col("_in")).alias("matches")), [*key, "_at"])
+
+    def criteria(rows: DataFrame) -> DataFrame:
+        return rows.select("subscriber", F.array("_sym").alias("symbols"), F.array("_type").alias("pattern_types"), F.col("_at").alias("min_confidence"))
+
+    rest = match_subscriptions(p.filter("_several"), criteria(plain)).unionByName(match_subscriptions(p, criteria(s.filter("_mixed"))))
+    rest = rest.groupBy("subscriber").agg(F.count(F.lit(1)).alias("matches"))
+    return counted.select("subscriber", "matches").unionByName(rest).groupBy("subscriber").agg(F.sum("matches").alias("matches")).filter("matches > 0")
+
+
 def retention_days(confidence: Column) -> Column:
     """Days a pattern is kept: long for high confidence (tiers inferred)."""
     return F.when(confidence >= 0.8, 180).otherwise(30)
