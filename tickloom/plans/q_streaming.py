@@ -101,5 +101,5 @@ def _(t):
 SELECT channel, count(*) AS alerts FROM (SELECT 'database' AS channel FROM m UNION ALL SELECT 'websocket' FROM m WHERE confidence >= 0.8 UNION ALL SELECT 'email' FROM m WHERE confidence >= 0.9) GROUP BY 1""")
 def _(t):
     patterns = patterns_from_orders(live.table_stream(t.spark, t.path, "orders"))
-    out = sinks.drained(live.alert_stream(patterns, subscriptions(t)).select("subscriber", "pattern_id", "channel", "priority"))
-    return out.groupBy("channel").agg(F.count(F.lit(1)).alias("alerts"))
+    out = sinks.drained(live.alert_stream(patterns, live.alert_classes(subscriptions(t))).select("subscriber", "members", "pattern_id", "channel", "priority"))
+    return out.groupBy("channel").agg(F.sum("members").alias("alerts"))

@@ -239,16 +239,25 @@ def by_symbol(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions, "symbol") if partitions else df.repartition("symbol")
 
 
+def alert_classes(subs: DataFrame) -> DataFrame:
+    """Subscriptions with equal criteria as one row each, with the number of its ``members``: all of them get the same alerts."""
+    names = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))).alias(c)
+    of = [names("symbols"), names("pattern_types"), F.coalesce("min_confidence", F.lit(0.0)).alias("min_confidence")]
+    classes = subs.groupBy(*of).agg(F.count(F.lit(1)).alias("members"))
+    return classes.withColumn("subscriber", F.sha2(F.to_json(F.struct("symbols", "pattern_types", "min_confidence")), 256))
+
+
 def alert_stream(patterns: DataFrame, subs: DataFrame, salts: int = 16) -> DataFrame:
     """Patterns matched to subscriptions, one row per channel; works on a stream joined to a static table.
 
     Everything matches '*', so keys carry a salt: a pattern picks one, a subscription has all. A subscription names each of its symbols
-    once, and one for all symbols has no other key, so a pattern meets it once.
+    once, and one for all symbols has no other key, so a pattern meets it once. ``members`` of :func:`alert_classes` go along.
     """
     def listed(c: str) -> Column:
         return F.coalesce(F.size(c), F.lit(0)) == 0
 
-    s = subs.select("subscriber", F.col("pattern_types").alias("_t"), F.coalesce("min_confidence", F.lit(0.0)).alias("_m"),
+    along = [c for c in ("members",) if c in subs.columns]
+    s = subs.select("subscriber", *along, F.col("pattern_types").alias("_t"), F.coalesce("min_confidence", F.lit(0.0)).alias("_m"),
                     F.explode(F.when(listed("symbols"), F.array(F.lit("*"))).otherwise(F.array_distinct("symbols"))).alias("_key"))
     s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     p = patterns.withColumns({"_salt": F.pmod(F.xxhash64("pattern_id"), F.lit(salts)).cast("int"), "_key": F.explode(F.array(F.col("symbol"), F.lit("*")))})
