@@ -54,3 +54,21 @@ def test_the_language_stage_learns_from_all_labelled_rows(spark, monkeypatch, ca
     monkeypatch.setattr(language_id, "least_scores", lambda d, p: (call == "least_scores" and seen.append(d.count())) or [])
     corpus_pipeline.identify_language(spark, docs, "")
     assert seen == [27_000]
+
+
+def test_least_scores_are_quantiles_of_all_texts(spark):
+    import numpy as np
+
+    from tickloom.llm import language_id
+
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    rows = [(i, " ".join(words[(i * k) % 7] for k in range(1, 4 + i % 9)), "en") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (400, None, "en"), (401, "...", "en")], "doc_id long, text string, lang string")
+    prototypes = language_id.profiles(docs)
+    judged = language_id.identify(docs, prototypes).where("lang_pred = 'en'").select(language_id.length_class().alias("bin"), "score").collect()
+    want = {}
+    for r in judged:
+        want.setdefault(r.bin, []).append(r.score)
+    want = {b: 0.75 * np.quantile(v, 0.001) for b, v in want.items() if len(v) >= 50}
+    got = dict(language_id.least_scores(docs, prototypes))
+    assert want and got.keys() == want.keys() and all(abs(got[b] - want[b]) < 1e-5 for b in want)

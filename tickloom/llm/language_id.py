@@ -162,7 +162,7 @@ def least_scores(labelled: DataFrame, prototypes: dict[str, list[float]], text:
     """
     judged = identify(labelled.select(F.col(text).alias("text")), prototypes, names_out=("found", "cosine")).where(F.col("found") != UNKNOWN)
     counts = judged.groupBy(length_class().alias("bin"), F.round("cosine", 6).alias("cosine")).agg(F.count(F.lit(1)).alias("times"))
-    bins = counts.groupBy("bin").agg(F.sum("times").alias("n"), F.percentile("cosine", F.lit(share), "times").alias("q")).where(F.col("n") >= rows)
+    bins = counts.groupBy("bin").agg(F.sum("times").alias("n"), F.percentile("cosine", F.lit(share), F.col("times")).alias("q")).where(F.col("n") >= rows)
     return [(r["bin"], slack * r["q"]) for r in bins.orderBy("bin").collect()]
 
 
