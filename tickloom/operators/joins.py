@@ -20,19 +20,38 @@ def with_tags(patterns: DataFrame, tags: list[str]) -> DataFrame:
 
 
 def co_occurrence(patterns: DataFrame, bars: int = 10) -> DataFrame:
-    """Unordered pairs of one symbol, timeframe and direction that start within ``bars`` bars.
+    """Unordered pairs of one symbol, timeframe and direction that start within ``bars`` bars."""
+    return _pairs(patterns, patterns, bars)
+
+
+def co_occurrence_by_repeats(patterns: DataFrame, bars: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The rows of co_occurrence in two parts: pairs of ids that one pattern each has, and pairs with an id that repeats or is null.
+
+    In the first part every pair has one row, so what is done per pair needs no grouping.
+    """
+    ids = patterns.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and pattern_id is not null").select("pattern_id")
+    named = patterns.filter("pattern_id is not null")
+    single = named.join(ids, "pattern_id", "left_anti")
+    repeated = named.join(ids, "pattern_id", "left_semi").unionByName(patterns.filter("pattern_id is null"))
+    return _pairs(single, single, bars), _pairs(repeated, patterns, bars).unionByName(_pairs(single, repeated, bars))
+
+
+def _pairs(earlier: DataFrame, later: DataFrame, bars: int) -> DataFrame:
+    """Pairs of an earlier pattern of the one and a later pattern of the other table.
 
     The time condition becomes an equality: starts are cut into buckets as wide as the limit,
     and the later pattern of a pair is looked up from its own and the previous bucket. So rows
     meet only near rows, and each pair is found once.
     """
-    require(patterns, "pattern_id", *SERIES, "direction", "start_ts", "confidence")
-    limit = timeframe_seconds() * bars
-    p = patterns.select("pattern_id", *SERIES, "direction", "confidence", F.unix_micros("start_ts").alias("t"), (limit * 1_000_000).alias("limit"))
-    p = p.withColumn("bucket", F.floor(F.col("t") / F.col("limit")))
-    early = p.select(*SERIES, "direction", "bucket", "limit", F.col("pattern_id").alias("id_a"), F.col("t").alias("t_a"), F.col("confidence").alias("c_a"))
-    late = p.select(*SERIES, "direction", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"),
-                    F.col("pattern_id").alias("id_b"), F.col("t").alias("t_b"), F.col("confidence").alias("c_b"))
+    def near(patterns: DataFrame) -> DataFrame:
+        require(patterns, "pattern_id", *SERIES, "direction", "start_ts", "confidence")
+        limit = timeframe_seconds() * bars
+        p = patterns.select("pattern_id", *SERIES, "direction", "confidence", F.unix_micros("start_ts").alias("t"), (limit * 1_000_000).alias("limit"))
+        return p.withColumn("bucket", F.floor(F.col("t") / F.col("limit")))
+
+    early = near(earlier).select(*SERIES, "direction", "bucket", "limit", F.col("pattern_id").alias("id_a"), F.col("t").alias("t_a"), F.col("confidence").alias("c_a"))
+    late = near(later).select(*SERIES, "direction", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"),
+                              F.col("pattern_id").alias("id_b"), F.col("t").alias("t_b"), F.col("confidence").alias("c_b"))
     after = (F.col("t_b") > F.col("t_a")) | ((F.col("t_b") == F.col("t_a")) & (F.col("id_b") > F.col("id_a")))
     pairs = early.join(late, [*SERIES, "direction", "bucket"]).filter(after & (F.col("t_b") - F.col("t_a") <= F.col("limit")))
     first = F.col("id_a") < F.col("id_b")
@@ -66,6 +85,15 @@ def merge_correlations(old: DataFrame, new: DataFrame) -> DataFrame:
         F.sum("co_occurrence_count").alias("co_occurrence_count"))
 
 
+def merge_in_place(pairs: DataFrame) -> DataFrame:
+    """merge_correlations of pairs that have one row each, with what is stored and what is new as structs `old` and `new`, either null."""
+    old, new = F.col("old").isNotNull(), F.col("new").isNotNull()
+    return pairs.filter(old | new).select(
+        "pattern_id", "correlated_id", F.when(new, F.col("new.correlation_strength")).otherwise(F.col("old.correlation_strength")).alias("correlation_strength"),
+        F.when(old, F.col("old.temporal_relationship")).otherwise(F.col("new.temporal_relationship")).alias("temporal_relationship"),
+        F.when(new, F.coalesce("old.co_occurrence_count", F.lit(0)) + 1).otherwise(F.col("old.co_occurrence_count")).alias("co_occurrence_count"))
+
+
 def correlated(corr: DataFrame, pattern_id: str, min_strength: float = 0.5) -> DataFrame:
     hit = (F.col("pattern_id") == pattern_id) & (F.col("correlation_strength") >= min_strength)
     return corr.filter(hit).orderBy(F.desc("correlation_strength"), "correlated_id")
