@@ -289,6 +289,44 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(np.exp(model.log_probabilities(np.arange(500))).sum(axis=1), 1, atol=1e-5)
 
 
+def test_packed_numbers_come_back():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for kind, x in (("<u4", rng.integers(0, 1 << 32, 500)), ("<u8", rng.integers(0, 1 << 63, 500)), ("<f8", rng.normal(size=500)), ("u1", rng.integers(0, 256, 500)), ("<u4", [])):
+        x = np.asarray(x).astype(kind)
+        assert (lm_scoring.unpacked(pa.scalar(lm_scoring.packed(x), pa.binary()), kind, len(x)) == x).all()
+    x = np.sort(rng.integers(0, 1 << 64, 500, dtype=np.uint64))
+    edge = np.array([0, 0, 100, 350, 500])
+    assert (np.cumsum(lm_scoring.steps(x), dtype=np.uint64) == x).all()
+    parts = [np.cumsum(lm_scoring.steps(x, edge)[a:b], dtype=np.uint64) for a, b in zip(edge, edge[1:])]
+    assert (np.concatenate(parts) == x).all()
+
+
+def test_what_blocks_carry_of_a_word_and_its_features_is_a_few_bytes(spark):
+    """Shuffled and stored are the words of blocks and their features; before, 20 bytes a word and 12 a feature."""
+    rng = random.Random(4)
+    rows = [(i, i % 5 > 0, " ".join(f"w{int(rng.paretovariate(0.6)) % 20000}" for _ in range(400))) for i in range(500)]
+    blocks = lm_scoring._coded(spark.createDataFrame(rows, "doc_id long, learn boolean, text string").coalesce(1)).cache()
+    counts = lm_scoring._counted(blocks, 4).cache()
+    words = blocks.agg({"size": "sum"}).first()[0]
+    size = lambda df, *names: sum(len(r[n]) for r in df.select(*names).collect() for n in names)
+    assert words > 2000 and size(blocks, "words", "counts") < 10 * words and size(blocks, "places") < 2.5 * 200_500 and size(counts, "sums") < 3 * words
+    vocabulary = lm_scoring._vocabulary(counts)
+    assert vocabulary.tokens == 400 * 401
+    coded = lm_scoring._read_blocks(blocks.drop("counts").join(lm_scoring._by_block(counts), "block"), vocabulary, 4).cache()
+    sums = [c["sums"] for r in lm_scoring._summed(coded, 4).collect() for c in r["sums"]]
+
+    def features(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(lm_scoring.Block(batch, k).features()[0]) for k in range(batch.num_rows)], pa.int64())], names=["n"])
+
+    n = coded.select(*lm_scoring.Block.COLUMNS).mapInArrow(features, "n long").agg({"n": "sum"}).first()[0]
+    assert n > 20_000 and sum(map(len, sums)) < 2 * n
+
+
 def test_rare_words_are_predicted_by_the_words_before(spark):
     """400 rare words that each follow one word, in a vocabulary far over that of the classes: context must tell them."""
     rng = random.Random(8)

@@ -14,7 +14,8 @@ tokens most likely when each is left out of its own counts; the last ignores the
 in each of some ranges, more as the texts have more tokens; a block's distinct features meet their sums over all blocks by range.
 
 Token counts are never held whole: texts are coded in blocks of about BLOCK bytes against the block's own word list, and only
-these word lists, and the lists of features, meet the counts of the corpus. A prior of fixed size goes to the workers.
+these word lists, and the lists of features, meet the counts of the corpus, both by ranges of hashes and packed: as differences of sorted
+hashes, in compressed planes of bytes. A prior of fixed size goes to the workers.
 """
 
 from __future__ import annotations
@@ -48,6 +49,27 @@ END = np.uint64(0x5851F42D4C957F2D)
 LISTS = "doc_ids array<long>, train array<boolean>, lengths array<long>"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes: high bytes that are zero and values that repeat cost next to nothing."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(cell: pa.Scalar, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    data = pa.decompress(cell.as_buffer(), n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).view(kind).reshape(n)
+
+
+def steps(x: np.ndarray, edge: np.ndarray | None = None) -> np.ndarray:
+    """Differences of sorted numbers, each first one (of the list, or from an edge on) as it is."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    if edge is not None:
+        first = edge[edge < len(x)]
+        out[first] = x[first]
+    return out
+
+
 def _coded(docs: DataFrame) -> DataFrame:
     """Blocks: documents, the block's word hashes with their counts in training texts, and the words as places in that list."""
 
@@ -63,12 +85,12 @@ def _coded(docs: DataFrame) -> DataFrame:
                 counts = np.bincount(place[np.repeat(train, lengths)], minlength=len(words))
                 cells = [
                     pa.array([part << 32 | k], pa.int64()), pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())), pa.array([train.tolist()], pa.list_(pa.bool_())),
-                    pa.array([lengths], pa.list_(pa.int64())), pa.array([words.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([place.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([lengths], pa.list_(pa.int64())), pa.array([len(words)], pa.int64()), *(pa.array([packed(x)], pa.binary()) for x in (steps(words), counts.astype("<u4"), place.astype("<u4"))),
                 ]
-                yield pa.RecordBatch.from_arrays(cells, names=["block", "doc_ids", "train", "lengths", "words", "counts", "places"])
+                yield pa.RecordBatch.from_arrays(cells, names=["block", "doc_ids", "train", "lengths", "size", "words", "counts", "places"])
                 k += 1
 
-    return docs.select("doc_id", "learn", "text").mapInArrow(code, f"block long, {LISTS}, words array<long>, counts array<long>, places binary")
+    return docs.select("doc_id", "learn", "text").mapInArrow(code, f"block long, {LISTS}, size long, words binary, counts binary, places binary")
 
 
 class Vocabulary:
@@ -81,24 +103,77 @@ class Vocabulary:
             self.mass[b] = m
         self.tokens, self.types = tokens, types
 
-    def ranks(self) -> dict[int, int]:
-        return {int(h): k for k, h in enumerate(self.frequent)}
+    def buckets(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """A word's rank if it is frequent, else one of the others by its hash; words without a count are strange."""
+        words = words.view(np.int64)
+        out = (FREQUENT + np.mod(words, STRANGE - FREQUENT)).astype(np.uint8)
+        if len(self.frequent):
+            order = np.argsort(self.frequent)
+            at = np.minimum(np.searchsorted(self.frequent[order], words), len(order) - 1)
+            out = np.where(self.frequent[order][at] == words, order[at], out).astype(np.uint8)
+        return np.where(counts > 0, out, STRANGE).astype(np.uint8)
 
     def classes(self, bucket: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.where(counts > 0, FIRST_BIN + np.minimum(BINS - 1, np.log2(np.maximum(counts, 1)).astype(np.int64)), UNKNOWN_CLASS)
         return np.where(bucket < ALONE, bucket, np.where(bucket == EDGE, END_CLASS, out))
 
 
+def _starts(ranges: int) -> np.ndarray:
+    """The least hash of each of some ranges of equal width."""
+    return np.array([k * ((1 << 64) // ranges + 1) for k in range(ranges)], U64)
+
+
+def _counted(blocks: DataFrame, ranges: int) -> DataFrame:
+    """For each block and range of word hashes the words' counts in all training texts; one row of each range has the range's number of tokens and words, its most frequent words, and the tokens of words by power of two of their count."""
+    end = int(END.view(np.int64))
+    starts = _starts(ranges)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                size = batch.column("size")[k].as_py()
+                words = np.cumsum(unpacked(batch.column("words")[k], "<u8", size), dtype=U64)
+                n = unpacked(batch.column("counts")[k], "<u4", size)
+                edge = np.append(np.searchsorted(words, starts), size)
+                part = np.flatnonzero(np.diff(edge))
+                gaps, cut = steps(words, edge), lambda x: pa.array([packed(x[edge[p] : edge[p + 1]]) for p in part], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(part), pa.int64()), pa.array(np.diff(edge)[part], pa.int64()), cut(gaps), cut(n)],
+                    names=["part", "block", "size", "words", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        sizes = group.column("size").to_pylist()
+        words = [np.cumsum(unpacked(x, "<u8", m), dtype=U64) for x, m in zip(group.column("words"), sizes, strict=True)]
+        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(place, np.concatenate([unpacked(x, "<u4", m) for x, m in zip(group.column("counts"), sizes, strict=True)]), len(distinct)).astype("<u8")
+        c, word = total.astype(np.int64), distinct.view(np.int64)
+        real = np.flatnonzero((c > 0) & (word != end))
+        top = real[np.lexsort((word[real], -c[real]))[:FREQUENT]]
+        masses = np.bincount(np.minimum(BINS - 1, np.log2(c[real]).astype(np.int64)), c[real], BINS).astype(np.int64)
+        once = lambda x, kind: pa.array([x] + [None] * (len(sizes) - 1), kind)
+        return pa.table({
+            "block": group.column("block"), "part": group.column("part"),
+            "sums": pa.array([packed(x) for x in np.split(total[place], np.cumsum(sizes)[:-1])], pa.binary()),
+            "tokens": once(int(c.sum()), pa.int64()), "types": once(int((c > 0).sum()), pa.int64()),
+            "top": once([{"word": int(word[k]), "c": int(c[k])} for k in top], pa.list_(pa.struct([("word", pa.int64()), ("c", pa.int64())]))),
+            "masses": once(masses.tolist(), pa.list_(pa.int64()))})
+
+    kind = "block long, part int, sums binary, tokens long, types long, top array<struct<word:long,c:long>>, masses array<long>"
+    return blocks.select("block", "size", "words", "counts").mapInArrow(listed, "part int, block long, size long, words binary, counts binary").groupBy("part").applyInArrow(add, kind)
+
+
+def _by_block(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("sums"))
+
+
 def _vocabulary(counts: DataFrame) -> Vocabulary:
     """Reads at most FREQUENT words and one sum for each bin."""
-    end = int(END.view(np.int64))
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = [(r["word"], r["c"]) for r in counts.where(F.col("word") != end).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
-    size = F.least(F.floor(F.log2("c")), F.lit(BINS - 1))
-    masses = {int(r["b"]): r["m"] for r in counts.where(F.col("word") != end).groupBy(size.alias("b")).agg(F.sum("c").alias("m")).collect()}
+    total = counts.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    top = [(r["word"], r["c"]) for r in counts.select(F.inline("top")).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
+    masses = {r["pos"]: r["m"] for r in counts.select(F.posexplode("masses")).where("col > 0").groupBy("pos").agg(F.sum("col").alias("m")).collect()}
     for _, c in top[:ALONE]:
         masses[min(BINS - 1, int(log2(c)))] -= c
-    return Vocabulary(top, masses, total["n"] or 0, total["v"])
+    return Vocabulary(top, masses, total["n"] or 0, total["v"] or 0)
 
 
 def histories(bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -121,23 +196,26 @@ def histories(bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
     return before * 256 + skip
 
 
-def _read_blocks(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def _read_blocks(blocks: DataFrame, vocabulary: Vocabulary, ranges: int) -> DataFrame:
     """For each block: what of the score needs no weights, histories and classes of all tokens, and the training counts."""
     z = vocabulary.tokens + 0.5 * (vocabulary.types + 1)
+    starts = _starts(ranges)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                known = batch.column("known")[k].values
                 size = batch.column("size")[k].as_py()
-                c, bucket = np.zeros(size, np.int64), np.full(size, STRANGE, np.uint8)
-                if known is not None and len(known):
-                    c[np.asarray(known.field("pos"))] = np.asarray(known.field("c"))
-                    bucket[np.asarray(known.field("pos"))] = np.asarray(known.field("bucket")).astype(np.uint8)
-                at = np.frombuffer(batch.column("places")[k].as_buffer(), "<u4")
+                words = np.cumsum(unpacked(batch.column("words")[k], "<u8", size), dtype=U64)
+                sums = batch.column("sums")[k].values
+                edge = np.append(np.searchsorted(words, starts), size)
+                c = np.zeros(size, np.int64)
+                for part, cell in zip(sums.field("part").to_pylist(), sums.field("sums"), strict=True):
+                    c[edge[part] : edge[part + 1]] = unpacked(cell, "<u8", edge[part + 1] - edge[part])
+                bucket = vocabulary.buckets(words, c)
                 lengths = np.asarray(batch.column("lengths")[k].values)
                 train = np.asarray(batch.column("train")[k].values.to_numpy(zero_copy_only=False))
                 first = np.cumsum(lengths) - lengths
+                at = unpacked(batch.column("places")[k], "<u4", lengths.sum())
                 if size:
                     bucket[at[first[0] + lengths[0] - 1]] = EDGE  # the end token, known or not
                 own, left_out = vocabulary.classes(bucket, c), vocabulary.classes(bucket, np.maximum(c - 1, 0))
@@ -145,31 +223,32 @@ def _read_blocks(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 base = np.log10((c + 0.5) / z)
                 teach = np.repeat(train, lengths)
                 codes, n = np.unique(histories(bucket[at], first)[teach] * CLASSES + left_out[at][teach], return_counts=True)
-                sums = lambda x: np.add.reduceat(x[at], first)
+                per_text = lambda x: np.add.reduceat(x[at], first)
                 one = lambda x, kind: pa.array([x], pa.list_(kind))
-                raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+                raw = lambda x, kind: pa.array([packed(x.astype(kind))], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(x).slice(k, 1) for x in ("block", "doc_ids", "train", "lengths", "words", "places")), one(sums((c > 0).astype(np.int64)), pa.int64()), one(sums(base), pa.float64()),
+                    [*(batch.column(x).slice(k, 1) for x in ("block", "doc_ids", "train", "lengths", "size", "words", "places")), one(per_text((c > 0).astype(np.int64)), pa.int64()), one(per_text(base), pa.float64()),
                      raw(within, "<f8"), raw(c, "<i8"), raw(bucket, "u1"), raw(own, "u1"), one(codes, pa.int32()), one(n, pa.int64())],
-                    names=["block", "doc_ids", "train", "lengths", "words", "places", "known", "base", "shares", "counts", "buckets", "classes", "codes", "n"])
+                    names=["block", "doc_ids", "train", "lengths", "size", "words", "places", "known", "base", "shares", "counts", "buckets", "classes", "codes", "n"])
 
-    kind = f"block long, {LISTS}, words array<long>, places binary, known array<long>, base array<double>, shares binary, counts binary, buckets binary, classes binary, codes array<int>, n array<long>"
-    return blocks.select("block", "doc_ids", "train", "lengths", "words", "size", "places", "known").mapInArrow(read, kind)
+    kind = f"block long, {LISTS}, size long, words binary, places binary, known array<long>, base array<double>, shares binary, counts binary, buckets binary, classes binary, codes array<int>, n array<long>"
+    return blocks.select("block", "doc_ids", "train", "lengths", "size", "words", "places", "sums").mapInArrow(read, kind)
 
 
 class Block:
     """A coded block: its tokens as places in its word list, what is known of these words, and its features."""
 
-    COLUMNS = ("block", "doc_ids", "train", "lengths", "words", "places", "known", "base", "shares", "counts", "buckets", "classes")
+    COLUMNS = ("block", "doc_ids", "train", "lengths", "size", "words", "places", "known", "base", "shares", "counts", "buckets", "classes")
 
     def __init__(self, batch: pa.RecordBatch, k: int):
         column = lambda name: batch.column(name)[k]
-        raw = lambda name, kind: np.frombuffer(column(name).as_buffer(), kind)
-        self.at = raw("places", "<u4").astype(np.int64)
+        size = column("size").as_py()
+        raw = lambda name, kind: unpacked(column(name), kind, size)
         self.lengths = np.asarray(column("lengths").values)
+        self.at = unpacked(column("places"), "<u4", self.lengths.sum()).astype(np.int64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(column("train").values.to_numpy(zero_copy_only=False).astype(bool), self.lengths)
-        self.words = np.asarray(column("words").values).view(U64)
+        self.words = np.cumsum(raw("words", "<u8"), dtype=U64)
         self.share, self.count, self.bucket, self.own = (raw(x, t) for x, t in (("shares", "<f8"), ("counts", "<i8"), ("buckets", "u1"), ("classes", "u1")))
         self.history = histories(self.bucket[self.at], self.first)
 
@@ -226,21 +305,24 @@ def _summed(coded: DataFrame, ranges: int) -> DataFrame:
                     continue
                 keys, counts, _ = Block(batch, k).features()
                 order, edge = _by_range(keys, ranges)
-                low, n = (keys[order] & U64(0xFFFFFFFF)).astype("<u4"), counts[order].astype("<u4")
+                low, n = steps((keys[order] & U64(0xFFFFFFFF)).astype("<u4"), edge), counts[order].astype("<u4")
                 part = np.flatnonzero(np.diff(edge))
-                cut = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(part), pa.int64()), cut(low), cut(n)], names=["part", "block", "low", "n"])
+                cut = lambda x: pa.array([packed(x[edge[p] : edge[p + 1]]) for p in part], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(part), pa.int64()), pa.array(np.diff(edge)[part], pa.int64()), cut(low), cut(n)],
+                    names=["part", "block", "size", "low", "n"])
 
     def add(group: pa.Table) -> pa.Table:
-        low = [np.frombuffer(x.as_buffer(), "<u4") for x in group.column("low")]
+        sizes = group.column("size").to_pylist()
+        low = [np.cumsum(unpacked(x, "<u4", m), dtype=np.uint32) for x, m in zip(group.column("low"), sizes, strict=True)]
         distinct, place = np.unique(np.concatenate(low), return_inverse=True)
-        total = np.bincount(place, np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group.column("n")]), len(distinct))[place]
-        cells = np.split(total, np.cumsum([len(x) for x in low])[:-1])
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "sums": pa.array([x.astype("<u4" if x.max() < 1 << 32 else "<u8").tobytes() for x in cells], pa.binary())})
+        total = np.bincount(place, np.concatenate([unpacked(x, "<u4", m) for x, m in zip(group.column("n"), sizes, strict=True)]), len(distinct)).astype("<u8")[place]
+        cells = np.split(total, np.cumsum(sizes)[:-1])
+        return pa.table({"block": group.column("block"), "part": group.column("part"), "sums": pa.array([packed(x) for x in cells], pa.binary())})
 
-    lists = coded.select(*Block.COLUMNS).mapInArrow(listed, "part int, block long, low binary, n binary")
+    lists = coded.select(*Block.COLUMNS).mapInArrow(listed, "part int, block long, size long, low binary, n binary")
     sums = lists.groupBy("part").applyInArrow(add, "block long, part int, sums binary")
-    return sums.groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("sums"))
+    return _by_block(sums)
 
 
 def blended(o: np.ndarray, n: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
@@ -334,7 +416,7 @@ def _scores(coded: DataFrame, model: Model, ranges: int) -> DataFrame:
                 sums = batch.column("sums")[k].values
                 for part, cell in zip(sums.field("part").to_pylist(), sums.field("sums"), strict=True):
                     of = order[edge[part] : edge[part + 1]]
-                    total[of] = np.frombuffer(cell.as_buffer(), f"<u{len(cell.as_buffer()) // len(of)}")
+                    total[of] = unpacked(cell, "<u8", len(of))
                 in_class, near_class, near, far_class, far = (total[x] for x in places)
                 own = b.own[b.at]
                 # how often a word stands before another is its count
@@ -375,22 +457,17 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", round
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text).alias("text"))
     blocks = stored(_coded(source), "coded")
-    lists = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counts = stored(lists.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    tokens = blocks.select(F.explode("lengths").alias("n")).agg(F.sum("n")).first()[0] or 0
+    ranges = max(LEAST_RANGES, 2 * tokens // RANGE)
+    counts = stored(_counted(blocks, ranges), "counts")
     vocabulary = _vocabulary(counts)
-    # a word's bucket: its rank if it is frequent, else one of the others by its hash
-    ranks = [F.struct(F.lit(h).cast("long").alias("word"), F.lit(k).alias("rank")) for h, k in vocabulary.ranks().items()]
-    frequent = spark.range(1).select(F.inline(F.array(*ranks))) if ranks else spark.range(0).selectExpr("id AS word", "0 AS rank")
-    bucket = F.coalesce(F.col("rank"), F.lit(FREQUENT) + F.pmod("word", F.lit(STRANGE - FREQUENT))).cast("short").alias("bucket")
-    counted = counts.join(F.broadcast(frequent), "word", "left").select("word", "c", bucket)
-    known = lists.select("block", "pos", "word").join(counted, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c", "bucket")).alias("known"))
-    texts = blocks.select("block", "doc_ids", "train", "lengths", "words", F.size("words").alias("size"), "places")
-    coded = stored(_read_blocks(texts.join(known, "block", "left"), vocabulary), "read")
+    coded = stored(_read_blocks(blocks.drop("counts").join(_by_block(counts), "block"), vocabulary, ranges), "read")
+    discard(spark, counts)
     discard(spark, blocks)
     statistics = coded.select(F.explode(F.arrays_zip("codes", "n")).alias("x")).groupBy(F.col("x.codes").alias("code")).agg(F.sum("x.n").alias("n"))
     model = train(stored(statistics, "statistics"), rounds)
-    tokens = coded.select(F.explode("lengths").alias("n")).agg(F.sum("n")).first()[0] or 0
-    scored = stored(_scores(coded, model, max(LEAST_RANGES, 2 * tokens // RANGE)), "scored")
+    scored = stored(_scores(coded, model, ranges), "scored")
+    discard(spark, coded)
     # the strengths that make the training tokens, each left out, most likely
     best = []
     for name in ("class", "word"):
