@@ -239,6 +239,24 @@ def test_mixed_documents_hold_the_taken_words(docs):
     assert all(not Counter(w) - Counter(texts[i] * 2) for i, w in got.items())
 
 
+def test_texts_are_dealt_once_to_be_mixed(spark, monkeypatch):
+    """To meet the blocks taken of them; places are found from sizes alone. Before, a window and the join shuffled the texts."""
+    rows = [(i % 7, f"s{i % 3}", " ".join(f"w{i}x{k}" for k in range(150 + i))) for i in range(60)]  # ids repeat, texts differ
+    rows += [(None, None, "a b c " * 40), (3, "s0", None), (4, "s1", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    placed, positioned = [], mixing.positioned
+    monkeypatch.setattr(mixing, "positioned", lambda d, *a: placed.append(d.columns) or positioned(d, *a))
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    words = {}
+    for i, s, t in rows:
+        for w in (t or "").split():
+            words[w] = (i, s)
+    got = out.collect()
+    assert got and all(words[w] == (r.doc_id, r.source) for r in got for w in r.text.split())
+    assert placed == [["_at", "doc_id", "source", "size"]]
+
+
 # ---- models
 
 

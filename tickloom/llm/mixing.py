@@ -184,19 +184,21 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", block: int = BLOCK) ->
     columns = docs.columns
     rest = [c for c in columns if c not in ("text", "n_chars", "source")]
     packed = docs.select("text", "source", F.col(key).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"))
-    sized = packed.select(F.col("_key").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), "text", "_row")
-    at = stored(positioned(sized), "mixed")
+    # each row gets a number when it is written; places are found without the texts, which are dealt once, to meet what is taken
+    rows = stored(packed.withColumn("size", word_count(F.col("text"))).withColumn("_at", F.monotonically_increasing_id()), "mixed")
+    sized = rows.select("_at", F.col("_key").alias("doc_id"), "source", "size")
+    at = stored(positioned(sized), "mixed-places")
     sources = stored(targets(ranked(at)), "mixed-sources")
     taken = takes(sources, block)
-    at = at.join(sources.select(F.col("source").alias("_s"), "rank"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    spans = at.where("size > 0").select("rank", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
-    used = spans.join(taken.hint("merge"), ["rank", "block"]).groupBy("rank", "begin").agg(F.array_sort(F.collect_list(F.struct("block", "times"))).alias("used"))
+    at = at.where("size > 0").join(sources.select(F.col("source").alias("_s"), "rank"), F.col("source").eqNullSafe(F.col("_s")))
+    spans = at.select("_at", "rank", "begin", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
+    used = spans.join(taken.hint("merge"), ["rank", "block"]).groupBy("_at").agg(F.first("begin").alias("begin"), F.array_sort(F.collect_list(F.struct("block", "times"))).alias("used"))
     words = F.split(F.trim(F.regexp_replace("text", f"[{SPACES}]+", " ")), " ")
     first = lambda b: F.greatest(F.col("begin"), b * block) - F.col("begin")
     last = lambda b: F.least(F.col("begin") + F.col("size"), (b + 1) * block) - F.col("begin")
     piece = lambda w, u: F.flatten(F.array_repeat(F.slice(w, (first(u["block"]) + 1).cast("int"), (last(u["block"]) - first(u["block"])).cast("int")), u["times"].cast("int")))
     # the words are bound to a variable: as a column they would be split again for each block
     text = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("used", lambda u: piece(w, u))), " ")), 1)
-    out = at.where("size > 0").join(used.hint("merge"), ["rank", "begin"]).withColumn("_text", text)
+    out = rows.where("size > 0").join(used.hint("merge"), "_at").withColumn("_text", text)
     made = {c: F.col(f"_row.`{c}`") for c in rest} | {"text": F.col("_text"), "source": F.col("source")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in columns else {})
     return out.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c == "n_chars" and isinstance(docs.schema[c].dataType, T.NumericType) else made[c].alias(c) for c in columns])
