@@ -345,6 +345,29 @@ def test_what_blocks_carry_of_a_word_and_its_features_is_a_few_bytes(spark):
     assert n > 20_000 and sum(map(len, sums)) < 2 * n
 
 
+def test_blocks_are_not_shuffled_to_meet_the_sums_of_their_features(spark):
+    """Only lists of features by range and their sums by block are; before, the blocks' texts were too."""
+    from tickloom.llm.common import stored_in_buckets
+
+    docs = spark.createDataFrame([(i, i % 5 > 0, f"a b{i} c a b{i % 3}") for i in range(40)], "doc_id long, learn boolean, text string")
+    blocks = lm_scoring._coded(docs).cache()
+    counts = lm_scoring._counted(blocks, 4).cache()
+    read = lm_scoring._read_blocks(blocks.join(lm_scoring._by_block(counts), "block"), lm_scoring._vocabulary(counts), 4)
+    coded, name = stored_in_buckets(read, "test-read", "block")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = lm_scoring._scores(coded, lm_scoring.Model(), 4)
+        assert scores._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert scores.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql(f"DROP TABLE {name}")
+    before = [t.name for t in spark.catalog.listTables()]
+    lm_scoring.contract(docs.drop("learn")).collect()
+    assert [t.name for t in spark.catalog.listTables()] == before  # no table is left
+
+
 def test_rare_words_are_predicted_by_the_words_before(spark):
     """400 rare words that each follow one word, in a vocabulary far over that of the classes: context must tell them."""
     rng = random.Random(8)

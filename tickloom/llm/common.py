@@ -59,6 +59,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, what: str, key: str) -> tuple[DataFrame, str]:
+    """stored() as a table in buckets by key, as many as a shuffle has partitions: joins by key read them where they lie. Its
+    name, which the owner drops; the files stay in the shared folder."""
+    spark = df.sparkSession
+    path = shared_path(spark, what)
+    name = f"tickloom_{path.rsplit('-', 1)[1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).options(path=path, compression="zstd").saveAsTable(name)
+    return spark.table(name), name
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made by stored() that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

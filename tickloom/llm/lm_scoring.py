@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import U64, Words, crc_mod, discard, mixed, pieces, stored
+from tickloom.llm.common import U64, Words, crc_mod, discard, mixed, pieces, stored, stored_in_buckets
 
 BLOCK = 8 << 20
 #: Frequent words with a bucket of their own in histories; of these, words with a class of their own.
@@ -461,13 +461,15 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", round
     ranges = max(LEAST_RANGES, 2 * tokens // RANGE)
     counts = stored(_counted(blocks, ranges), "counts")
     vocabulary = _vocabulary(counts)
-    coded = stored(_read_blocks(blocks.drop("counts").join(_by_block(counts), "block"), vocabulary, ranges), "read")
+    # in buckets, so that the blocks meet the sums of their features without another shuffle of their texts
+    coded, name = stored_in_buckets(_read_blocks(blocks.drop("counts").join(_by_block(counts), "block"), vocabulary, ranges), "read", "block")
     discard(spark, counts)
     discard(spark, blocks)
     statistics = coded.select(F.explode(F.arrays_zip("codes", "n")).alias("x")).groupBy(F.col("x.codes").alias("code")).agg(F.sum("x.n").alias("n"))
     model = train(stored(statistics, "statistics"), rounds)
     scored = stored(_scores(coded, model, ranges), "scored")
     discard(spark, coded)
+    spark.sql(f"DROP TABLE {name}")
     # the strengths that make the training tokens, each left out, most likely
     best = []
     for name in ("class", "word"):
