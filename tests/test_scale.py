@@ -50,6 +50,25 @@ def test_correlations_of_single_ids_are_merged_where_they_are_found(spark):
     assert Counter(r.co_occurrence_count for r in df.collect()) == Counter({"1h": 1, "4h": 3, "1d": 4}[r.timeframe] for r in jo.co_occurrence(p).select("timeframe").collect())
 
 
+def test_the_join_of_pairs_keeps_its_tasks(spark):
+    """Few bytes make many pairs: AQE must not merge the tasks of the join by the bytes shuffled."""
+    p = stored_patterns(spark, [(str(k), "A", ["1h", "4h", "1d"][k % 3], 900 * k, k % 7 / 10) for k in range(60)])
+    p = p.withColumn("direction", F.when(F.col("confidence") < 2, "bullish"))  # a literal would be left out of the join's keys
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large to be broadcast
+    try:
+        assert jo.co_occurrence(p).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lags_and_relations_hold_for_every_order_of_ids(spark):
+    rows = [("1", "A", "4h", 0, 0.5), ("2", "A", "4h", 7, 0.25), ("0", "A", "4h", 7, None), (None, "A", "4h", 9, 0.5), ("9", "A", "4h", 144_009, 0.5), ("8", "A", "4h", 144_010, 0.5)]
+    got = {(r.pattern_id, r.correlated_id): (r.lag_seconds, r.temporal_relationship) for r in jo.co_occurrence(stored_patterns(spark, rows)).collect()}
+    want = {("1", "2"): (7, "p1_leads"), ("0", "1"): (7, "p2_leads"), ("0", "2"): (0, "concurrent"), ("1", "1"): (9, "p2_leads"), ("2", "2"): (2, "p2_leads"), ("0", "0"): (2, "p2_leads"),
+            ("9", "9"): (144_000, "p2_leads"), ("8", "9"): (1, "p2_leads")}
+    assert got == want
+
+
 def test_ids_that_repeat_are_merged_over_all_series(spark):
     """The ids 1 and 2 meet in two series, 3 repeats in one, 4 is alone, and two patterns have no id."""
     rows = [("1", "A", "1d", 0, 0.5), ("2", "A", "1d", 3600, 0.5), ("1", "B", "1d", 0, 0.1), ("2", "B", "1d", 7200, 0.1),

@@ -42,28 +42,36 @@ def _pairs(earlier: DataFrame, later: DataFrame, bars: int) -> DataFrame:
     The time condition becomes an equality: starts are cut into buckets as wide as the limit,
     and the later pattern of a pair is looked up from its own and the previous bucket. So rows
     meet only near rows, and each pair is found once.
+
+    The work grows with the pairs, not with the bytes shuffled, so the number of tasks is named
+    here: AQE would merge these small partitions to little more than one task a core, and the
+    last of them would run alone.
     """
+    spark = earlier.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    keys = [*SERIES, "direction", "bucket"]
+
     def near(patterns: DataFrame) -> DataFrame:
         require(patterns, "pattern_id", *SERIES, "direction", "start_ts", "confidence")
         limit = timeframe_seconds() * bars
         p = patterns.select("pattern_id", *SERIES, "direction", "confidence", F.unix_micros("start_ts").alias("t"), (limit * 1_000_000).alias("limit"))
         return p.withColumn("bucket", F.floor(F.col("t") / F.col("limit")))
 
-    early = near(earlier).select(*SERIES, "direction", "bucket", "limit", F.col("pattern_id").alias("id_a"), F.col("t").alias("t_a"), F.col("confidence").alias("c_a"))
+    early = near(earlier).select(*keys, "limit", F.col("pattern_id").alias("id_a"), F.col("t").alias("t_a"), F.col("confidence").alias("c_a"))
     late = near(later).select(*SERIES, "direction", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"),
                               F.col("pattern_id").alias("id_b"), F.col("t").alias("t_b"), F.col("confidence").alias("c_b"))
     after = (F.col("t_b") > F.col("t_a")) | ((F.col("t_b") == F.col("t_a")) & (F.col("id_b") > F.col("id_a")))
-    pairs = early.join(late, [*SERIES, "direction", "bucket"]).filter(after & (F.col("t_b") - F.col("t_a") <= F.col("limit")))
+    pairs = early.repartition(tasks, *keys).join(late.repartition(tasks, *keys), keys).filter(after & (F.col("t_b") - F.col("t_a") <= F.col("limit")))
     first = F.col("id_a") < F.col("id_b")
     pairs = pairs.select(
         F.least("id_a", "id_b").alias("pattern_id"), F.greatest("id_a", "id_b").alias("correlated_id"), *SERIES, "direction",
         F.when(first, F.col("t_a")).otherwise(F.col("t_b")).alias("t1"), F.when(first, F.col("t_b")).otherwise(F.col("t_a")).alias("t2"),
-        F.abs(F.col("c_a") - F.col("c_b")).alias("confidence_gap"), F.col("limit"))
+        (F.col("t_b") - F.col("t_a")).alias("gap"), F.abs(F.col("c_a") - F.col("c_b")).alias("confidence_gap"), F.col("limit"))
     return pairs.withColumns({
-        "correlation_strength": correlation_strength(F.lit(True), F.col("confidence_gap"), F.abs(F.col("t2") - F.col("t1")), F.col("limit")),
+        "correlation_strength": correlation_strength(F.lit(True), F.col("confidence_gap"), F.col("gap"), F.col("limit")),
         "temporal_relationship": temporal_relationship(F.col("t1"), F.col("t2")),
-        "lag_seconds": (F.abs(F.col("t2") - F.col("t1")) / 1_000_000).cast("long"),
-    }).drop("t1", "t2", "limit", "confidence_gap")
+        "lag_seconds": (F.col("gap") / 1_000_000).cast("long"),
+    }).drop("t1", "t2", "gap", "limit", "confidence_gap")
 
 
 def correlation_strength(same_direction: Column, confidence_gap: Column, dt: Column, limit: Column) -> Column:
