@@ -1,5 +1,6 @@
 """Inputs that only larger tables hold: windows without extrema, dense pairs, repeated subscriptions."""
 
+import math
 from collections import Counter
 
 import pytest
@@ -36,6 +37,15 @@ class PatternsOnly:
         self.patterns = patterns
 
 
+def test_strengths_are_rounded_by_arithmetic(spark):
+    catalog.load()
+    p = stored_patterns(spark, [("1", "A", "4h", 0, 0.5), ("2", "A", "4h", 7, 0.25)])
+    for name in ("join03_correlation_strength", "join05_merge_correlations"):
+        df = catalog.PLANS[name](PatternsOnly(p))
+        assert "rint" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert [r.correlation_strength for r in df.collect()] == [round(0.7 + 0.75 * 0.2 + (1 - 7 / 144_000) * 0.1, 5)]
+
+
 def test_correlations_of_single_ids_are_merged_where_they_are_found(spark):
     catalog.load()
     p = stored_patterns(spark, [(str(k), "A", ["1h", "4h", "1d"][k % 3], 900 * k, k % 7 / 10) for k in range(60)])
@@ -69,6 +79,14 @@ def test_lags_and_relations_hold_for_every_order_of_ids(spark):
     assert got == want
 
 
+def test_rounding_of_many_rows_equals_round(spark):
+    ties = [k / 100_000 + 0.000005 for k in range(0, 100_000, 7)]
+    odd = [None, 0.0, -0.0, -0.7000049, 1e-9, 4.9999e-6, 5e-6, 5.0001e-6, 0.9999949999, 0.999995, 1.0, 12345.678905, 1e12 + 0.123456, float("nan"), float("inf"), float("-inf")]
+    near = [y for x in ties[::20] for y in (math.nextafter(x, 0), math.nextafter(x, 1), x + 1e-12, x - 1e-12)]
+    df = spark.createDataFrame([(x,) for x in ties + near + odd], "x double").select("x", F.round("x", 5).alias("a"), catalog.round_many("x", 5).alias("b"))
+    assert df.filter("not (a <=> b)").collect() == []
+
+
 def test_ids_that_repeat_are_merged_over_all_series(spark):
     """The ids 1 and 2 meet in two series, 3 repeats in one, 4 is alone, and two patterns have no id."""
     rows = [("1", "A", "1d", 0, 0.5), ("2", "A", "1d", 3600, 0.5), ("1", "B", "1d", 0, 0.1), ("2", "B", "1d", 7200, 0.1),

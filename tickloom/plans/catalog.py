@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.sources.adapters import Tables
@@ -52,6 +52,17 @@ def rounded(df: DataFrame, keys: list[str], digits: int = 6, **cols) -> DataFram
     )
 
 
+def round_many(col: Column | str, digits: int) -> Column:
+    """F.round of a double for very many rows: by arithmetic, and by F.round, which writes each number as text, only where both could differ.
+
+    That is near a half, for zero, negative and large numbers, and for null and NaN.
+    """
+    x = F.col(col) if isinstance(col, str) else col
+    scaled = x * 10.0**digits
+    whole = F.rint(scaled)
+    return F.when(scaled.between(0.5, 1e9) & (F.abs(scaled - whole) < 0.499999), whole / 10.0**digits).otherwise(F.round(x, digits))
+
+
 def lines(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """symbol, idx and the rounded columns of an indexed frame."""
     return rounded(df, ["symbol", "idx"], digits, **{c: c for c in cols})
