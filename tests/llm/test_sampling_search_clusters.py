@@ -7,7 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tickloom.llm import centroid_clustering as cc
 from tickloom.llm import importance_resampling as ir
@@ -145,6 +148,56 @@ def test_queue_opens_leaves_by_rank():
     assert f.file(x[:1])[0, 0] in opened[:3]
 
 
+def measured(most):
+    """A mapInArrow that fails when a function that makes bits has made its process grow by more than `most` MB."""
+    plain = DataFrame.mapInArrow
+
+    def map_in_arrow(df, fn, schema):
+        def run(batches):
+            import resource
+
+            top = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+            was = top()
+            for out in fn(batches):
+                if (grown := top() - was) > most:
+                    raise MemoryError(f"{schema}: {grown} MB")
+                yield out
+
+        return plain(df, run if "bits" in schema else fn, schema)
+
+    return map_in_arrow
+
+
+def test_what_a_search_holds_is_bounded(spark, monkeypatch):
+    """Thousands of queries in one batch, each of which opens a good part of 2,048 leaves."""
+    monkeypatch.setattr(vs, "LEAF", 4)
+    monkeypatch.setattr(vs, "SLAB", 1 << 16)
+    monkeypatch.setattr(DataFrame, "mapInArrow", measured(60))
+    x = np.random.default_rng(6).standard_normal((3000, 32))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(3000), "embedding": pa.array(list(x))})).coalesce(1)
+    monkeypatch.setattr(vs, "stored", lambda df, what, plain=vs.stored: plain(df.coalesce(1), what))
+    assert vs.nearest(df, asked=F.lit(True)).groupBy("query_id").count().where("count = 5").count() == 3000
+
+
+@pytest.mark.parametrize("dims", [(5,), (5, 9)])
+def test_cells_hold_each_pair_that_is_opened(spark, monkeypatch, dims):
+    """With spans of some vectors, parts of them, and spans whose queries are dealt out: all pairs are compared, and none is lost."""
+    for name, value in (("BIN", 7), ("BLOCK", 5), ("LEAF", 32), ("HELD", 16 * 80), ("SLAB", 64), ("NUMBERS", 90), ("SHARES", 1 << 20), ("WORK", 900)):
+        monkeypatch.setattr(vs, name, value)
+    seen = []
+    monkeypatch.setattr(vs.Spans, "dealt", lambda self, *a, plain=vs.Spans.dealt: (plain(self, *a), seen.append(self)))
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(a) for a in rng.integers(-2, 3, dims[i % len(dims)])]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = neighbours(rows, 5, 3)
+    got = defaultdict(list)
+    monkeypatch.setattr(vs, "_budget", lambda *a: float("inf"))
+    for r in vs.nearest(df, asked=F.col("vec_id") % 3 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == want
+    assert (seen[0].parts > 1).any() and (seen[0].salts > 1).any() and set(seen[0].dim) == set(dims)
+
+
 def test_search_of_nothing(spark):
     schema = "vec_id long, embedding array<float>"
     assert vs.nearest(spark.createDataFrame([], schema)).collect() == []
